@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkvane.llm import decontam, packing, simhash, tokens, toxicity
+from sparkvane.llm import decontam, packing, simhash, tokens, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_packing": packing.op3_packing,
         "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
+        "op6_warc_archive": warc.op6_warc_archive,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_token_counts": tokens.op8_token_counts,
         "op9_benchmark_decontamination": decontam.op9_benchmark_decontamination,
