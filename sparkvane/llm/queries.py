@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkvane.llm import decontam, packing, simhash, tokens, toxicity, warc
+from sparkvane.llm import decontam, fingerprint, packing, simhash, tokens, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_packing": packing.op3_packing,
+        "op4_document_fingerprints": fingerprint.op4_document_fingerprints,
         "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
         "op6_warc_archive": warc.op6_warc_archive,
         "op7_toxicity": toxicity.op7_toxicity,
