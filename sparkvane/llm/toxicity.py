@@ -42,6 +42,8 @@ THRESHOLD = 0.3
 #: Weight of the pooled frequency as a prior, as a share of the observed counts.
 PRIOR = 0.1
 Z = 3.0
+#: Log-odds below this are no evidence, however sure: with many rows, common words differ a little for sure.
+MIN_LOG_ODDS = 1.0
 DRIFT = 0.02
 MIN_TOXIC = 2
 #: The fitted model keeps at most this many tokens, the most significant ones.
@@ -82,7 +84,7 @@ class Lexicon:
     @classmethod
     def weight(cls, a: float, b: float, n_a: float, n_b: float) -> float | None:
         delta, z = cls.z_weight(a, b, n_a, n_b)
-        return delta if z >= Z and a >= MIN_TOXIC else None
+        return delta if z >= Z and delta >= MIN_LOG_ODDS and a >= MIN_TOXIC else None
 
     def _lambda(self, clean_tokens: float) -> float:
         """The positive root of sum(p exp(lambda s)) = 1 over clean text."""
@@ -224,7 +226,7 @@ def fit(rows: DataFrame) -> Model:
     prior = F.lit(PRIOR) * F.col("n")
     delta = F.log((a + prior) / F.greatest(F.lit(n_toxic + PRIOR * n_all) - a - prior, F.lit(0.5))) - F.log((b + prior) / F.greatest(F.lit(n_clean + PRIOR * n_all) - b - prior, F.lit(0.5)))
     z = delta / F.sqrt(1 / (a + prior) + 1 / (b + prior))
-    top = counts.where(~F.col("token").isin(b" n", b" clean")).withColumn("z", z).where(F.col("z") >= Z * 0.6).orderBy(F.desc("z"), "token").limit(MAX_TERMS)
+    top = counts.where(~F.col("token").isin(b" n", b" clean")).withColumn("z", z).where((F.col("z") >= Z * 0.6) & (delta >= MIN_LOG_ODDS * 0.6)).orderBy(F.desc("z"), "token").limit(MAX_TERMS)
     lexicon = Lexicon({bytes(r["token"]): (r["a"], r["n"] - r["a"]) for r in top.collect()}, n_toxic, n_clean, clean_tokens)
     sent = sc.broadcast(lexicon)
 
