@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkvane.llm import decontam, fingerprint, packing, simhash, tokens, toxicity, urlfilter, warc
+from sparkvane.llm import decontam, fingerprint, packing, simhash, substring, tokens, toxicity, urlfilter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring_dedup": substring.op1_substring_dedup,
         "op2_url_filters": urlfilter.op2_url_filters,
         "op3_packing": packing.op3_packing,
         "op4_document_fingerprints": fingerprint.op4_document_fingerprints,
