@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkvane.llm import decontam, fingerprint, packing, simhash, substring, tokens, toxicity, urlfilter, warc
+from sparkvane.llm import decontam, fingerprint, linededup, packing, simhash, substring, tokens, toxicity, urlfilter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op10_line_dedup": linededup.op10_line_dedup,
         "op1_substring_dedup": substring.op1_substring_dedup,
         "op2_url_filters": urlfilter.op2_url_filters,
         "op3_packing": packing.op3_packing,
@@ -24,4 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op9_benchmark_decontamination": decontam.OP9_SQL,
+        "op10_line_dedup": linededup.OP10_SQL,
+    }
