@@ -96,6 +96,14 @@ def text_blocks(batch: pa.RecordBatch, column: str = "text", limit: int = BLOCK_
         start = stop
 
 
+def unused(columns: list[str], base: str) -> str:
+    """A column name that clashes with none of ``columns`` (compared without case)."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base = "_" + base
+    return base
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The strings of a column, null as the empty text."""
     return [x or "" for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]

@@ -131,7 +131,8 @@ def report(docs: DataFrame, run: int = RUN) -> DataFrame:
 def deduplicate(docs: DataFrame, run: int = RUN) -> DataFrame:
     """The documents with all columns, without later repeated runs."""
     columns = docs.columns
-    joined = docs.join(repeated_windows(docs, run).withColumnRenamed("places", "_places"), "doc_id", "left").select(*columns, "_places")
+    mark = common.unused(columns, "places")
+    joined = docs.join(repeated_windows(docs.select("doc_id", "text"), run).withColumnRenamed("places", mark), "doc_id", "left").select(*columns, mark)
     text, chars = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

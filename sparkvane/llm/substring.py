@@ -328,8 +328,9 @@ def report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents with all columns; texts that lose words are their kept words, joined by one space."""
     columns = docs.columns
-    spans = repeated_spans(docs, window).withColumnRenamed("spans", "_removed")
-    joined = docs.join(spans, "doc_id", "left").select(*columns, "_removed")
+    mark = common.unused(columns, "removed")
+    spans = repeated_spans(docs.select("doc_id", "text"), window).withColumnRenamed("spans", mark)
+    joined = docs.join(spans, "doc_id", "left").select(*columns, mark)
     place = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
