@@ -3,7 +3,7 @@
 Training, on labelled rows of the training folds only: the number of toxic and of clean
 documents that hold each token, over all of these rows; log-odds with an informative
 Dirichlet prior (the pooled frequency of the token, weight ``PRIOR``), and its z value.
-Tokens with a z of at least ``Z`` carry their log-odds; every other token costs ``DRIFT``.
+Tokens with a z of at least ``least_z`` carry their log-odds; every other token costs ``DRIFT``.
 
 Scan: in each text, all maximal-scoring segments are found in linear time. By extreme-value
 theory the best chance score of n clean tokens behaves as a Gumbel variable: the number of
@@ -20,7 +20,8 @@ shuffled. What is broadcast is the lexicon, at most ``MAX_TERMS`` tokens by z, a
 fitted model that does not grow with the data.
 
 Defined results: null and empty texts have no tokens and get the score of no evidence; rows
-labelled null are not used; repeated label rows count by their maximum; with no labelled row
+labelled null are not used; repeated label rows count by their maximum; copies of a text
+with one label count once; with no labelled row
 of either class every score is the rate of the class that is there (0 without labels).
 """
 
@@ -41,9 +42,11 @@ from sparkvane.llm import common
 THRESHOLD = 0.3
 #: Weight of the pooled frequency as a prior, as a share of the observed counts.
 PRIOR = 0.1
-Z = 3.0
+#: A token needs this z, and a unit more for each tenfold of toxic rows over ten: more rows bring
+#: more tokens that are tried, and the true ones far larger values.
+Z, Z_MOST = 2.0, 5.0
 #: Log-odds below this are no evidence, however sure: with many rows, common words differ a little for sure.
-MIN_LOG_ODDS = 1.0
+MIN_LOG_ODDS = 1.5
 DRIFT = 0.02
 MIN_TOXIC = 2
 #: The fitted model keeps at most this many tokens, the most significant ones.
@@ -63,11 +66,16 @@ def held_out(doc_id: int) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 4 == 2
 
 
+def least_z(n_toxic: int) -> float:
+    return min(Z_MOST, Z + max(0.0, math.log10(max(n_toxic, 1) / 10)))
+
+
 class Lexicon:
     """Token document counts of both classes, and the weights that follow from them."""
 
     def __init__(self, counts: dict[bytes, tuple[int, int]], n_toxic: int, n_clean: int, clean_tokens: float) -> None:
         self.counts, self.n_toxic, self.n_clean = counts, n_toxic, n_clean
+        self.z = least_z(n_toxic)
         self.weights = {t: w for t, (a, b) in counts.items() if (w := self.weight(a, b, n_toxic, n_clean)) is not None}
         self.scale = self._lambda(clean_tokens)
 
@@ -81,10 +89,9 @@ class Lexicon:
         delta = math.log(ra / rb)
         return delta, delta / math.sqrt(1 / (a + prior) + 1 / (b + prior))
 
-    @classmethod
-    def weight(cls, a: float, b: float, n_a: float, n_b: float) -> float | None:
-        delta, z = cls.z_weight(a, b, n_a, n_b)
-        return delta if z >= Z and delta >= MIN_LOG_ODDS and a >= MIN_TOXIC else None
+    def weight(self, a: float, b: float, n_a: float, n_b: float) -> float | None:
+        delta, z = self.z_weight(a, b, n_a, n_b)
+        return delta if z >= self.z and delta >= MIN_LOG_ODDS and a >= MIN_TOXIC else None
 
     def _lambda(self, clean_tokens: float) -> float:
         """The positive root of sum(p exp(lambda s)) = 1 over clean text."""
@@ -118,6 +125,15 @@ class Lexicon:
                     out.append((i, cache[t]))
         return out
 
+    @staticmethod
+    def once(hits: list[tuple[int, float]], words: list[bytes]) -> list[tuple[int, float]]:
+        """The first hit of each token: counts are of documents, so a repetition is no further evidence."""
+        seen: set[bytes] = set()
+        return [(i, w) for i, w in hits if words[i] not in seen and not seen.add(words[i])]
+
+    def document_evidence(self, hits: list[tuple[int, float]], words: list[bytes]) -> float:
+        return self.evidence(segments(self.once(hits, words)), len(words))
+
     def expected(self, score: float, n: int) -> float:
         return K * max(n, 1) * math.exp(-min(self.scale * score, 700))
 
@@ -163,8 +179,11 @@ class Model:
 
     def of(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         words = words_of(text)
-        segs = segments(self.lexicon.positive(words))
-        return self.score(self.lexicon.evidence(segs, len(words))), [s for s in segs if self.lexicon.expected(s[2], len(words)) < SIGNIFICANT]
+        hits = self.lexicon.positive(words)
+        if not hits:
+            return self.score(NO_EVIDENCE), []
+        segs = segments(hits)
+        return self.score(self.lexicon.document_evidence(hits, words)), [s for s in segs if self.lexicon.expected(s[2], len(words)) < SIGNIFICANT]
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, all_folds: bool = False) -> DataFrame:
@@ -172,6 +191,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, all_folds: bool = False) -
     wanted = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     if not all_folds:
         wanted = wanted.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
+    # copies of a text are one row of training: else the words of a text copied often look telling
+    hashes = docs.select("doc_id", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"))
+    wanted = common.materialise(hashes.join(wanted, "doc_id").groupBy("h", "g", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic"), "labelled")
     n = wanted.count()
     if n * 16 <= BROADCAST_LABELS:
         wanted = F.broadcast(wanted)
@@ -226,7 +248,7 @@ def fit(rows: DataFrame) -> Model:
     prior = F.lit(PRIOR) * F.col("n")
     delta = F.log((a + prior) / F.greatest(F.lit(n_toxic + PRIOR * n_all) - a - prior, F.lit(0.5))) - F.log((b + prior) / F.greatest(F.lit(n_clean + PRIOR * n_all) - b - prior, F.lit(0.5)))
     z = delta / F.sqrt(1 / (a + prior) + 1 / (b + prior))
-    top = counts.where(~F.col("token").isin(b" n", b" clean")).withColumn("z", z).where((F.col("z") >= Z * 0.6) & (delta >= MIN_LOG_ODDS * 0.6)).orderBy(F.desc("z"), "token").limit(MAX_TERMS)
+    top = counts.where(~F.col("token").isin(b" n", b" clean")).withColumn("z", z).where((F.col("z") >= least_z(n_toxic) * 0.6) & (delta >= MIN_LOG_ODDS * 0.6)).orderBy(F.desc("z"), "token").limit(MAX_TERMS)
     lexicon = Lexicon({bytes(r["token"]): (r["a"], r["n"] - r["a"]) for r in top.collect()}, n_toxic, n_clean, clean_tokens)
     sent = sc.broadcast(lexicon)
 
@@ -238,7 +260,7 @@ def fit(rows: DataFrame) -> Model:
                 ev = []
                 for text, toxic in zip(common.texts_of(part), labels, strict=True):
                     words = words_of(text)
-                    ev.append(round(2 * lex.evidence(segments(lex.positive(words, toxic)), len(words))))
+                    ev.append(round(2 * lex.document_evidence(lex.positive(words, toxic), words)))
                 yield pa.RecordBatch.from_arrays([pa.array(ev, pa.int32()), pa.array(labels, pa.int32())], names=["e", "toxic"])
 
     bins = rows.mapInArrow(calibrate, "e int, toxic int").groupBy("e", "toxic").agg(F.count("*").alias("n")).collect()
