@@ -26,6 +26,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_substring_dedup": substring.OP1_SQL,
+        "op2_url_filters": urlfilter.op2_sql(),
+        "op6_warc_archive": warc.OP6_SQL,
         "op9_benchmark_decontamination": decontam.OP9_SQL,
         "op10_line_dedup": linededup.OP10_SQL,
     }

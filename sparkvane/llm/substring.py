@@ -391,3 +391,17 @@ def reference_spans(docs: DataFrame, reference: DataFrame, window: int = WINDOW)
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Removed words of every document against all documents of smaller doc_id."""
     return report(common.read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+OP1_SQL = r"""
+WITH docs AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS ws FROM documents),
+starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM docs WHERE len(ws) >= 50),
+seqs AS (SELECT doc_id, i, sha256(array_to_string(ws[i:i + 49], ' ')) AS s FROM starts),
+firsts AS (SELECT s, min(doc_id) AS m FROM seqs GROUP BY s HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT doc_id, j FROM (SELECT q.doc_id, unnest(range(q.i, q.i + 50)) AS j FROM seqs q JOIN firsts f USING (s) WHERE q.doc_id > f.m)),
+words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS j FROM docs),
+kept AS (SELECT w.doc_id, string_agg(w.w, ' ' ORDER BY w.j) AS t FROM words w LEFT JOIN gone g USING (doc_id, j) WHERE g.j IS NULL GROUP BY w.doc_id),
+removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, coalesce(r.n, 0) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM docs d LEFT JOIN removed r USING (doc_id) LEFT JOIN kept k USING (doc_id)
+"""

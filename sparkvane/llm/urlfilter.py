@@ -80,13 +80,13 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 def grams(host: Column, path: Column) -> Column:
     """The buckets of all n-grams; a part shorter than n has none of that size."""
 
+    def of_size(framed: Column, prefix: str, n: int) -> Column:
+        starts = F.when(F.length(framed) >= n, F.sequence(F.lit(1), F.length(framed) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: (F.conv(F.substring(F.md5(F.concat(F.lit(prefix), framed.substr(i, F.lit(n)))), 1, 7), 16, 10).cast("int") % BUCKETS).cast("int"))
+
     def of(text: Column, prefix: str) -> Column:
         framed = F.concat(F.lit("^"), text, F.lit("$"))
-        parts = []
-        for n in SIZES:
-            starts = F.when(F.length(framed) >= n, F.sequence(F.lit(1), F.length(framed) - (n - 1))).otherwise(F.array().cast("array<int>"))
-            parts.append(F.transform(starts, lambda i, n=n: (F.conv(F.substring(F.md5(F.concat(F.lit(prefix), framed.substr(i, F.lit(n)))), 1, 7), 16, 10).cast("int") % BUCKETS).cast("int")))
-        return F.concat(*parts)
+        return F.concat(*[of_size(framed, prefix, n) for n in SIZES])
 
     return F.concat(of(host, "h"), of(path, "p"))
 
@@ -161,3 +161,44 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on the url of every page."""
     pages = common.read(spark, sf_dir, "pages", "page_id", "url")
     return judge(pages, train(labelled_urls(spark))).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op2_sql() -> str:
+    """The same rules, features, descent and verdicts as DuckDB SQL."""
+    values = ", ".join(f"({i}, '{u}', {y})" for i, (u, y) in enumerate(LABELLED))
+
+    def split(source: str) -> str:
+        rest = "CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END"
+        return f"""SELECT *, translate(regexp_extract({rest}, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+          regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1) AS path FROM (SELECT * REPLACE (coalesce(url, '') AS url) FROM {source})"""
+
+    def gram_list(column: str, prefix: str) -> str:
+        parts = [f"[substr('^' || {column} || '$', CAST(i AS BIGINT), {n}) FOR i IN range(1, length({column}) + {4 - n})]" for n in SIZES]
+        return f"[CAST(CAST('0x' || substr(md5('{prefix}' || g), 1, 7) AS BIGINT) % {BUCKETS} AS INT) FOR g IN list_concat({', '.join(parts[:2])}{''.join(', ' + p for p in parts[2:])})]"
+
+    def rule(value) -> str:
+        cases = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{value((h, p, v))}'" for h, p, v in sorted(RULES, key=lambda r: -len(r[0] + r[1])))
+        return f"CASE {cases} END"
+
+    return f"""
+WITH RECURSIVE labelled(i, url, y) AS (VALUES {values}),
+lg AS (SELECT i, y, list_concat({gram_list('host', 'h')}, {gram_list('path', 'p')}) AS g FROM ({split('labelled')})),
+x AS (SELECT i, y, bucket, count(*) / sqrt(n) AS x FROM (SELECT i, y, len(g) AS n, unnest(g) AS bucket FROM lg) GROUP BY i, y, n, bucket),
+inner_products AS (SELECT a.i, b.i AS j, sum(a.x * b.x) AS k FROM x a JOIN x b USING (bucket) GROUP BY ALL),
+kernel AS (SELECT l.i, list(CAST(coalesce(p.k, 0) + 1 AS DOUBLE) ORDER BY m.i) AS k FROM lg l CROSS JOIN lg m LEFT JOIN inner_products p ON p.i = l.i AND p.j = m.i GROUP BY l.i),
+ks AS (SELECT list(k ORDER BY i) AS ks FROM kernel),
+ys AS (SELECT list(CAST(y AS DOUBLE) ORDER BY i) AS ys, count(*) AS n FROM lg),
+fit(t, alpha) AS (
+  SELECT 0, [CAST(0 AS DOUBLE) FOR y IN ys] FROM ys
+  UNION ALL
+  SELECT t + 1, [alpha[i] * {1 - RATE * RIDGE!r} + (ys[i] - 1 / (1 + exp(-list_dot_product(ks[i], alpha)))) * {RATE!r} / n FOR i IN range(1, n + 1)]
+  FROM fit, ks, ys WHERE t < {STEPS}),
+alphas AS (SELECT unnest(alpha) AS a, unnest(range(len(alpha))) AS i FROM fit WHERE t = {STEPS}),
+weights AS (SELECT bucket, sum(x * a) AS w FROM x JOIN alphas USING (i) GROUP BY bucket),
+intercept AS (SELECT sum(a) AS b FROM alphas),
+p AS (SELECT page_id, host, path, list_concat({gram_list('host', 'h')}, {gram_list('path', 'p')}) AS g FROM ({split('pages')})),
+s AS (SELECT page_id, sum(w) AS total FROM (SELECT page_id, unnest(g) AS bucket FROM p) JOIN weights USING (bucket) GROUP BY page_id)
+SELECT p.page_id, host, path, {rule(lambda r: r[0] + r[1])} AS rule,
+  coalesce({rule(lambda r: r[2])}, CASE WHEN coalesce(total, 0) / sqrt(greatest(len(g), 1)) + b >= 0 THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN s USING (page_id), intercept
+"""

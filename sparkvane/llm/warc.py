@@ -178,3 +178,15 @@ def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archive(spark, path).select(
         "page_id", F.col("size").alias("payload_bytes"), F.col("sha1").alias("payload_digest"), "record_type", "refers_to"
     )
+
+
+#: Base32 of 20 bytes: each 5 hex digits are 20 bits, four letters.
+OP6_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+h AS (SELECT page_id, octet_length(encode(payload)) AS n, sha1(payload) AS hex, max(page_id) OVER (PARTITION BY payload) AS holder FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string([array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(hex, CAST(5 * i + 1 AS BIGINT), 5) AS BIGINT) >> CAST(s AS INT)) & 31 AS BIGINT) + 1, 1)
+    FOR s IN [15, 10, 5, 0]], '') FOR i IN range(8)], '') AS payload_digest,
+  CASE WHEN page_id = holder THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> holder THEN holder END AS refers_to
+FROM h
+"""

@@ -1,5 +1,7 @@
+import hashlib
 import re
 
+import numpy as np
 import pytest
 
 from sparkvane.llm import urlfilter
@@ -36,6 +38,29 @@ def test_parts_and_rules(spark, model):
         assert got[i]["verdict"] == (rule[1] if rule else "block" if got[i]["p_block"] >= 0.5 else "allow")
 
 
+def grams(url):
+    host, path, _ = brute(url)
+    framed = [("h", f"^{host}$"), ("p", f"^{path}$")]
+    every = [k + f[i : i + n] for k, f in framed for n in urlfilter.SIZES for i in range(len(f) - n + 1)]
+    return sorted(int(hashlib.md5(g.encode()).hexdigest()[:7], 16) % urlfilter.BUCKETS for g in every)
+
+
+def test_features_and_weights_equal_numpy(spark, model):
+    d = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)], "i int, url string")
+    got = {r["i"]: sorted(r["g"]) for r in d.select("i", urlfilter.grams(*urlfilter.host_and_path(d["url"])).alias("g")).collect()}
+    assert got == {i: grams(u) for i, u in enumerate(URLS)}
+    x, y = np.zeros((len(urlfilter.LABELLED), urlfilter.BUCKETS)), np.array([v for _, v in urlfilter.LABELLED])
+    for i, (u, _) in enumerate(urlfilter.LABELLED):
+        np.add.at(x[i], grams(u), 1 / np.sqrt(len(grams(u))))
+    w, b = np.zeros(urlfilter.BUCKETS), 0.0
+    for _ in range(urlfilter.STEPS):
+        miss = (y - 1 / (1 + np.exp(-(x @ w + b)))) / len(y)
+        keep = 1 - urlfilter.RATE * urlfilter.RIDGE
+        w, b = w * keep + urlfilter.RATE * x.T @ miss, b * keep + urlfilter.RATE * miss.sum()
+    fitted = model.first()
+    assert np.allclose(fitted["weights"], w, atol=1e-6) and abs(fitted["intercept"] - b) < 1e-6
+
+
 def test_held_out_names(spark, model):
     bad = [f"http://{s}{n}.info/{p}" for n in ("casino-club", "cheap-pills24", "online-bets") for s, p in (("", "en/1"), ("www.", "de/77"))]
     good = [f"http://{s}{n}.info/{p}" for n in ("riverside", "winterthur", "thornbury", "schoolhouse") for s, p in (("", "en/1"), ("www.", "de/77"))]
