@@ -148,9 +148,13 @@ def week_start(c: Column) -> Column:
 
 
 def offer_status(status: Column, valid_until: Column, today: Column) -> Column:
-    """Expired once the last day is past; soon ending within 14 days of it; else as it was."""
-    left = F.datediff(valid_until, today)
-    return F.when(left < 0, "Süresi doldu").when(left.between(0, 14), "Yakında bitecek").otherwise(status)
+    """Expired after its last day; an expired one with days left is active again; else as it was."""
+    s = F.when(F.trim(F.coalesce(status, F.lit(""))) == "", "Belirsiz").otherwise(F.trim(status))
+    return F.when(valid_until < today, "Süresi doldu").when(valid_until.isNotNull() & (s == "Süresi doldu"), "Aktif").otherwise(s)
+
+
+def offer_active(status: Column, valid_until: Column, today: Column) -> Column:
+    return (F.trim(status) == "Aktif") & (valid_until.isNull() | (valid_until >= today))
 
 
 def due(next_check: Column, today: Column) -> Column:
