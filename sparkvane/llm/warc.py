@@ -15,7 +15,8 @@ Scale: digests are computed in one narrow pass; what is grouped and joined are d
 Payload bytes move once, to the row that stores them. A payload shared by many records
 is stored and verified once, so no task gathers its copies.
 
-Defined results: a null html is the empty payload; a null url leaves out the target header;
+Defined results: a null html is the empty payload; rows with a null page_id are archived, and
+are revisits of a row with an id if one has their payload, responses otherwise; a null url leaves out the target header;
 rows that repeat a page_id with the same payload are written again and refer like others
 (a row with the responding page_id itself is a response); line breaks in a url are written
 percent-encoded, so that a header keeps its lines. Extra columns are not archived.
@@ -65,7 +66,7 @@ def sha1_base32(payload: bytes) -> str:
 
 def header(page_id: int, url: str | None, sha1: str, size: int, kind: str, refers_to: int | None) -> bytes:
     """The header block of a record, with its closing empty line."""
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {DATE}"]
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}"]
     if url is not None:
         lines.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     if kind == "revisit":
@@ -105,8 +106,12 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES) -> No
 
     routed.mapInArrow(headers, "header binary, sha256 binary").write.option("compression", "zstd").parquet(f"{path}/records")
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8").alias("payload")
-    kept = pages.select("page_id", "html").join(stored, "page_id").dropDuplicates(["sha256"]) if _repeats_ids(found) else pages.select("page_id", "html").join(stored, "page_id")
-    kept.select("sha256", payload).write.option("compression", "zstd").parquet(f"{path}/payloads")
+    kept = pages.select("page_id", "html").join(stored, "page_id").select("sha256", payload)
+    if _repeats_ids(found):
+        kept = kept.dropDuplicates(["sha256"])
+    without_id = pages.where("page_id IS NULL").select(payload).withColumn("sha256", F.unhex(F.sha2("payload", 256)))
+    alone = without_id.join(stored.where("page_id IS NOT NULL").select("sha256"), "sha256", "left_anti").dropDuplicates(["sha256"])
+    kept.unionByName(alone).write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
 def _repeats_ids(found: DataFrame) -> bool:
@@ -133,7 +138,7 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
     """The parsed fields of every record beside its exact header bytes."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = lambda urn: int(urn.removeprefix("<urn:page:").removesuffix(">")) if urn else None
+        number = lambda urn: int(n) if urn and (n := urn.removeprefix("<urn:page:").removesuffix(">")) else None
         for batch in batches:
             blocks = batch.column(0).to_pylist()
             fields = [parse_header(b) for b in blocks]

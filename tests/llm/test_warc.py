@@ -52,6 +52,14 @@ def test_damage_is_noticed(spark, pages):
         warc.read_archive(spark, path).collect()
 
 
+def test_rows_without_an_id(spark, pages):
+    path = common.fresh_path(spark, "t")
+    rows = [(None, "n", "only here"), (None, "n", "only here"), (None, "n", "x")]
+    warc.write_archive(pages.select("page_id", "url", "html").union(spark.createDataFrame(rows, "page_id long, url string, html string")), path)
+    got = warc.read_archive(spark, path).where("page_id IS NULL").select("record_type", "refers_to", "size").collect()
+    assert sorted(map(tuple, got), key=repr) == [("response", None, 9), ("response", None, 9), ("revisit", 7, 1)]
+
+
 def test_repeated_rows_and_nothing(spark, pages):
     path = common.fresh_path(spark, "t")
     warc.write_archive(pages.union(pages.where("page_id = 7")), path)
