@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 #: Turkish letters that keys fold to ASCII.
 TURKISH = "ığüşöç"
 ASCII = "igusoc"
+#: White space of Unicode, and the separators that count as such.
+WHITE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 TRUE_WORDS = ("true", "1", "yes")
 
 
@@ -24,7 +26,7 @@ def text(c: Column | str) -> Column:
 
 def clean(c: Column | str) -> Column:
     """Text without white space at both ends."""
-    return F.regexp_replace(text(c), r"(?U)^\s+|\s+$", "")
+    return F.btrim(text(c), F.lit(WHITE))
 
 
 def squeeze(c: Column | str) -> Column:

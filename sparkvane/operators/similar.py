@@ -128,3 +128,26 @@ def evidence(cells: DataFrame, sources: DataFrame, shortest: int = 15) -> DataFr
     joined = cells.join(texts, "url", "left")
     quote = squeeze("quote")
     return joined.withColumn("accepted", F.coalesce((F.length(quote) >= shortest) & F.col("_text").contains(quote), F.lit(False))).drop("_text")
+
+
+def containment(documents: DataFrame, quotes: DataFrame, shortest: int = 15) -> DataFrame:
+    """(item_id, doc_id) where the quote, of at least ``shortest`` characters, occurs in the text as it is.
+
+    A quote's key is its longest inner word (the first and last may be cut in the text), which
+    the text must hold as a whole word. Documents and quotes meet on keys alone; texts are only
+    looked at for the pairs that are left. Quotes of fewer than three words have no inner
+    word; they are tried on every text.
+    """
+    words = lambda c: F.split(c, r"\s+")
+    long_enough = quotes.where(F.length("quote") >= shortest).select("item_id", "quote", words(F.col("quote")).alias("w"))
+    inner = F.filter(F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0))), lambda x: x != "")
+    longest = F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("k"))))["k"]
+    keyed = long_enough.withColumn("key", longest)
+    each = documents.select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("key"))
+    pairs = each.join(keyed.where("key IS NOT NULL").select("item_id", "quote", "key"), "key").select("doc_id", "item_id", "quote")
+    held = documents.join(pairs, "doc_id").where(F.col("text").contains(F.col("quote"))).select("item_id", "doc_id")
+    without = keyed.where("key IS NULL").select("item_id", "quote")
+    if without.isEmpty():
+        return held.distinct()
+    tried = documents.join(F.broadcast(without), F.col("text").contains(F.col("quote"))).select("item_id", "doc_id")
+    return held.unionByName(tried).distinct()

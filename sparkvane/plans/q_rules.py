@@ -36,8 +36,7 @@ def recency_gate(spark, sf):
         F.when(k == 1, d).otherwise(none).alias("campaign_end_date"),
         F.when(F.col("o_orderkey") % 4 == 3, "Düşük").otherwise("Yüksek").alias("date_confidence"),
     )
-    r = o.select("o_orderkey", recency.evaluate("1995-01-01").alias("r"))
-    return r.select("o_orderkey", "r.is_recent", "r.recency_reason", "r.is_active_campaign")
+    return recency.add_recency(o, "1995-01-01", "r").select("o_orderkey", "r.is_recent", "r.recency_reason", "r.is_active_campaign")
 
 
 _KIND = """CASE WHEN contains(x, 'apache license') THEN 'İş Birliği' WHEN contains(x, 'gnu general') THEN 'Regülasyon' WHEN contains(x, 'rights reserved') THEN 'Rapor / Araştırma' ELSE 'Belirsiz' END"""

@@ -245,16 +245,7 @@ def greedy_dedup(spark, sf):
 
 @query("evidence_containment", r"""SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE length(b.text) >= 15""")
 def evidence_containment(spark, sf):
-    # the quotes are the stated, bounded side; texts are scanned once and never paired by key
-    quotes = table(spark, sf, "benchmark").where("length(text) >= 15").select("item_id", F.col("text").alias("quote"))
-    d = table(spark, sf, "documents").select("doc_id", "text")
-    anchor = lambda c: F.substring_index(F.substring_index(c, " ", 3), " ", -3)
-    keyed = quotes.withColumn("key", anchor(F.col("quote")))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0))), lambda i: F.array_join(F.slice("w", i + 1, 3), " ")))
-    words = d.select("doc_id", "text", F.split("text", "[ ]").alias("w"))
-    hit = words.select("doc_id", "text", F.explode(grams).alias("key")).join(F.broadcast(keyed), "key")
-    exact = hit.where(F.col("text").contains(F.col("quote"))).select("item_id", "doc_id").distinct()
-    return exact
+    return similar.containment(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote")))
 
 
 @query("alias_join", "SELECT s_suppkey, lower(n_name) AS institution_id FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE NOT contains(n_name, ' ')")

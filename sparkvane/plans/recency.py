@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkvane.functions import dates
@@ -75,21 +75,26 @@ def date_semantics(visible: str, url: str, listing: str, metadata: str, inferred
     )
 
 
-def evaluate(cutoff: Column | str = DEFAULT_START, allow_undated: bool = False, allow_low_confidence: bool = False, allow_end_date: bool = False) -> Column:
-    """struct(is_recent, recency_reason, recency_basis_date, is_active_campaign) from the item's date columns.
-
-    Expects text columns: those of ``BASIS``, campaign_end_date and date_confidence.
-    """
-    limit = F.coalesce((F.lit(cutoff) if isinstance(cutoff, str) else cutoff).try_cast("date"), F.lit(DEFAULT_START).cast("date"))
+def _parts() -> dict[str, Column]:
+    """What the verdict looks at: the date that counts, whether it is only a campaign's end, the confidence."""
     end = clean("campaign_end_date")
     values = [clean(c) for c, _ in BASIS]
     basis = F.coalesce(*[F.when(v != "", v) for v in values], F.lit(""))
     only_end = (end != "") & ((basis == "") | ((basis == end) & (values[0] == "") & (values[1] == "") & (values[2] == "")))
     value = F.when(basis == "", end).otherwise(basis)
-    day = F.substring(value, 1, 10).try_cast("date")
-    end_day = F.substring(end, 1, 10).try_cast("date")
-    confidence = F.when(clean("date_confidence") == "", "Yok").otherwise(clean("date_confidence"))
-    none = F.lit(None).cast("date")
+    return {
+        "value": value,
+        "day": F.substring(value, 1, 10).try_cast("date"),
+        "end": end,
+        "end_day": F.substring(end, 1, 10).try_cast("date"),
+        "only_end": only_end,
+        "confidence": F.when(clean("date_confidence") == "", "Yok").otherwise(clean("date_confidence")),
+    }
+
+
+def _verdict(p: dict[str, Column], cutoff: Column | str, allow_undated: bool, allow_low_confidence: bool, allow_end_date: bool) -> Column:
+    limit = F.coalesce((F.lit(cutoff) if isinstance(cutoff, str) else cutoff).try_cast("date"), F.lit(DEFAULT_START).cast("date"))
+    day, none = p["day"], F.lit(None).cast("date")
     shown = F.date_format(day, "yyyy-MM-dd")
 
     def verdict(recent: bool, reason, basis_day: Column, active) -> dict:
@@ -97,12 +102,27 @@ def evaluate(cutoff: Column | str = DEFAULT_START, allow_undated: bool = False,
 
     return first_match(
         [
-            (value == "", verdict(True, "Tarih yok; manuel izinle geçirildi", none, False) if allow_undated else verdict(False, "Tarih yok; varsayılan kapıdan geçmedi", none, False)),
+            (p["value"] == "", verdict(True, "Tarih yok; manuel izinle geçirildi", none, False) if allow_undated else verdict(False, "Tarih yok; varsayılan kapıdan geçmedi", none, False)),
             (day.isNull(), verdict(False, "Tarih ayrıştırılamadı", none, False)),
-            (~confidence.isin("Yüksek", "Orta") & F.lit(not allow_low_confidence), verdict(False, F.concat(F.lit("Düşük tarih güveni: "), confidence), day, False)),
-            (only_end & F.lit(not allow_end_date), verdict(False, "Sadece kampanya bitiş tarihi bulundu; yeni gelişme kanıtı değil", day, day >= limit)),
-            (day < limit, verdict(False, F.concat(F.lit("Kesim tarihinden eski: "), shown, F.lit(" < "), F.date_format(limit, "yyyy-MM-dd")), day, F.coalesce(end_day >= limit, F.lit(False)))),
-            (only_end, verdict(True, "Sadece kampanya bitiş tarihi bulundu; manuel izinle geçirildi", day, True)),
+            (~p["confidence"].isin("Yüksek", "Orta") & F.lit(not allow_low_confidence), verdict(False, F.concat(F.lit("Düşük tarih güveni: "), p["confidence"]), day, False)),
+            (p["only_end"] & F.lit(not allow_end_date), verdict(False, "Sadece kampanya bitiş tarihi bulundu; yeni gelişme kanıtı değil", day, day >= limit)),
+            (day < limit, verdict(False, F.concat(F.lit("Kesim tarihinden eski: "), shown, F.lit(" < "), F.date_format(limit, "yyyy-MM-dd")), day, F.coalesce(p["end_day"] >= limit, F.lit(False)))),
+            (p["only_end"], verdict(True, "Sadece kampanya bitiş tarihi bulundu; manuel izinle geçirildi", day, True)),
         ],
-        verdict(True, F.concat(F.lit("Kesim tarihi ve tarih güveni uygun: "), shown), day, end != ""),
+        verdict(True, F.concat(F.lit("Kesim tarihi ve tarih güveni uygun: "), shown), day, p["end"] != ""),
     )
+
+
+def evaluate(cutoff: Column | str = DEFAULT_START, allow_undated: bool = False, allow_low_confidence: bool = False, allow_end_date: bool = False) -> Column:
+    """struct(is_recent, recency_reason, recency_basis_date, is_active_campaign) from the item's date columns.
+
+    Expects text columns: those of ``BASIS``, campaign_end_date and date_confidence.
+    """
+    return _verdict(_parts(), cutoff, allow_undated, allow_low_confidence, allow_end_date)
+
+
+def add_recency(df: DataFrame, cutoff: Column | str = DEFAULT_START, name: str = "recency", allow_undated: bool = False, allow_low_confidence: bool = False, allow_end_date: bool = False) -> DataFrame:
+    """``evaluate`` as a column, in two projections: what the verdict looks at is computed once a row."""
+    staged = {f"_recency_{k}": v for k, v in _parts().items()}
+    p = {k: F.col(f"_recency_{k}") for k in _parts()}
+    return df.withColumns(staged).withColumn(name, _verdict(p, cutoff, allow_undated, allow_low_confidence, allow_end_date)).drop(*staged)
