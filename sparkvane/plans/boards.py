@@ -149,10 +149,10 @@ FACT_AREAS = (
 )
 
 
-def facts(documents: DataFrame, key: str, body: str, k: int = 5) -> DataFrame:
+def facts(documents: DataFrame, key: str, body: str, k: int = 5, areas=FACT_AREAS) -> DataFrame:
     """The first k distinct sentences of 45 to 420 characters that belong to an area, with the area."""
     each = documents.select(key, F.posexplode(F.split(text(body), r"(?<=\.)\s+|\n+")).alias("at", "s")).withColumn("fact_text", squeeze("s"))
-    area = first_match([(contains_any("fact_text", w), {"a": name}) for name, w in FACT_AREAS], {"a": F.lit(None).cast("string")})["a"]
+    area = first_match([(contains_any("fact_text", w), {"a": name}) for name, w in areas], {"a": F.lit(None).cast("string")})["a"]
     kept = each.withColumn("product_area", area).where(F.length("fact_text").between(45, 420) & F.col("product_area").isNotNull())
     once = pick(kept, [key, "fact_text"], [F.asc("at")])
     return pick(once, [key], [F.asc("at")], k).select(key, ids.identifier("fact", key, "fact_text").alias("fact_id"), "product_area", "fact_text")

@@ -26,7 +26,6 @@ CAMPAIGN_END = (
     r"(tarihine kadar|['’]?(?:ya|ye|a|e)\s+kadar|kadar ge[çc]erlidir|son kat[ıi]l[ıi]m tarihi|son ba[şs]vuru tarihi|son kullan[ıi]m tarihi|"
     r"kampanya biti[şs] tarihi|kampanya son tarihi|ge[çc]erlilik biti[şs] tarihi|puan kullan[ıi]m (?:son )?tarihi|son tarih|son g[üu]n|biti[şs] tarihi)"
 )
-CAMPAIGN_START = r"(kampanya ba[şs]lang[ıi][çc] tarihi|kampanya ba[şs]lang[ıi]c[ıi]|kampanya d[öo]nemi)"
 
 
 def effective_start(permanent: Column | str, requested: Column, today: Column, days: int = 45) -> Column:
@@ -35,12 +34,14 @@ def effective_start(permanent: Column | str, requested: Column, today: Column, d
     return F.greatest(fixed, F.coalesce(requested, F.date_sub(today, days)))
 
 
-def date_semantics(visible: str, url: str, listing: str, metadata: str, inferred: str, source_type: str) -> Column:
-    """What the dates of an item mean: struct of publication, campaign start and end, type, basis, confidence, source."""
+def add_date_semantics(df: DataFrame, visible: str, url: str, listing: str, metadata: str, inferred: str, source_type: str, name: str = "dates") -> DataFrame:
+    """What the dates of an item mean: struct of publication, campaign start and end, type, basis, confidence, source.
+
+    A range decides for campaigns; else the first place with a date does: visible text,
+    listing, url, metadata, inferred text. Computed in stages, so that each pattern runs once a row.
+    """
     combined = F.substring(F.concat_ws("\n", text(visible), text(listing), text(metadata), text(inferred)), 1, 6000)
     blob = F.concat_ws(" ", text(source_type), text(url), text(listing), text(visible))
-    campaign = matches(blob, CAMPAIGN) | matches(combined, CAMPAIGN)
-    span = F.when(campaign, F.try_element_at(dates.ranges(combined), F.lit(1)))
     places = (
         (dates.turkish(visible), "Yüksek"),
         (dates.turkish(listing), "Orta"),
@@ -48,14 +49,24 @@ def date_semantics(visible: str, url: str, listing: str, metadata: str, inferred
         (dates.turkish(metadata), "Orta"),
         (dates.turkish(inferred), "Düşük"),
     )
-    single = F.coalesce(*[F.when(d.isNotNull(), F.struct(d.alias("d"), F.lit(c).alias("c"))) for d, c in places])
-    ends, starts = matches(combined, CAMPAIGN_END), matches(combined, CAMPAIGN_START)
-    one = single["d"]
-    no_span = span.isNull() & campaign & one.isNotNull()
-    start = F.coalesce(span["start"], F.when(no_span & (~ends | (starts & ~ends)), one))
-    end = F.coalesce(span["end"], F.when(no_span & ends, one))
-    published = F.when(~campaign, one)
-    confidence = F.coalesce(F.when(span.isNotNull(), F.lit("Yüksek")), single["c"], F.lit("Yok"))
+    found = df.withColumns({"_d_text": combined, "_d_blob": blob, "_d_places": F.array(*[d for d, _ in places])})
+    found = found.withColumn("_d_campaign", matches("_d_blob", CAMPAIGN) | matches("_d_text", CAMPAIGN))
+    at = F.array_position(F.transform("_d_places", lambda d: d.isNotNull()), True).cast("int")
+    found = found.withColumns({"_d_at": at, "_d_ranges": F.when(F.col("_d_campaign"), dates.ranges("_d_text")), "_d_ends": F.col("_d_campaign") & matches("_d_text", CAMPAIGN_END)})
+    span = F.try_element_at("_d_ranges", F.lit(1))
+    one = F.when(F.col("_d_at") > 0, F.try_element_at("_d_places", F.col("_d_at")))
+    sure = F.when(F.col("_d_at") > 0, F.try_element_at(F.array(*[F.lit(c) for _, c in places]), F.col("_d_at")))
+    found = found.withColumns({"_d_span": span, "_d_one": one, "_d_sure": sure})
+    one, span, campaign, ends = F.col("_d_one"), F.col("_d_span"), F.col("_d_campaign"), F.col("_d_ends")
+    alone = span.isNull() & campaign & one.isNotNull()
+    found = found.withColumns(
+        {
+            "_d_start": F.coalesce(span["start"], F.when(alone & ~ends, one)),
+            "_d_end": F.coalesce(span["end"], F.when(alone & ends, one)),
+            "_d_published": F.when(~campaign, one),
+        }
+    )
+    start, end, published = F.col("_d_start"), F.col("_d_end"), F.col("_d_published")
     kind = first_match(
         [
             (published.isNotNull(), {"event": "Yayın Tarihi", "basis": published, "source": "publication_date"}),
@@ -64,15 +75,17 @@ def date_semantics(visible: str, url: str, listing: str, metadata: str, inferred
         ],
         {"event": "Belirsiz", "basis": F.lit(None).cast("date"), "source": "missing"},
     )
-    return F.struct(
+    out = found.withColumn("_d_kind", kind)
+    value = F.struct(
         published.alias("publication_date"),
         start.alias("campaign_start_date"),
         end.alias("campaign_end_date"),
-        kind["event"].alias("event_date_type"),
-        kind["basis"].alias("recency_basis_date"),
-        kind["source"].alias("date_source"),
-        confidence.alias("date_confidence"),
+        F.col("_d_kind.event").alias("event_date_type"),
+        F.col("_d_kind.basis").alias("recency_basis_date"),
+        F.col("_d_kind.source").alias("date_source"),
+        F.coalesce(F.when(span.isNotNull(), F.lit("Yüksek")), F.col("_d_sure"), F.lit("Yok")).alias("date_confidence"),
     )
+    return out.withColumn(name, value).select(*df.columns, name)
 
 
 def _parts() -> dict[str, Column]:

@@ -76,7 +76,7 @@ def test_recency_flags(spark):
 def test_date_semantics(spark):
     def of(visible, source_type="Basın"):
         d = row(spark, v=visible, u="", l="", m="", i="", s=source_type)
-        return d.select(recency.date_semantics("v", "u", "l", "m", "i", "s").alias("r")).first()["r"]
+        return recency.add_date_semantics(d, "v", "u", "l", "m", "i", "s", "r").first()["r"]
 
     assert str(of("Duyuru 12 Mayıs 2026")["publication_date"]) == "2026-05-12"
     r = of("Kampanya 1-15 Mayıs 2026 arasında", "Kampanya")
