@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -124,6 +125,27 @@ def copy_absent(source: DataFrame, target: DataFrame, key: str, in_flight: Seque
     return fresh.withColumn("status", F.when(F.col("status").isin(*in_flight), to).otherwise(F.col("status")))
 
 
+_own_folder: dict[str, str] = {}
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write a step's rows to the shared folder and read them back.
+
+    The folder is that of ``spark.checkpoint.dir``; a temporary one only where none is named. The
+    step is computed once, and the plan of what follows starts from a table.
+    """
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        app = spark.sparkContext.applicationId
+        if app not in _own_folder:
+            _own_folder[app] = "file://" + tempfile.mkdtemp(prefix="sparkvane-steps-")
+        base = _own_folder[app]
+    path = f"{base.rstrip('/')}/sparkvane-step-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def read_jdbc(spark: SparkSession, url: str, table: str, column: str | None = None, lower: int = 0, upper: int = 0, partitions: int = 1, **options: str) -> DataFrame:
     """A database table, read in parallel by ranges of a numeric column where one is named."""
     reader = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**options)
