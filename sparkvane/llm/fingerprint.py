@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -51,31 +51,31 @@ def digest(canon: bytes) -> str:
     return xxh3_128_hexdigest(canon)
 
 
-def canonical_texts(docs: DataFrame) -> DataFrame:
+def canonical_texts(docs: DataFrame, digest_of: Callable[[bytes], str] = digest) -> DataFrame:
     """doc_id, digest and canonical bytes; narrow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.text_blocks(batch):
                 canon = [canonical(t) for t in common.texts_of(part)]
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([digest(c) for c in canon]), pa.array(canon, pa.binary())], names=["doc_id", "digest", "canon"])
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([digest_of(c) for c in canon]), pa.array(canon, pa.binary())], names=["doc_id", "digest", "canon"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, digest string, canon binary")
 
 
-def mixed_digests(docs: DataFrame, digests: DataFrame) -> DataFrame:
+def mixed_digests(docs: DataFrame, digests: DataFrame, digest_of: Callable[[bytes], str] = digest) -> DataFrame:
     """Digests that stand for more than one canonical text; ``digests``: a digest column of all rows."""
     several = common.materialise(digests.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "buckets")
     if several.count() <= BROADCAST_DIGESTS:
         several = F.broadcast(several)
-    bucket = canonical_texts(docs).join(several, "digest", "left_semi")
+    bucket = canonical_texts(docs, digest_of).join(several, "digest", "left_semi")
     return bucket.groupBy("digest").agg(F.min("canon").alias("low"), F.max("canon").alias("high")).where("low <> high").select("digest")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, digest_of: Callable[[bytes], str] = digest) -> DataFrame:
     """doc_id and fingerprint of every document."""
-    canon = canonical_texts(docs)
-    mixed = mixed_digests(docs, canon.select("digest")).withColumn("mixed", F.lit(True))
+    canon = canonical_texts(docs, digest_of)
+    mixed = mixed_digests(docs, canon.select("digest"), digest_of).withColumn("mixed", F.lit(True))
     full = canon.select("doc_id", "digest", F.sha2("canon", 256).alias("sha"))
     return full.join(mixed, "digest", "left").select("doc_id", F.when(F.col("mixed"), F.concat_ws(":", "digest", "sha")).otherwise(F.col("digest")).alias("fingerprint"))
 
