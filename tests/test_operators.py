@@ -99,7 +99,7 @@ PAGE = """<html><head><title>T &amp; U</title><script type="application/ld+json"
 
 
 def test_html(spark):
-    assert html.clean_text(PAGE) == ("T & U", "Haberler\nBir satır\nİki\nüç\nYeni kart duyurusu 12 Mayıs 2026Dış haber bağlantısı buradaYeni".replace("2026Dış", "2026 Dış").replace("buradaYeni", "burada Yeni")) or "Bir satır" in html.clean_text(PAGE)[1]
+    assert html.clean_text(PAGE)[0] == "T & U" and html.clean_text(PAGE)[1].split("\n")[:4] == ["Haberler", "Bir satır", "İki", "üç"]
     assert html.clean_text(PAGE)[1].count("Bir satır") == 1 and "alt" not in html.clean_text(PAGE)[1] and html.clean_text(None) == ("", "")
     assert html.markup_date(PAGE) == "2026-05-12"
     pages = spark.createDataFrame([(1, "https://x.com/a", PAGE), (2, "https://x.com/b", None)], "page_id long, url string, html string")
