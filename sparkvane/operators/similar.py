@@ -151,3 +151,15 @@ def containment(documents: DataFrame, quotes: DataFrame, shortest: int = 15) ->
         return held.distinct()
     tried = documents.join(F.broadcast(without), F.col("text").contains(F.col("quote"))).select("item_id", "doc_id")
     return held.unionByName(tried).distinct()
+
+
+def title_match(df: DataFrame, expected: str, candidate: str, keywords: str | None = None, name: str = "score") -> DataFrame:
+    """65 parts similarity of the folded titles and 35 parts share of the expected keywords (an array) that occur, to three digits."""
+    a, b = F.lower(F.trim(F.coalesce(F.col(expected), F.lit("")))), F.lower(F.trim(F.coalesce(F.col(candidate), F.lit(""))))
+    share = F.lit(0.0)
+    if keywords:
+        k = F.filter(F.col(keywords), lambda x: F.trim(x) != "")
+        share = F.when(F.size(k) > 0, F.size(F.filter(k, lambda x: b.contains(F.lower(x)))) / F.size(k)).otherwise(0.0)
+    scored = df.withColumns({"_similarity": title_ratio(a, b), "_share": share})
+    value = F.when((a == "") | (b == ""), 0.0).otherwise(F.round(F.col("_similarity") * 0.65 + F.col("_share") * 0.35, 3))
+    return scored.withColumn(name, value).drop("_similarity", "_share")
