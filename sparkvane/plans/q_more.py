@@ -114,7 +114,7 @@ def fees(spark, sf):
 
 @query(
     "pricing_kpis",
-    """SELECT count(DISTINCT p_brand) AS institutions, count(*) AS points, count(*) FILTER (p_partkey % 9 = 0) AS free, min(p_size + 0.5) FILTER (p_partkey % 4 = 0 AND p_partkey % 9 <> 0) AS best_rate, DATE '2026-06-01' AS checked FROM part""",
+    """SELECT count(DISTINCT p_brand) AS institutions, count(*) AS points, count(*) FILTER (p_partkey % 9 = 0) AS free, CAST(min(p_size + 0.5) FILTER (p_partkey % 4 = 0 AND p_partkey % 9 <> 0) AS DOUBLE) AS best_rate, DATE '2026-06-01' AS checked FROM part""",
 )
 def pricing_kpis(spark, sf):
     return boards.pricing_figures(fees(spark, sf))

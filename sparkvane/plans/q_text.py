@@ -118,7 +118,7 @@ def date_extract(spark, sf):
 @query(
     "money_percent_parse",
     """SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN NULL WHEN p_partkey % 3 = 0 THEN NULL ELSE round(p_retailprice, 2) END AS amount,
-         CASE WHEN p_partkey % 10 <> 0 AND p_partkey % 3 = 0 THEN round(p_size + 0.25, 2) END AS share, p_partkey % 10 = 0 AS free FROM part""",
+         CAST(CASE WHEN p_partkey % 10 <> 0 AND p_partkey % 3 = 0 THEN round(p_size + 0.25, 2) END AS DOUBLE) AS share, p_partkey % 10 = 0 AS free FROM part""",
 )
 def money_percent_parse(spark, sf):
     shown = F.format_number("p_retailprice", 2)  # 1,234.50
