@@ -10,9 +10,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker holds decoded at once (one longer document is held alone).
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 _fallback: dict[str, str] = {}
 _written: list[tuple[SparkSession, str]] = []
@@ -104,6 +105,25 @@ def unused(columns: list[str], base: str) -> str:
     return base
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which the Python worker gives freed memory back: idle workers of a task that
+    held much would else keep it while the next stage's tasks need theirs."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return tidied
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The strings of a column, null as the empty text."""
     return [x or "" for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]

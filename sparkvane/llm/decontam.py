@@ -123,7 +123,7 @@ def _scan_block(docs: DataFrame, items: list[tuple[str, bytes]], window: int) ->
                     out.append({"doc_id": doc_id, "n_words": len(words), "spans": [{"start": a, "stop": b} for a, b in spans], "items": sorted(ids)})
                 yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-    return docs.select("doc_id", "text").mapInArrow(scan, SCAN_SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(common.tidy(scan), SCAN_SCHEMA)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -184,7 +184,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
                 for part in common.text_blocks(batch):
                     yield part.filter(pa.array([not matcher.scan(words_of(raw))[0] for raw in common.bytes_of(part)], pa.bool_()))
 
-        kept = kept.mapInArrow(keep, kept.schema)
+        kept = kept.mapInArrow(common.tidy(keep), kept.schema)
     return kept
 
 

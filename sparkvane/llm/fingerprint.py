@@ -60,7 +60,7 @@ def canonical_texts(docs: DataFrame, digest_of: Callable[[bytes], str] = digest)
                 canon = [canonical(t) for t in common.texts_of(part)]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([digest_of(c) for c in canon]), pa.array(canon, pa.binary())], names=["doc_id", "digest", "canon"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, digest string, canon binary")
+    return docs.select("doc_id", "text").mapInArrow(common.tidy(run), "doc_id long, digest string, canon binary")
 
 
 def mixed_digests(docs: DataFrame, digests: DataFrame, digest_of: Callable[[bytes], str] = digest) -> DataFrame:
@@ -135,7 +135,7 @@ def edits(docs: DataFrame) -> DataFrame:
             yield _columns([(last[0], *none, "last", last[1])], schema)
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    done = common.materialise(ordered.mapInArrow(run, PAIR + ", border string, text string"), "edits")
+    done = common.materialise(ordered.mapInArrow(common.tidy(run), PAIR + ", border string, text string"), "edits")
     return done.where("border IS NULL").drop("border", "text").unionByName(_borders(done.where("border IS NOT NULL").select("doc_id", "border", "text")))
 
 
@@ -161,7 +161,7 @@ def _borders(borders: DataFrame) -> DataFrame:
             if rows:
                 yield _columns([_pair(i, a, b, canonical(a), canonical(b)) for i, a, b in rows], _PAIR_SCHEMA)
 
-    return joined.select("last_id", "last_text", "next_text").mapInArrow(run, PAIR)
+    return joined.select("last_id", "last_text", "next_text").mapInArrow(common.tidy(run), PAIR)
 
 
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

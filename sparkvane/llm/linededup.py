@@ -81,7 +81,7 @@ def fingerprints(docs: DataFrame, run: int) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(map(list, zip(*out, strict=True)), schema, strict=True)], schema=schema)
 
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(scan, _WINDOWS)
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(common.tidy(scan), _WINDOWS)
 
 
 def repeated_windows(docs: DataFrame, run: int = RUN) -> DataFrame:
@@ -125,7 +125,7 @@ def report(docs: DataFrame, run: int = RUN) -> DataFrame:
 
     docs = docs.select("doc_id", "text")
     joined = docs.join(repeated_windows(docs, run), "doc_id", "left").select("doc_id", "text", "places")
-    return joined.mapInArrow(apply, "doc_id long, n_lines long, n_removed long, kept_sha256 string")
+    return joined.mapInArrow(common.tidy(apply), "doc_id long, n_lines long, n_removed long, kept_sha256 string")
 
 
 def deduplicate(docs: DataFrame, run: int = RUN) -> DataFrame:
@@ -147,7 +147,7 @@ def deduplicate(docs: DataFrame, run: int = RUN) -> DataFrame:
                     cols[chars] = pa.array([len(n) if p else c for n, p, c in zip(new, places, cols[chars].to_pylist(), strict=True)], cols[chars].type)
                 yield pa.RecordBatch.from_arrays(cols, names=columns)
 
-    return joined.mapInArrow(apply, docs.schema)
+    return joined.mapInArrow(common.tidy(apply), docs.schema)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

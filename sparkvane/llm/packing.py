@@ -79,8 +79,9 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, tail: int
                 rows = len(out[0])
                 cols = [pa.array(c, pa.int64()) for c in out]
                 yield pa.RecordBatch.from_arrays([*cols[:5], pa.array(np.full(rows, worker, np.int32)), cols[5]], schema=schema)
+        tokens.encoder(vocabulary).rest()
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(common.tidy(run), PIECES)
 
 
 def pack(docs: DataFrame, vocabulary: str = tokens.VOCABULARY, capacity: int = CAPACITY, tail: int = TAIL) -> DataFrame:

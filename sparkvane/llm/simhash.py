@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                 fp = np.array([fingerprint(raw.lower().split(), size) for raw in common.bytes_of(part)], np.uint64)
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text").mapInArrow(common.tidy(run), "doc_id long, fp long")
 
 
 def _expand(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,7 +191,7 @@ def shard_stars(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
         return search(np.cumsum(changes), t[2], t[3])
 
     dealt = rows.repartition("shard", "part").sortWithinPartitions("shard", "part")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(common.tidy(run), "a long, b long")
 
 
 def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -195,8 +195,9 @@ def anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
                     ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False).astype(np.int64), n)
                     hashes, _, first, last = (np.concatenate(c) for c in zip(*found, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(ids), pa.array(first.astype(np.int32)), pa.array((last - first).astype(np.int16))], names=["a", "doc_id", "first", "more"])
+        _hashes.clear()
 
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, "a long, doc_id long, first int, more short")
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(common.tidy(run), "a long, doc_id long, first int, more short")
 
 
 # --- within a corpus ------------------------------------------------------------------
@@ -236,7 +237,7 @@ def _route(docs: DataFrame, shared: DataFrame, window: int) -> DataFrame:
                     yield _batch(out, schema)
 
     joined = docs.select("doc_id", "text").join(shared, "doc_id").select("doc_id", "text", "at")
-    return joined.mapInArrow(run, "ref long, hash binary, doc_id long, start int, words binary")
+    return joined.mapInArrow(common.tidy(run), "ref long, hash binary, doc_id long, start int, words binary")
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -278,7 +279,7 @@ def _shard_spans(segments: DataFrame, window: int) -> DataFrame:
             yield _spans(out)
 
     dealt = segments.repartition("ref").sortWithinPartitions("ref", "doc_id", "start").select("ref", "doc_id", "start", "words")
-    return dealt.mapInArrow(run, "doc_id long, start int, stop int")
+    return dealt.mapInArrow(common.tidy(run), "doc_id long, start int, stop int")
 
 
 def _spans(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
@@ -322,7 +323,7 @@ def report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 yield _batch(out, schema)
 
     docs = docs.select("doc_id", "text")
-    return docs.join(repeated_spans(docs, window), "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return docs.join(repeated_spans(docs, window), "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(common.tidy(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -343,7 +344,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 cols[place] = pa.array([o if not s else t for o, t, s in zip(old, texts, removed, strict=True)], cols[place].type)
                 yield pa.RecordBatch.from_arrays(cols, names=columns)
 
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(common.tidy(run), docs.schema)
 
 
 # --- against a reference ----------------------------------------------------------------
@@ -385,7 +386,7 @@ def reference_spans(docs: DataFrame, reference: DataFrame, window: int = WINDOW)
                     held += [{"start": a, "stop": b} for a, b in matches(automaton, words, window)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(found, span)], names=["doc_id", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, spans array<struct<start:int,stop:int>>")
+    return docs.select("doc_id", "text").mapInArrow(common.tidy(run), "doc_id long, spans array<struct<start:int,stop:int>>")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,6 +38,8 @@ VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
 #: Distinct chunks that a worker keeps; the table is emptied when it is full.
 CACHE_CHUNKS = 400_000
+#: Distinct chunks kept between tasks of one worker.
+KEPT_CHUNKS = 20_000
 #: Characters of those chunks.
 CACHE_CHARS = 16 << 20
 #: Symbols merged in one array pass.
@@ -252,6 +254,11 @@ class Encoder:
         per_chunk = np.bincount(owner, weights=np.diff(ends), minlength=len(new)).astype(np.int64)
         self.chunk.extend(ids, np.append(0, np.cumsum(per_chunk)))
 
+    def rest(self) -> None:
+        """Between tasks only small tables are kept."""
+        if len(self.number) > KEPT_CHUNKS:
+            self._reset()
+
     def _look_up(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(numbers of all chunks, chunks of each text); every chunk is in the table then."""
         if len(self.number) > CACHE_CHUNKS or self.held > CACHE_CHARS:
@@ -304,7 +311,7 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(vocabulary: str) -> Encoder:
-    """The encoder of this Python worker: its tables outlive a task."""
+    """The encoder of this Python worker, for one task after the other."""
     if vocabulary not in _encoders:
         _encoders[vocabulary] = Encoder(Vocabulary(vocabulary_path(vocabulary)))
     return _encoders[vocabulary]
@@ -326,8 +333,9 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIM
                 n = encoder(vocabulary).count(common.texts_of(part))
                 size = [len(b) for b in common.bytes_of(part)]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], schema=schema)
+        encoder(vocabulary).rest()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select("doc_id", "text").mapInArrow(common.tidy(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -235,7 +235,7 @@ def fit(rows: DataFrame) -> Model:
                     yield flush()
         yield flush()
 
-    counts = common.materialise(rows.mapInArrow(count, "token binary, a long, n long").groupBy("token").agg(F.sum("a").alias("a"), F.sum("n").alias("n")).where(F.col("a") + F.when(F.substring("token", 1, 1) == F.lit(b" "), 9).otherwise(0) >= MIN_TOXIC), "toxic-counts")
+    counts = common.materialise(rows.mapInArrow(common.tidy(count), "token binary, a long, n long").groupBy("token").agg(F.sum("a").alias("a"), F.sum("n").alias("n")).where(F.col("a") + F.when(F.substring("token", 1, 1) == F.lit(b" "), 9).otherwise(0) >= MIN_TOXIC), "toxic-counts")
     special = {bytes(r["token"]): r for r in counts.where(F.col("token").isin(b" n", b" clean")).collect()}
     n_toxic = special[b" n"]["a"] if b" n" in special else 0
     n_all = special[b" n"]["n"] if b" n" in special else 0
@@ -263,7 +263,7 @@ def fit(rows: DataFrame) -> Model:
                     ev.append(round(2 * lex.document_evidence(lex.positive(words, toxic), words)))
                 yield pa.RecordBatch.from_arrays([pa.array(ev, pa.int32()), pa.array(labels, pa.int32())], names=["e", "toxic"])
 
-    bins = rows.mapInArrow(calibrate, "e int, toxic int").groupBy("e", "toxic").agg(F.count("*").alias("n")).collect()
+    bins = rows.mapInArrow(common.tidy(calibrate), "e int, toxic int").groupBy("e", "toxic").agg(F.count("*").alias("n")).collect()
     intercept, slope = logistic([(r["e"] / 2, r["toxic"], r["n"]) for r in bins])
     return Model(lexicon, intercept, slope)
 
@@ -305,7 +305,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
                     schema=schema,
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int, passages array<struct<start:int,stop:int,score:double>>")
+    return docs.select("doc_id", "text").mapInArrow(common.tidy(run), "doc_id long, score double, predicted int, passages array<struct<start:int,stop:int,score:double>>")
 
 
 def clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -317,7 +317,7 @@ def clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             for part in common.text_blocks(batch):
                 yield part.filter(pa.array([sent.value.of(t)[0] < threshold for t in common.texts_of(part)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.tidy(run), docs.schema)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,7 +57,7 @@ def digests(pages: DataFrame) -> DataFrame:
                     names=["page_id", "url", "sha256", "sha1", "size"],
                 )
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, sha256 binary, sha1 string, size long")
+    return pages.select("page_id", "url", "html").mapInArrow(common.tidy(run), "page_id long, url string, sha256 binary, sha1 string, size long")
 
 
 def sha1_base32(payload: bytes) -> str:
@@ -104,7 +104,7 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES) -> No
                 blocks.append(header(r["page_id"], r["url"], r["sha1"], r["size"], "revisit" if revisit else "response", r["holder"] if revisit else None))
             yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.binary()), pa.array([r["sha256"] for r in rows], pa.binary())], names=["header", "sha256"])
 
-    routed.mapInArrow(headers, "header binary, sha256 binary").write.option("compression", "zstd").parquet(f"{path}/records")
+    routed.mapInArrow(common.tidy(headers), "header binary, sha256 binary").write.option("compression", "zstd").parquet(f"{path}/records")
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8").alias("payload")
     kept = pages.select("page_id", "html").join(stored, "page_id").select("sha256", payload)
     if _repeats_ids(found):
@@ -131,7 +131,7 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
                         raise ValueError(f"payload {k.hex()} does not match its digest")
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([sha1_base32(p) for p in payloads]), pa.array([len(p) for p in payloads], pa.int64()), part.column(1)], names=["sha256", "sha1", "size", "payload"])
 
-    return spark.read.schema("sha256 binary, payload binary").parquet(f"{path}/payloads").mapInArrow(verify, "sha256 binary, sha1 string, size long, payload binary")
+    return spark.read.schema("sha256 binary, payload binary").parquet(f"{path}/payloads").mapInArrow(common.tidy(verify), "sha256 binary, sha1 string, size long, payload binary")
 
 
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
@@ -157,7 +157,7 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
             )
 
     schema = "page_id long, url string, record_type string, refers_to long, stated_sha1 string, stated_size long, header binary, sha256 binary"
-    return spark.read.schema("header binary, sha256 binary").parquet(f"{path}/records").mapInArrow(parse, schema)
+    return spark.read.schema("header binary, sha256 binary").parquet(f"{path}/records").mapInArrow(common.tidy(parse), schema)
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
