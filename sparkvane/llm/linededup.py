@@ -6,6 +6,11 @@ starts earlier (in a document of smaller doc_id, or higher up in the same docume
 deleted; its first occurrence stays. Deleted are exactly the lines in some window of ``RUN``
 lines whose line sequence starts earlier, which is what matches extended both ways cover.
 
+Query op10 counts lines alone, as its SQL says. ``deduplicate``, which the pipeline takes, also
+counts what a run holds: a run of fewer lines is deleted too, once it holds at least
+``LONG_WORDS`` words or, for scripts that set no spaces, ``LONG_BYTES`` bytes. Each window of
+fewer lines that holds as much is a fingerprint of its own, so none of them is missed.
+
 Winnowing: of every ``RUN`` consecutive lines the one with the least hash is selected, the
 rightmost of equals. Equal windows select equal lines, so a repeated run of ``RUN`` lines is
 guaranteed a common fingerprint, and most lines are never shuffled. Positions are joined on
@@ -36,8 +41,11 @@ from pyspark.sql import functions as F
 from sparkvane.llm import common
 
 RUN = 3
+#: Words, or bytes, from which on a run of fewer lines counts.
+LONG_WORDS = 50
+LONG_BYTES = 300
 
-_WINDOWS = "h long, doc_id long, place int, digests array<binary>"
+_WINDOWS = "h long, doc_id long, place int, width int, digests array<binary>"
 
 
 def lines_of(raw: bytes) -> tuple[list[bytes], list[int]]:
@@ -57,9 +65,19 @@ def winnow(hashes: np.ndarray, run: int) -> np.ndarray:
     return np.arange(len(view)) + run - 1 - view[:, ::-1].argmin(axis=1)
 
 
-def fingerprints(docs: DataFrame, run: int) -> DataFrame:
-    """(h, doc_id, place, digests): a selected line, and the windows that selected it from ``place`` on."""
-    schema = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int32()), ("digests", pa.list_(pa.binary()))])
+def long_windows(lines: list[bytes], run: int) -> Iterator[tuple[int, int]]:
+    """(place, width) of the windows of fewer than ``run`` lines that hold enough to count."""
+    words = [len(x.split()) for x in lines]
+    for i in range(len(lines)):
+        for j in range(i + 1, min(i + run, len(lines) + 1)):
+            if sum(words[i:j]) >= LONG_WORDS or sum(map(len, lines[i:j])) >= LONG_BYTES:
+                yield i, j - i
+
+
+def fingerprints(docs: DataFrame, run: int, by_content: bool) -> DataFrame:
+    """(h, doc_id, place, width, digests): a selected line, and the windows of ``width`` lines that
+    selected it from ``place`` on; a window that counts by its content stands for itself."""
+    schema = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int32()), ("width", pa.int32()), ("digests", pa.list_(pa.binary()))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest, xxh3_128_digest
@@ -69,6 +87,10 @@ def fingerprints(docs: DataFrame, run: int) -> DataFrame:
                 out: list[tuple] = []
                 for doc_id, raw in zip(part.column(0).to_pylist(), common.bytes_of(part), strict=True):
                     lines, _ = lines_of(raw)
+                    if by_content:
+                        for i, width in long_windows(lines, run):
+                            digest = xxh3_128_digest(b"\n".join(lines[i : i + width]))
+                            out.append((int.from_bytes(digest[:8], "big", signed=True), doc_id, i, width, [digest]))
                     if len(lines) < run:
                         continue
                     hashes = np.array([xxh3_64_intdigest(x) for x in lines], np.uint64)
@@ -77,28 +99,37 @@ def fingerprints(docs: DataFrame, run: int) -> DataFrame:
                     digests = [xxh3_128_digest(b"\n".join(lines[i : i + run])) for i in range(len(at))]
                     selected = hashes[at[first]].view(np.int64).tolist()
                     for h, i, j in zip(selected, first.tolist(), [*first[1:].tolist(), len(at)], strict=True):
-                        out.append((h, doc_id, i, digests[i:j]))
+                        out.append((h, doc_id, i, run, digests[i:j]))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(map(list, zip(*out, strict=True)), schema, strict=True)], schema=schema)
 
     return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(common.tidy(scan), _WINDOWS)
 
 
-def repeated_windows(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """doc_id and the places (array of line indices, blank lines not counted) of repeated windows."""
-    found = common.materialise(fingerprints(docs, run), "lines")
+def repeated_windows(docs: DataFrame, run: int = RUN, by_content: bool = True) -> DataFrame:
+    """doc_id and the places (array of line indices, blank lines not counted) of repeated windows.
+
+    A place p is a window of ``run`` lines; of a window that counts by its content each line i is
+    a place of its own, written as -1 - i.
+    """
+    found = common.materialise(fingerprints(docs, run, by_content), "lines")
     position = F.struct("doc_id", "place")
     shared = found.groupBy("h").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.min("place").alias("p0"), F.max("place").alias("p1")).where("d0 < d1 OR p0 < p1").select("h")
-    windows = found.join(shared, "h").select("doc_id", "place", F.posexplode("digests").alias("k", "digest")).select("digest", "doc_id", (F.col("place") + F.col("k")).alias("place"))
+    windows = found.join(shared, "h").select("doc_id", "place", "width", F.posexplode("digests").alias("k", "digest")).select("digest", "doc_id", (F.col("place") + F.col("k")).alias("place"), "width")
     earliest = windows.groupBy("digest").agg(F.min(position).alias("first"), F.max(position).alias("last")).where("first <> last").select("digest", "first")
     later = windows.join(earliest, "digest").where(position > F.col("first"))
-    return later.groupBy("doc_id").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    lines = F.transform(F.sequence(F.col("place"), F.col("place") + F.col("width") - 1), lambda i: -1 - i)
+    places = later.select("doc_id", F.explode(F.when(F.col("width") == run, F.array("place")).otherwise(lines)).alias("place"))
+    return places.groupBy("doc_id").agg(F.sort_array(F.collect_set("place")).alias("places"))
 
 
 def deleted_lines(n: int, places: list[int], run: int) -> np.ndarray:
     gone = np.zeros(n, bool)
     for p in places:
-        gone[p : p + run] = True
+        if p < 0:
+            gone[-1 - p] = True
+        else:
+            gone[p : p + run] = True
     return gone
 
 
@@ -124,12 +155,12 @@ def report(docs: DataFrame, run: int = RUN) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(map(list, zip(*out, strict=True)), schema, strict=True)], schema=schema)
 
     docs = docs.select("doc_id", "text")
-    joined = docs.join(repeated_windows(docs, run), "doc_id", "left").select("doc_id", "text", "places")
+    joined = docs.join(repeated_windows(docs, run, by_content=False), "doc_id", "left").select("doc_id", "text", "places")
     return joined.mapInArrow(common.tidy(apply), "doc_id long, n_lines long, n_removed long, kept_sha256 string")
 
 
 def deduplicate(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """The documents with all columns, without later repeated runs."""
+    """The documents with all columns, without later repeated runs, be they of many lines or of much content."""
     columns = docs.columns
     mark = common.unused(columns, "places")
     joined = docs.join(repeated_windows(docs.select("doc_id", "text"), run).withColumnRenamed("places", mark), "doc_id", "left").select(*columns, mark)

@@ -45,3 +45,36 @@ def test_deduplicate_keeps_rows_columns_and_lengths(docs_of, sample):
 
 def test_empty_table(docs_of):
     assert linededup.report(docs_of(["x"]).limit(0)).count() == 0
+
+
+def brute_by_content(texts, run=3):
+    """What stays when runs of fewer lines count from 50 words or 300 bytes on."""
+    seen, out = set(), []
+    for t in texts:
+        raw = (t or "").split("\n")
+        at = [i for i, x in enumerate(raw) if x.strip()]
+        gone = set()
+        for width in range(1, run + 1):
+            for i in range(len(at) - width + 1):
+                key = tuple(raw[j].strip() for j in at[i : i + width])
+                if width < run and sum(len(x.split()) for x in key) < 50 and sum(len(x.encode()) for x in key) < 300:
+                    continue
+                if key in seen:
+                    gone |= set(at[i : i + width])
+                seen.add(key)
+        out.append(None if t is None else "\n".join(x for i, x in enumerate(raw) if i not in gone))
+    return out
+
+
+def test_deduplicate_deletes_short_runs_that_hold_much(docs_of):
+    passage = " ".join(f"word{i}" for i in range(52))
+    half, other = " ".join(f"left{i}" for i in range(26)), " ".join(f"right{i}" for i in range(26))
+    texts = [f"own {i}\n  {passage}\nend {i}" for i in range(6)]  # one line of 52 words
+    texts += [f"{half}\n\n{other}", f"x\n{half}\n{other}\ny", f"{half}\nz", f"{other}\n{half}"]  # two lines of 52 words; one of 26; the other order
+    texts += ["漢" * 100, "漢" * 100 + "\nb", "漢" * 99, "漢" * 99]  # no spaces: 300 bytes, and 297
+    texts += [None, "", f"{passage}\nq\n{passage}", "short line", "short line"]
+    got = {r["doc_id"]: r["text"] for r in linededup.deduplicate(docs_of(texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_by_content(texts)
+    assert got[1] == "own 1\nend 1" and got[7] == "x\ny" and got[8] == f"{half}\nz" and got[11] == "b" and got[13] == "漢" * 99
+    # the query counts lines alone, as its SQL does
+    assert sorted(map(tuple, linededup.report(docs_of(texts)).collect())) == brute(texts)
