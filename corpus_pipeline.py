@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkvane.llm import common, decontam, linededup, packing, simhash, toxicity
+from sparkvane.llm import common, decontam, linededup, nearcopies, packing, simhash, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,6 +29,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return simhash.deduplicate(docs)
 
 
+def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Near copies that three bits do not reach: similar by 0.8 in shingles of five words, exactly."""
+    return nearcopies.deduplicate(docs)
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination (operator 9): documents that hold a benchmark window are left out."""
     return decontam.clean(docs, common.read(spark, sf_dir, "benchmark", "item_id", "text"))
@@ -43,6 +48,7 @@ STAGES = [
     ("toxicity", drop_toxic),
     ("line_dedup", drop_repeated_lines),
     ("simhash_near_dedup", drop_near_copies),
+    ("near_copies", drop_similar),
     ("benchmark_decontamination", drop_contaminated),
     ("packing", pack),
 ]
