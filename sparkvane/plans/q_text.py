@@ -233,7 +233,7 @@ def fuzzy_title_join(spark, sf):
 
 @query("greedy_clusters")
 def greedy_clusters(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "source", text.tokens(F.substring("text", 1, 300)).alias("t"), F.col("n_chars").alias("o"))
+    d = table(spark, sf, "documents").select("doc_id", "source", text.tokens("text").alias("t"), F.col("n_chars").alias("o"))
     return similar.greedy_clusters(d, "source", "doc_id", "t", "o")
 
 
