@@ -227,7 +227,7 @@ def token_jaccard_pairs(spark, sf):
 
 @query("fuzzy_title_join")
 def fuzzy_title_join(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "source", text.squeeze(F.substring_index("text", "\n", 1)).alias("title")).where("length(title) between 20 and 200")
+    d = table(spark, sf, "documents").select("doc_id", "source", text.squeeze(F.substring_index("text", "\n", 1)).alias("title"))
     return similar.fuzzy_pairs(d, "source", "doc_id", "title")
 
 
@@ -240,7 +240,7 @@ def greedy_clusters(spark, sf):
 @query("greedy_dedup")
 def greedy_dedup(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "source", text.dedup_title(F.substring_index("text", "\n", 1)).alias("title"), F.lit(None).cast("date").alias("d"), F.col("n_chars").alias("o"))
-    return similar.greedy_dedup(d.where("length(title) between 20 and 200"), "source", "doc_id", "title", "o", "d")
+    return similar.greedy_dedup(d, "source", "doc_id", "title", "o", "d")
 
 
 @query("evidence_containment", r"""SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE length(b.text) >= 15""")

@@ -16,3 +16,15 @@ def test_greedy_clusters_take_whole_texts(spark, tmp_path):
     rows += [(3, opening + different[0], "near", 1), (4, opening + different[1], "near", 2)]  # alike within 300 characters only
     sf = stored(spark, tmp_path, "documents", rows, "doc_id long, text string, source string, n_chars long")
     assert sorted(map(tuple, catalog.QUERIES["greedy_clusters"](spark, sf).collect())) == [("far", 1, 1), ("far", 1, 2)]
+
+
+def test_titles_of_any_length_are_compared(spark, tmp_path):
+    titles = ["Kart", "Kart", "x" * 19, "long title " * 40, "long title " * 40 + "s", "", None, "a title of a usual length", "a title of a usual lengths"]
+    rows = [(i, None if t is None else t + "\nbody", "s", i) for i, t in enumerate(titles)]
+    sf = stored(spark, tmp_path, "documents", rows, "doc_id long, text string, source string, n_chars long")
+    pairs = {(r["a"], r["b"]) for r in catalog.QUERIES["fuzzy_title_join"](spark, sf).collect()}
+    known = [(i, " ".join(t.split())) for i, t in enumerate(titles) if t]
+    assert pairs == {(i, j) for i, t in known for j, u in known if i < j and similar.ratio(t, u) >= 0.92} == {(0, 1), (3, 4), (7, 8)}
+    got = {int(r["id"]): r["duplicate_of"] for r in catalog.QUERIES["greedy_dedup"](spark, sf).collect()}
+    assert sorted(got) == list(range(len(titles)))
+    assert {i: int(j) for i, j in got.items() if j is not None and j == j} == {1: 0, 4: 3, 8: 7}
