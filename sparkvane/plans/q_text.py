@@ -72,7 +72,7 @@ def parsed_links(spark, sf):
 
 @query("scored_candidates")
 def scored_candidates(spark, sf):
-    return html.candidates(html.links(table(spark, sf, "pages")), 10)
+    return html.candidates(html.links(table(spark, sf, "pages")))
 
 
 @query("clean_html_text")

@@ -28,3 +28,9 @@ def test_titles_of_any_length_are_compared(spark, tmp_path):
     got = {int(r["id"]): r["duplicate_of"] for r in catalog.QUERIES["greedy_dedup"](spark, sf).collect()}
     assert sorted(got) == list(range(len(titles)))
     assert {i: int(j) for i, j in got.items() if j is not None and j == j} == {1: 0, 4: 3, 8: 7}
+
+
+def test_candidates_beyond_ten_stay(spark, tmp_path):
+    links = "".join(f'<a href="/haberler/yeni-kart-duyurusu-{i}">Yeni kart duyurusu {i} Mayıs 2026</a>' for i in range(1, 31))
+    sf = stored(spark, tmp_path, "pages", [(1, "https://x.com/a", f"<html><body><main>{links}</main></body></html>")], "page_id long, url string, html string")
+    assert catalog.QUERIES["scored_candidates"](spark, sf).count() == 30
