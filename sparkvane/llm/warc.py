@@ -108,7 +108,8 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES) -> No
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8").alias("payload")
     kept = pages.select("page_id", "html").join(stored, "page_id").select("sha256", payload)
     if _repeats_ids(found):
-        kept = kept.dropDuplicates(["sha256"])
+        # rows of one page_id may differ: each digest takes the payload that it is of
+        kept = kept.where(F.unhex(F.sha2("payload", 256)) == F.col("sha256")).dropDuplicates(["sha256"])
     without_id = pages.where("page_id IS NULL").select(payload).withColumn("sha256", F.unhex(F.sha2("payload", 256)))
     alone = without_id.join(stored.where("page_id IS NOT NULL").select("sha256"), "sha256", "left_anti").dropDuplicates(["sha256"])
     kept.unionByName(alone).write.option("compression", "zstd").parquet(f"{path}/payloads")

@@ -68,3 +68,12 @@ def test_repeated_rows_and_nothing(spark, pages):
     path = common.fresh_path(spark, "t")
     warc.write_archive(pages.limit(0), path)
     assert warc.read_archive(spark, path).count() == 0
+
+
+def test_rows_of_one_id_with_different_payloads(spark):
+    path = common.fresh_path(spark, "t")
+    rows = [(1, "u", "first " * 300), (1, "u", "second " * 300), (1, "u", None), (2, "v", "third")]
+    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    want = sorted((h or "").encode() for _, _, h in rows)
+    assert sorted(bytes(r["payload"]) for r in warc.read_payloads(spark, path).collect()) == want
+    assert sorted(r["size"] for r in warc.read_archive(spark, path).collect()) == sorted(map(len, want))
