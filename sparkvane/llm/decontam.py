@@ -2,78 +2,94 @@
 
 Words are maximal runs of ASCII letters and digits and of any non-ASCII characters, with
 A-Z lower-cased. The pattern of a benchmark item is every window of ``window`` consecutive
-words (an item of fewer words, but not none, is one window). The automaton holds the
-windows with a space on either side, so a match always starts and ends at word borders, and
-each text is scanned once. Matches carry word positions, and ``contaminated_spans`` maps
-them to character offsets of the original text.
-
-Scale: documents are only mapped, never shuffled. The automaton is broadcast; its size is
-checked first (``AUTOMATON_BYTES`` of benchmark text). A larger benchmark is scanned in
-blocks of items, each with its own automaton, and the hits of the blocks are merged by
-document, so no bound is put on the benchmark.
+words (an item of fewer words, but not none, is one window). The automaton runs over word
+numbers, so a match always starts and ends at word borders, and each text is scanned once.
+Matches carry word positions, and ``char_spans`` maps them to offsets of the original text.
+
+Scale: documents are only mapped, never shuffled, and each row gives one row. An automaton
+holds at most ``AUTOMATON_BYTES`` of benchmark text. That is one automaton for a benchmark of
+the usual size, built once in each Python worker. A larger benchmark is several automata that a worker
+builds one after the other for every ``HELD_BYTES`` of documents, so the result is the same
+and memory stays that of one automaton. Items are read and broadcast in
+groups of at most ``GROUP_BYTES``; each further group is a further narrow pass over the same rows,
+which adds its matches to those of the row.
 
 Defined results: a null or empty text has no words (0 words, not contaminated); a null or
 empty benchmark text gives no pattern; repeated items are reported under each item_id;
-a null item_id is skipped; with an empty benchmark nothing is contaminated. Extra columns
-are ignored by the report and kept by the filters.
+a null item_id is skipped; with an empty benchmark nothing is contaminated; rows with equal or
+null doc_id are reported each. Extra columns are ignored by the report and kept by the filters.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkvane.llm import common
 
 WINDOW = 10
-#: Benchmark text that one automaton may hold; more is scanned in blocks of this size.
-AUTOMATON_BYTES = 4 << 20
+#: Benchmark text of one automaton, of one broadcast, and document text that is held while automata change.
+AUTOMATON_BYTES = 1 << 20
+GROUP_BYTES = 64 << 20
+HELD_BYTES = 32 << 20
 
 _TABLE = bytes(
     c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256)
 )
 
+Item = tuple[str, bytes]
+
 
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).split()
 
 
-def _blocks(spark: SparkSession, benchmark: DataFrame) -> list[list[tuple[str, bytes]]]:
-    """Benchmark items as (item_id, text) in blocks of bounded size, read by one local iterator."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
-    blocks: list[list[tuple[str, bytes]]] = []
-    size = AUTOMATON_BYTES
-    for row in items.toLocalIterator():
-        raw = row["text"].encode()
-        if size + len(raw) > AUTOMATON_BYTES:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((row["item_id"], raw))
-        size += len(raw)
-    return blocks
+def _packed(items: Iterator[Item], limit: int) -> Iterator[list[Item]]:
+    """Items in lists of at most ``limit`` text bytes (or one item)."""
+    held: list[Item] = []
+    size = 0
+    for item in items:
+        if held and size + len(item[1]) > limit:
+            yield held
+            held, size = [], 0
+        held.append(item)
+        size += len(item[1])
+    if held:
+        yield held
+
+
+def _groups(benchmark: DataFrame) -> Iterator[Broadcast]:
+    """The benchmark as broadcasts: each a name and a list of blocks of (item_id, text), one block an automaton."""
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
+    items = ((r["item_id"], r["text"].encode()) for r in rows.toLocalIterator())
+    for group in _packed(items, GROUP_BYTES):
+        yield benchmark.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, list(_packed(iter(group), AUTOMATON_BYTES))))
 
 
 class Matcher:
-    """The automaton of one block of items; built once in each Python worker."""
+    """The automaton of one block of items, over numbers that stand for the patterns' words."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int) -> None:
+    def __init__(self, items: list[Item], window: int) -> None:
         import ahocorasick
 
-        patterns: dict[bytes, set[str]] = {}
+        patterns: dict[tuple[int, ...], set[str]] = {}
+        self.number: dict[bytes, int] = {}
         for item_id, raw in items:
-            words = words_of(raw)
+            words = [self.number.setdefault(w, len(self.number) + 1) for w in words_of(raw)]
             for i in range(max(1, len(words) - window + 1) if words else 0):
-                patterns.setdefault(b" " + b" ".join(words[i : i + window]) + b" ", set()).add(item_id)
+                patterns.setdefault(tuple(words[i : i + window]), set()).add(item_id)
         self.automaton = None
         if patterns:
-            self.automaton = ahocorasick.Automaton()
-            for p, ids in patterns.items():  # one character a byte: offsets stay byte offsets
-                self.automaton.add_word(p.decode("latin-1"), (p.count(b" ") - 1, frozenset(ids)))
+            self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+            for p, ids in patterns.items():
+                self.automaton.add_word(p, (len(p), frozenset(ids)))
             self.automaton.make_automaton()
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
@@ -82,14 +98,10 @@ class Matcher:
         items: set[str] = set()
         if self.automaton is None or not words:
             return spans, items
-        text = (b" " + b" ".join(words) + b" ").decode("latin-1")
-        starts = None
-        for end, (n, ids) in self.automaton.iter(text):
-            if starts is None:
-                starts = np.cumsum([1] + [len(w) + 1 for w in words])
-            last = int(np.searchsorted(starts, end, side="right"))  # words that start at or before the end
+        number = self.number.get
+        for end, (n, ids) in self.automaton.iter(tuple([number(w, 0) for w in words])):
             items |= ids
-            spans.append((last - n, last))
+            spans.append((end + 1 - n, end + 1))
         return merge_spans(spans), items
 
 
@@ -103,61 +115,87 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return merged
 
 
-SCAN_SCHEMA = "doc_id long, n_words long, spans array<struct<start:int,stop:int>>, items array<string>"
+_kept: dict[tuple[str, int], Matcher] = {}
 
 
-def _scan_block(docs: DataFrame, items: list[tuple[str, bytes]], window: int) -> DataFrame:
-    block = docs.sparkSession.sparkContext.broadcast(items)
-    arrow = pa.schema(
-        [("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), ("items", pa.list_(pa.string()))]
-    )
+def _matcher(group: Broadcast, i: int, window: int) -> Matcher:
+    """The automaton of a block; a worker keeps it for its next tasks where there is but one."""
+    name, blocks = group.value
+    if len(blocks) > 1:
+        return Matcher(blocks[i], window)
+    if (name, window) not in _kept:
+        _kept.clear()
+        _kept[name, window] = Matcher(blocks[i], window)
+    return _kept[name, window]
+
+
+def _found(parts: list[pa.RecordBatch], group: Broadcast, window: int) -> list[list[tuple[int, list[tuple[int, int]], set[str]]]]:
+    """(words, spans, items) of each row of each part: all automata, one at a time."""
+    out = [[(0, [], set()) for _ in range(p.num_rows)] for p in parts]
+    for i in range(len(group.value[1])):
+        matcher = _matcher(group, i, window)
+        for part, rows in zip(parts, out, strict=True):
+            for k, raw in enumerate(common.bytes_of(part)):
+                words = words_of(raw)
+                spans, ids = matcher.scan(words)
+                rows[k] = (len(words), merge_spans(rows[k][1] + spans), rows[k][2] | ids)
+    return out
+
+
+def _held(batches: Iterator[pa.RecordBatch], several: bool) -> Iterator[list[pa.RecordBatch]]:
+    """Small slices of the batches: one by one, or together up to ``HELD_BYTES`` where automata change."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        for part in common.text_blocks(batch):
+            if not several:
+                yield [part]
+                continue
+            held.append(part)
+            size += part.nbytes
+            if size >= HELD_BYTES:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+_SPANS = "spans array<struct<start:int,stop:int>>, items array<string>"
+_SPAN_TYPE, _ITEM_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])), pa.list_(pa.string())
+
+
+def _scanner(group: Broadcast, window: int, last: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A pass over (doc_id, text, n_words, spans, items); the last one leaves the text out."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(block.value, window)
-        for batch in batches:
-            for part in common.text_blocks(batch):
-                out = []
-                for doc_id, raw in zip(part.column(0).to_pylist(), common.bytes_of(part), strict=True):
-                    words = words_of(raw)
-                    spans, ids = matcher.scan(words)
-                    out.append({"doc_id": doc_id, "n_words": len(words), "spans": [{"start": a, "stop": b} for a, b in spans], "items": sorted(ids)})
-                yield pa.RecordBatch.from_pylist(out, schema=arrow)
+        for parts in _held(batches, len(group.value[1]) > 1):
+            for part, rows in zip(parts, _found(parts, group, window), strict=True):
+                spans, items = [], []
+                for (_, new, ids), old, known in zip(rows, part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True):
+                    spans.append([{"start": a, "stop": b} for a, b in (merge_spans(new + [(s["start"], s["stop"]) for s in old]) if old else new)])
+                    items.append(sorted(ids.union(known)))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), *([] if last else [part.column(1)]), pa.array([n for n, _, _ in rows], pa.int64()), pa.array(spans, _SPAN_TYPE), pa.array(items, _ITEM_TYPE)],
+                    names=["doc_id", *([] if last else ["text"]), "n_words", "spans", "items"],
+                )
 
-    return docs.select("doc_id", "text").mapInArrow(common.tidy(scan), SCAN_SCHEMA)
+    return common.tidy(scan)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per document: n_words, merged hit spans (in words), and the items that occur.
-
-    One automaton is the rule. Several blocks are scanned one by one and merged by row: the
-    pass over the documents carries only spans and item ids, so the merge shuffles no text.
-    """
-    blocks = _blocks(docs.sparkSession, benchmark) or [[]]
-    parts = [_scan_block(docs, b, window) for b in blocks]
-    if len(parts) == 1:
-        return parts[0]
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    return union.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"),
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
+    """Per row: doc_id, n_words, merged hit spans (in words), and the items that occur."""
+    groups = list(_groups(benchmark)) or [docs.sparkSession.sparkContext.broadcast(("", [[]]))]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("n_words"), F.expr("CAST(array() AS array<struct<start:int,stop:int>>)").alias("spans"), F.expr("CAST(array() AS array<string>)").alias("items"))
+    for i, group in enumerate(groups):
+        last = i == len(groups) - 1
+        rows = rows.mapInArrow(_scanner(group, window, last), f"doc_id long, {'' if last else 'text string, '}n_words long, {_SPANS}")
+    return rows
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Contamination figures per document (see the module for nulls and ties)."""
     found = scan(docs, benchmark, window)
-    # spans of several blocks may overlap: count each word once, walking them in order
-    n_hit = F.aggregate(
-        "spans",
-        F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("upto")),
-        lambda acc, s: F.struct(
-            (acc["n"] + F.greatest(F.lit(0), s["stop"] - F.greatest(s["start"], acc["upto"]))).cast("long").alias("n"),
-            F.greatest(acc["upto"], s["stop"]).alias("upto"),
-        ),
-    )["n"]
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["stop"] - s["start"]))
     return found.select(
         "doc_id",
         "n_words",
@@ -171,18 +209,15 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents that hold no benchmark window, with all their columns.
 
-    The scan runs as one pass over whole rows (a Boolean beside the row), so nothing is
-    joined back; with several blocks the flag of each block filters in turn.
+    The scan is a pass over whole rows, so nothing is joined back; each group of items filters in turn.
     """
     kept = docs
-    for items in _blocks(docs.sparkSession, benchmark):
-        block = docs.sparkSession.sparkContext.broadcast(items)
-
-        def keep(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(block.value, window)
-            for batch in batches:
-                for part in common.text_blocks(batch):
-                    yield part.filter(pa.array([not matcher.scan(words_of(raw))[0] for raw in common.bytes_of(part)], pa.bool_()))
+    for group in _groups(benchmark):
+
+        def keep(batches: Iterator[pa.RecordBatch], group: Broadcast = group) -> Iterator[pa.RecordBatch]:
+            for parts in _held(batches, len(group.value[1]) > 1):
+                for part, rows in zip(parts, _found(parts, group, window), strict=True):
+                    yield part.filter(pa.array([not spans for _, spans, _ in rows], pa.bool_()))
 
         kept = kept.mapInArrow(common.tidy(keep), kept.schema)
     return kept

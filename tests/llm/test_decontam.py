@@ -58,3 +58,23 @@ def test_spans_map_to_the_original():
     spans = [(2, 4)]  # the dash is a word: every non-ASCII character is
     assert [text[a:b] for a, b in decontam.char_spans(text, spans)] == ["One,  TWO"]
     assert decontam.char_spans("one one Two", [(1, 3)]) == [(4, 11)]
+
+
+@pytest.mark.parametrize("group", [decontam.GROUP_BYTES, 60])
+@pytest.mark.parametrize("limit", [decontam.AUTOMATON_BYTES, 60])
+def test_rows_stay_whole_in_blocks_and_groups(spark, monkeypatch, limit, group):
+    """Rows of equal and null doc_id are reported each, however many automata and passes there are."""
+    monkeypatch.setattr(decontam, "AUTOMATON_BYTES", limit)
+    monkeypatch.setattr(decontam, "GROUP_BYTES", group)
+    items = [(str(i), " ".join(f"q{i}w{j}" for j in range(12))) for i in range(5)]
+    rows = [(1, "a " + items[0][1]), (1, "b " + items[4][1] + " c " + items[0][1]), (None, items[2][1]), (None, "clean words only"), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"]) for r in decontam.report(docs, bench).collect()), key=repr)
+    assert got == sorted([(1, 13, 12, 1), (1, 26, 24, 2), (None, 12, 12, 1), (None, 3, 0, 0), (2, 0, 0, 0)], key=repr)
+    assert sorted(map(tuple, decontam.clean(docs, bench).collect()), key=repr) == [(2, None), (None, "clean words only")]
+
+
+def test_a_worker_builds_its_automaton_once(spark):
+    sent = spark.sparkContext.broadcast(("name", [[("a", b"one two")]]))
+    assert decontam._matcher(sent, 0, 10) is decontam._matcher(sent, 0, 10)
