@@ -3,25 +3,29 @@
 Training, on labelled rows of the training folds only: the number of toxic and of clean
 documents that hold each token, over all of these rows; log-odds with an informative
 Dirichlet prior (the pooled frequency of the token, weight ``PRIOR``), and its z value.
-Tokens with a z of at least ``least_z`` carry their log-odds; every other token costs ``DRIFT``.
+Tokens with a z of at least ``Z`` and log-odds of at least ``MIN_LOG_ODDS`` carry their
+log-odds; every other token costs ``DRIFT``. Both are the same for any number of rows.
 
 Scan: in each text, all maximal-scoring segments are found in linear time. By extreme-value
 theory the best chance score of n clean tokens behaves as a Gumbel variable: the number of
 segments of score S or more to be expected by chance is about K n exp(-lambda S), where lambda
-solves ``sum(p_i exp(lambda s_i)) = 1`` over the clean token frequencies. Segments with an
+solves ``sum(p_i exp(lambda s_i)) = 1`` over the clean token frequencies, and K is set by
+the tail of the best segments of the clean training texts. Segments with an
 expected count below ``SIGNIFICANT`` are reported as passages; a document's evidence is
 lambda times the sum of the scores of its significant passages (of its best one otherwise)
 minus log n. A logistic curve, fitted on the training rows with the document's own counts
 left out, turns evidence into a score from 0 to 1.
 
-Labels, lang, source and doc_id never enter a score. Scale: one narrow pass for the counts
-(pre-aggregated in each task), one for the calibration, one for the scores; no text is
-shuffled. What is broadcast is the lexicon, at most ``MAX_TERMS`` tokens by z, a bound of the
-fitted model that does not grow with the data.
+Labels, lang, source and doc_id never enter a score. Training takes at most about ``ROWS``
+labelled texts, a sample by the hash of the text where there are more; this bounds the
+rows that are broadcast and the lexicon. Everything else covers all rows. Scale: one narrow
+pass for the counts (pre-aggregated in each task), one for the calibration, one for the
+scores; no text is shuffled.
 
 Defined results: null and empty texts have no tokens and get the score of no evidence; rows
 labelled null are not used; repeated label rows count by their maximum; copies of a text
-with one label count once; with no labelled row
+with one label count once; tokens of any length count (one longer than ``TOKEN_BYTES`` stands
+for itself by its 128-bit hash); with no labelled row
 of either class every score is the rate of the class that is there (0 without labels).
 """
 
@@ -42,40 +46,42 @@ from sparkvane.llm import common
 THRESHOLD = 0.3
 #: Weight of the pooled frequency as a prior, as a share of the observed counts.
 PRIOR = 0.1
-#: A token needs this z, and a unit more for each tenfold of toxic rows over ten: more rows bring
-#: more tokens that are tried, and the true ones far larger values.
-Z, Z_MOST = 2.0, 5.0
-#: Log-odds below this are no evidence, however sure: with many rows, common words differ a little for sure.
+#: Log-odds count where they are this many standard deviations from none, and at least this large:
+#: with many rows, common words differ a little for sure. The level is 1 %, on one side.
+Z = 2.326
 MIN_LOG_ODDS = 1.5
 DRIFT = 0.02
 MIN_TOXIC = 2
-#: The fitted model keeps at most this many tokens, the most significant ones.
-MAX_TERMS = 50_000
+#: Labelled texts to fit on (a sample by hash where there are more).
+ROWS = 100_000
 SIGNIFICANT = 0.05
+#: K before it is fitted, and where no clean text has a hit.
 K = 0.1
-TOKEN_CHARS = 64
+#: Longer tokens are kept as hashes.
+TOKEN_BYTES = 64
 
 _LETTERS = bytes(c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
 
 def words_of(text: str) -> list[bytes]:
-    return text.lower().encode().translate(_LETTERS).split()
+    words = text.lower().encode().translate(_LETTERS).split()
+    if words and max(map(len, words)) > TOKEN_BYTES:
+        from xxhash import xxh3_128_digest
+
+        return [w if len(w) <= TOKEN_BYTES else b" " + xxh3_128_digest(w) for w in words]
+    return words
 
 
 def held_out(doc_id: int) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 4 == 2
 
 
-def least_z(n_toxic: int) -> float:
-    return min(Z_MOST, Z + max(0.0, math.log10(max(n_toxic, 1) / 10)))
-
-
 class Lexicon:
     """Token document counts of both classes, and the weights that follow from them."""
 
     def __init__(self, counts: dict[bytes, tuple[int, int]], n_toxic: int, n_clean: int, clean_tokens: float) -> None:
         self.counts, self.n_toxic, self.n_clean = counts, n_toxic, n_clean
-        self.z = least_z(n_toxic)
+        self.k = K
         self.weights = {t: w for t, (a, b) in counts.items() if (w := self.weight(a, b, n_toxic, n_clean)) is not None}
         self.scale = self._lambda(clean_tokens)
 
@@ -91,7 +97,7 @@ class Lexicon:
 
     def weight(self, a: float, b: float, n_a: float, n_b: float) -> float | None:
         delta, z = self.z_weight(a, b, n_a, n_b)
-        return delta if z >= self.z and delta >= MIN_LOG_ODDS and a >= MIN_TOXIC else None
+        return delta if z >= Z and delta >= MIN_LOG_ODDS and a >= MIN_TOXIC else None
 
     def _lambda(self, clean_tokens: float) -> float:
         """The positive root of sum(p exp(lambda s)) = 1 over clean text."""
@@ -131,17 +137,26 @@ class Lexicon:
         seen: set[bytes] = set()
         return [(i, w) for i, w in hits if words[i] not in seen and not seen.add(words[i])]
 
-    def document_evidence(self, hits: list[tuple[int, float]], words: list[bytes]) -> float:
-        return self.evidence(segments(self.once(hits, words)), len(words))
+    def segment_scores(self, hits: list[tuple[int, float]], words: list[bytes]) -> list[float]:
+        return [s for _, _, s in segments(self.once(hits, words))]
 
     def expected(self, score: float, n: int) -> float:
-        return K * max(n, 1) * math.exp(-min(self.scale * score, 700))
-
-    def evidence(self, segments: list[tuple[int, int, float]], n: int) -> float:
+        return self.k * max(n, 1) * math.exp(-min(self.scale * score, 700))
+
+    def fit_k(self, found: list[tuple[int, list[float]]]) -> None:
+        """K from (tokens, segment scores) of clean texts, so that a share of ``SIGNIFICANT`` of them has a
+        significant passage; the best of a text without a hit is at most the least weight there is."""
+        if not found or not self.weights:
+            return
+        least = min(self.weights.values())
+        best = sorted(self.scale * max(scores, default=least) - math.log(max(n, 1)) for n, scores in found)
+        at = best[min(len(best) - 1, math.ceil((1 - SIGNIFICANT) * len(best)))]
+        self.k = -math.log1p(-SIGNIFICANT) * math.exp(min(at, 300.0))
+
+    def evidence(self, scores: list[float], n: int) -> float:
         """Lambda S - log n of the significant passages together (of the best one if none is)."""
-        if not segments:
+        if not scores:
             return NO_EVIDENCE
-        scores = [s for _, _, s in segments]
         total = sum(s for s in scores if self.expected(s, n) < SIGNIFICANT) or max(scores)
         return max(NO_EVIDENCE, min(40.0, self.scale * total - math.log(max(n, 1))))
 
@@ -154,20 +169,23 @@ def segments(hits: list[tuple[int, float]]) -> list[tuple[int, int, float]]:
 
     Between two hits every token costs ``DRIFT``; segments start and end with a hit.
     """
-    found: list[list[float]] = []  # [start, end, score before, score through]
+    found: list[tuple[int, int, float, float, int]] = []  # start, end, score before, score through, link
     total, at = 0.0, 0
     for i, w in hits:
         before = total - DRIFT * (i - at)
         total, at = before + w, i + 1
-        new = [i, i + 1, before, total]
+        start, low, j = i, before, len(found) - 1
         while True:
-            j = next((k for k in range(len(found) - 1, -1, -1) if found[k][2] < new[2]), None)
-            if j is None or found[j][3] >= new[3]:
-                found.append(new)
+            # the link of a segment is the last one before it that starts lower: all between start at least as high
+            while j >= 0 and found[j][2] >= low:
+                j = found[j][4]
+            if j < 0 or found[j][3] >= total:
+                found.append((start, i + 1, low, total, j))
                 break
-            new = [found[j][0], new[1], found[j][2], new[3]]
+            start, _, low, _, link = found[j]
             del found[j:]
-    return [(int(a), int(b), r - l) for a, b, l, r in found]
+            j = link
+    return [(a, b, through - low) for a, b, low, through, _ in found]
 
 
 class Model:
@@ -183,25 +201,21 @@ class Model:
         if not hits:
             return self.score(NO_EVIDENCE), []
         segs = segments(hits)
-        return self.score(self.lexicon.document_evidence(hits, words)), [s for s in segs if self.lexicon.expected(s[2], len(words)) < SIGNIFICANT]
+        return self.score(self.lexicon.evidence(self.lexicon.segment_scores(hits, words), len(words))), [s for s in segs if self.lexicon.expected(s[2], len(words)) < SIGNIFICANT]
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, all_folds: bool = False) -> DataFrame:
-    """Texts and labels of the training folds. The labels are few; the join is Spark's choice."""
+def training_rows(docs: DataFrame, labels: DataFrame, all_folds: bool = False, rows: int = ROWS) -> DataFrame:
+    """Texts and labels of the training folds, about ``rows`` at most."""
     wanted = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     if not all_folds:
         wanted = wanted.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
     # copies of a text are one row of training: else the words of a text copied often look telling
     hashes = docs.select("doc_id", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"))
-    wanted = common.materialise(hashes.join(wanted, "doc_id").groupBy("h", "g", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic"), "labelled")
-    n = wanted.count()
-    if n <= BROADCAST_LABELS:
-        wanted = F.broadcast(wanted)
-    return docs.select("doc_id", "text").join(wanted, "doc_id").select("text", "toxic")
-
-
-#: Labelled rows that are broadcast (some 80 bytes each); beyond it the join shuffles.
-BROADCAST_LABELS = 500_000
+    wanted = common.materialise(hashes.join(wanted, "doc_id").groupBy("h", "g", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic", "g"), "labelled")
+    share = min(1.0, rows / max(wanted.count(), 1))
+    wanted = wanted.where(F.pmod("g", F.lit(1 << 20)) < math.ceil(share * (1 << 20))).select("doc_id", "toxic")
+    # about ``rows`` pairs of numbers at most
+    return docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").select("text", "toxic")
 
 
 def fit(rows: DataFrame) -> Model:
@@ -227,15 +241,14 @@ def fit(rows: DataFrame) -> Model:
                     totals[1] += 1
                     totals[2] += 0 if toxic else len(words)
                     for t in set(words):
-                        if len(t) <= TOKEN_CHARS:
-                            c = met[t]
-                            c[0] += toxic
-                            c[1] += 1
+                        c = met[t]
+                        c[0] += toxic
+                        c[1] += 1
                 if len(met) > 300_000:
                     yield flush()
         yield flush()
 
-    counts = common.materialise(rows.mapInArrow(common.tidy(count), "token binary, a long, n long").groupBy("token").agg(F.sum("a").alias("a"), F.sum("n").alias("n")).where(F.col("a") + F.when(F.substring("token", 1, 1) == F.lit(b" "), 9).otherwise(0) >= MIN_TOXIC), "toxic-counts")
+    counts = common.materialise(rows.mapInArrow(common.tidy(count), "token binary, a long, n long").groupBy("token").agg(F.sum("a").alias("a"), F.sum("n").alias("n")).where((F.col("a") >= MIN_TOXIC) | F.col("token").isin(b" n", b" clean")), "toxic-counts")
     special = {bytes(r["token"]): r for r in counts.where(F.col("token").isin(b" n", b" clean")).collect()}
     n_toxic = special[b" n"]["a"] if b" n" in special else 0
     n_all = special[b" n"]["n"] if b" n" in special else 0
@@ -248,7 +261,7 @@ def fit(rows: DataFrame) -> Model:
     prior = F.lit(PRIOR) * F.col("n")
     delta = F.log((a + prior) / F.greatest(F.lit(n_toxic + PRIOR * n_all) - a - prior, F.lit(0.5))) - F.log((b + prior) / F.greatest(F.lit(n_clean + PRIOR * n_all) - b - prior, F.lit(0.5)))
     z = delta / F.sqrt(1 / (a + prior) + 1 / (b + prior))
-    top = counts.where(~F.col("token").isin(b" n", b" clean")).withColumn("z", z).where((F.col("z") >= least_z(n_toxic) * 0.6) & (delta >= MIN_LOG_ODDS * 0.6)).orderBy(F.desc("z"), "token").limit(MAX_TERMS)
+    top = counts.where(~F.col("token").isin(b" n", b" clean")).where((z >= Z * 0.6) & (delta >= MIN_LOG_ODDS * 0.6)).orderBy("token")
     lexicon = Lexicon({bytes(r["token"]): (r["a"], r["n"] - r["a"]) for r in top.collect()}, n_toxic, n_clean, clean_tokens)
     sent = sc.broadcast(lexicon)
 
@@ -257,14 +270,17 @@ def fit(rows: DataFrame) -> Model:
         for batch in batches:
             for part in common.text_blocks(batch):
                 labels = part.column(1).to_pylist()
-                ev = []
+                sizes, scores = [], []
                 for text, toxic in zip(common.texts_of(part), labels, strict=True):
                     words = words_of(text)
-                    ev.append(round(2 * lex.document_evidence(lex.positive(words, toxic), words)))
-                yield pa.RecordBatch.from_arrays([pa.array(ev, pa.int32()), pa.array(labels, pa.int32())], names=["e", "toxic"])
-
-    bins = rows.mapInArrow(common.tidy(calibrate), "e int, toxic int").groupBy("e", "toxic").agg(F.count("*").alias("n")).collect()
-    intercept, slope = logistic([(r["e"] / 2, r["toxic"], r["n"]) for r in bins])
+                    sizes.append(len(words))
+                    scores.append(lex.segment_scores(lex.positive(words, toxic), words))
+                yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64()), pa.array(scores, pa.list_(pa.float64())), pa.array(labels, pa.int32())], names=["n", "scores", "toxic"])
+
+    # a row for each of the training rows, whose number has a bound
+    found = [(r["n"], r["scores"], r["toxic"]) for r in rows.mapInArrow(common.tidy(calibrate), "n long, scores array<double>, toxic int").collect()]
+    lexicon.fit_k([(n, s) for n, s, toxic in found if not toxic])
+    intercept, slope = logistic([(lexicon.evidence(s, n), toxic, 1) for n, s, toxic in found])
     return Model(lexicon, intercept, slope)
 
 

@@ -68,3 +68,44 @@ def test_edge_rows_and_labels(spark, corpus):
     for none in (labels.limit(0), labels.where("toxic = 0"), labels.selectExpr("doc_id", "quality", "cast(null as int) as toxic")):
         assert {r["predicted"] for r in toxicity.score(odd, toxicity.fit(toxicity.training_rows(docs, none))).collect()} == {0}
     assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+def test_scan_is_linear_and_equal_to_the_plain_search():
+    import time
+
+    def plain(hits):
+        found, total, at = [], 0.0, 0
+        for i, w in hits:
+            before = total - toxicity.DRIFT * (i - at)
+            total, at = before + w, i + 1
+            new = [i, i + 1, before, total]
+            while True:
+                j = next((k for k in range(len(found) - 1, -1, -1) if found[k][2] < new[2]), None)
+                if j is None or found[j][3] >= new[3]:
+                    found.append(new)
+                    break
+                new = [found[j][0], new[1], found[j][2], new[3]]
+                del found[j:]
+        return [(a, b, r - l) for a, b, l, r in found]
+
+    r = random.Random(9)
+    for _ in range(300):
+        hits = [(i, r.choice([0.01, 0.02, 0.5, 2.0])) for i in sorted(r.sample(range(2000), r.randint(0, 60)))]
+        assert toxicity.segments(hits) == plain(hits)
+    for gap, weight in ((300, 1.5), (1, 2.0), (76, 1.5), (75, 1.5)):
+        start = time.perf_counter()
+        toxicity.segments([(gap * i, weight) for i in range(100_000)])
+        assert time.perf_counter() - start < 1
+
+
+def test_rows_to_fit_on_have_a_bound(corpus):
+    docs, labels, _ = corpus
+    assert toxicity.training_rows(docs, labels, rows=10**6).count() > 800 > 200 > toxicity.training_rows(docs, labels, rows=100).count() > 50
+
+
+def test_long_tokens_count(spark):
+    long = "ä" * 5000
+    docs = spark.createDataFrame([(i, f"plain words here {'x' * (i % 7)} {long if i % 3 == 0 else ''}") for i in range(600)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(600)], "doc_id long, toxic int")
+    got = toxicity.score(docs, toxicity.fit(toxicity.training_rows(docs, labels, all_folds=True))).collect()
+    assert all(r["predicted"] == int(r["doc_id"] % 3 == 0) for r in got)
