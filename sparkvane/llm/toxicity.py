@@ -55,7 +55,7 @@ MIN_TOXIC = 2
 #: Labelled texts to fit on (a sample by hash where there are more).
 ROWS = 100_000
 SIGNIFICANT = 0.05
-#: K before it is fitted, and where no clean text has a hit.
+#: K where too few clean texts have a hit to tell it.
 K = 0.1
 #: Longer tokens are kept as hashes.
 TOKEN_BYTES = 64
@@ -145,13 +145,11 @@ class Lexicon:
 
     def fit_k(self, found: list[tuple[int, list[float]]]) -> None:
         """K from (tokens, segment scores) of clean texts, so that a share of ``SIGNIFICANT`` of them has a
-        significant passage; the best of a text without a hit is at most the least weight there is."""
-        if not found or not self.weights:
-            return
-        least = min(self.weights.values())
-        best = sorted(self.scale * max(scores, default=least) - math.log(max(n, 1)) for n, scores in found)
-        at = best[min(len(best) - 1, math.ceil((1 - SIGNIFICANT) * len(best)))]
-        self.k = -math.log1p(-SIGNIFICANT) * math.exp(min(at, 300.0))
+        significant passage; where fewer of them have a hit at all, they do not tell it."""
+        best = sorted(self.scale * max(scores) - math.log(n) for n, scores in found if scores)
+        most = int(SIGNIFICANT * len(found))
+        if 0 < most <= len(best):
+            self.k = -math.log1p(-SIGNIFICANT) * math.exp(min(best[-most], 300.0))
 
     def evidence(self, scores: list[float], n: int) -> float:
         """Lambda S - log n of the significant passages together (of the best one if none is)."""
