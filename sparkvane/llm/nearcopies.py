@@ -1,16 +1,20 @@
-"""Near copies by the Jaccard similarity of word shingles, exact: prefix filter, then verification.
+"""Near copies at a similarity of 0.8: SimHash and BK-trees first, exact by prefix filter and verification.
 
 The set of a document is its distinct shingles of ``SHINGLE`` lower-cased words (as XXH64, seed
-42); two documents are linked at a similarity of at least 0.8, that is where 9 x shared is at
-least 4 x (size + size). In any one order of all shingles, linked sets share one of their first
-n - ceil(0.8 n) + 1, so documents meet on those alone, no link is lost, and sizes and places
-rule out most of the rest before texts are compared. The order puts shingles that are common in
-a sample of documents last, so shared lines seldom make documents meet; which ones they are
-changes the work, never the result.
+42); two documents are linked at a Jaccard similarity of at least 0.8, that is where 9 x shared is at
+least 4 x (size + size). Connected components of the links are the groups.
 
-Equal sets are collapsed first. Documents that share a shingle are compared with the least of
-them; only those that this leaves in different groups are compared with each other, so a large
-group of near copies does not cost all its pairs. Connected components of the links are the groups.
+Fingerprints of near copies at this similarity differ in up to some 14 of 64 bits, which no
+search by radius reaches. So the fingerprints' links (3 bits, by BK-trees) give the
+first pairs, each verified, and tie most copies cheaply. The rest are found without loss: in any one
+order of all shingles, linked sets share one of their first n - ceil(0.8 n) + 1, so documents
+meet on those alone, and sizes and places rule out most before texts are compared. The order puts
+shingles that are common in a sample of documents last, so shared lines seldom make documents
+meet; which ones they are changes the work, never the result.
+
+Equal sets are collapsed first. Documents that share a shingle and are in different groups are
+compared with the least of them; only those that this leaves in different groups are compared with
+each other, so a large group of near copies does not cost all its pairs.
 
 Defined results: null and empty texts (no words) are one group; texts of fewer words than a
 shingle are one shingle; rows of one doc_id share a group; rows with a null doc_id stay.
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkvane.llm import common, components
+from sparkvane.llm import common, components, simhash
 
 SHINGLE = 5
 SEED = 42
@@ -35,19 +39,14 @@ SAMPLE, LEAST, MOST = 2_000, 3, 200_000
 CELLS = 1 << 20
 
 
+def hashes(raw: bytes) -> np.ndarray:
+    """The hashes of all shingles of a text, repeats included."""
+    return simhash.shingle_hashes(raw.lower().split(), SHINGLE)
+
+
 def shingles(raw: bytes) -> np.ndarray:
     """The distinct shingles of a text, as sorted signed hashes."""
-    from xxhash import xxh64_intdigest
-
-    words = raw.lower().split()
-    if not words:
-        return np.empty(0, np.int64)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    n = max(len(words) - SHINGLE + 1, 1)
-    starts = np.append(0, ends[:-1] + 1)[:n]
-    hashes = [xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[-n:].tolist(), strict=True)]
-    return np.unique(np.array(hashes, np.uint64).view(np.int64))
+    return np.unique(hashes(raw).view(np.int64))
 
 
 def prefix(found: np.ndarray, common_ones: np.ndarray) -> np.ndarray:
@@ -73,21 +72,26 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, digest, keys): size, digest and first shingles of each set."""
+    """(doc_id, fp, n, digest, keys): fingerprint; size, digest and first shingles of each set."""
     often = common_shingles(docs)
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
         for batch in batches:
             for part in common.text_blocks(batch):
-                sets = [shingles(raw) for raw in common.bytes_of(part)]
-                cols = [part.column(0).cast(pa.int64()), [len(s) for s in sets], [xxh3_128_digest(s.tobytes()) for s in sets], [prefix(s, often) for s in sets]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if isinstance(c, list) else c for c, f in zip(cols, schema, strict=True)], schema=schema)
+                out: list[tuple] = []
+                for doc_id, raw in zip(part.column(0).to_pylist(), common.bytes_of(part), strict=True):
+                    every = hashes(raw)
+                    found = np.unique(every.view(np.int64))
+                    out.append((doc_id, simhash.majority(every), len(found), xxh3_128_digest(found.tobytes()), prefix(found, often)))
+                cols = [list(c) for c in zip(*out, strict=True)]
+                cols[1] = np.array(cols[1], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-    rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    return rows.mapInArrow(common.tidy(run), "doc_id long, n long, digest binary, keys array<long>")
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(common.tidy(run), "doc_id long, fp long, n int, digest binary, keys array<long>")
 
 
 def _close(na: Column, ia: Column, nb: Column, ib: Column) -> Column:
@@ -116,21 +120,40 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select("a", "b", "text", "other").mapInArrow(common.tidy(run), "a long, b long").distinct()
 
 
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets, by their least doc_id, with equal or linked fingerprints."""
+    least = nodes.groupBy("fp").agg(F.min("rep").alias("least"), F.max("rep").alias("last"))
+    equal = nodes.join(least.where("least < last"), "fp").where("rep > least").select(F.col("least").alias("a"), F.col("rep").alias("b"))
+    stars = simhash.links(least.select("fp", F.col("least").alias("rep"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return equal.unionByName(stars).distinct()
+
+
+def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are not yet in one group."""
+    of = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(end + "_group"))
+    named = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return named.where(F.coalesce("a_group", "a") != F.coalesce("b_group", "b")).select("a", "b")
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id and component_id (the smallest doc_id that links lead to) of every row with a doc_id."""
     sets = common.materialise(prefixes(docs), "prefixes")
-    nodes = sets.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"))
+    nodes = sets.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"))
+    nodes = common.materialise(nodes.drop("digest"), "nodes")
+    links = common.materialise(verified(docs, common.materialise(fingerprint_pairs(nodes), "pairs")), "links")
+    found = components.components(links)
+
     keys = nodes.select("rep", "n", F.posexplode("keys").alias("i", "h"))
     same = Window.partitionBy("h")  # one shuffle; the first shingles of all sets are the largest table here
     led = keys.withColumns({"lead": F.min(F.struct("rep", "n", "i")).over(same), "last": F.max("rep").over(same)})
-    held = common.materialise(led.where("lead.rep < last").drop("last"), "shared")
-    first = held.where(F.col("rep") > F.col("lead.rep")).where(_close(F.col("n"), F.col("i"), F.col("lead.n"), F.col("lead.i")))
-    pairs = common.materialise(first.select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    links = common.materialise(verified(docs, pairs), "links")
+    held = common.materialise(led.where("lead.rep < last AND rep > lead.rep").drop("last"), "shared")
+    first = held.where(_close(F.col("n"), F.col("i"), F.col("lead.n"), F.col("lead.i")))
+    pairs = common.materialise(apart(first.select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct(), found), "pairs")
+    links = links.unionByName(common.materialise(verified(docs, pairs), "links"))
     found = components.components(links)
 
     # what shares a shingle, is in different groups so far and was not compared yet
-    rest = held.where(F.col("rep") > F.col("lead.rep")).drop("lead")
+    rest = held.drop("lead")
     rest = rest.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
     mixed = rest.groupBy("h").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("h")
     rest = common.materialise(rest.join(mixed, "h"), "rest")
@@ -141,7 +164,7 @@ def groups(docs: DataFrame) -> DataFrame:
     if not more.isEmpty():
         found = components.components(links.unionByName(more))
     # rows of one doc_id with different texts tie the groups of their sets
-    named = nodes.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
+    named = sets.groupBy("digest").agg(F.min("doc_id").alias("rep")).join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     each = sets.join(named, "digest").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.max("component_id").alias("last"))
     ties = each.where("component_id < last").select(F.col("component_id").alias("a"), F.col("last").alias("b"))
     if ties.isEmpty():

@@ -47,26 +47,33 @@ SHARD_ROWS = 20_000
 FOREST_ROWS = 100_000
 
 
-def fingerprint(words: list[bytes], size: int = SHINGLE) -> int:
-    """The fingerprint of lower-cased words, as an unsigned integer."""
+def shingle_hashes(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
+    """The XXH64 values of all shingles of the words, repeats included, unsigned."""
     from xxhash import xxh64_intdigest
 
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
-    if len(words) <= size:
-        hashes = [xxh64_intdigest(joined, SEED)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.append(0, ends[:-1] + 1)[: len(words) - size + 1]
-        hashes = [xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[size - 1 :].tolist(), strict=True)]
+    n = max(len(words) - size + 1, 1)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.append(0, ends[:-1] + 1)[:n]
+    return np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[-n:].tolist(), strict=True)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes, as an unsigned integer; 0 of none."""
     bits = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
-        h = np.array(hashes[at : at + (1 << 16)], ">u8")
+        h = hashes[at : at + (1 << 16)].astype(">u8")
         bits += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(bits * 2 > len(hashes)).tobytes(), "big")
 
 
+def fingerprint(words: list[bytes], size: int = SHINGLE) -> int:
+    """The fingerprint of lower-cased words, as an unsigned integer."""
+    return majority(shingle_hashes(words, size))
+
+
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(doc_id, fp) with fp as a signed long; one narrow pass."""
 

@@ -55,8 +55,9 @@ MIN_TOXIC = 2
 #: Labelled texts to fit on (a sample by hash where there are more).
 ROWS = 100_000
 SIGNIFICANT = 0.05
-#: K where too few clean texts have a hit to tell it.
+#: K where too few clean texts have a hit to tell it, and the least number of texts in the tail that tells it.
 K = 0.1
+TAIL = 10
 #: Longer tokens are kept as hashes.
 TOKEN_BYTES = 64
 
@@ -145,10 +146,10 @@ class Lexicon:
 
     def fit_k(self, found: list[tuple[int, list[float]]]) -> None:
         """K from (tokens, segment scores) of clean texts, so that a share of ``SIGNIFICANT`` of them has a
-        significant passage; where fewer of them have a hit at all, they do not tell it."""
+        significant passage; a tail of fewer than ``TAIL`` texts, or of texts without a hit, does not tell it."""
         best = sorted(self.scale * max(scores) - math.log(n) for n, scores in found if scores)
         most = int(SIGNIFICANT * len(found))
-        if 0 < most <= len(best):
+        if TAIL <= most <= len(best):
             self.k = -math.log1p(-SIGNIFICANT) * math.exp(min(best[-most], 300.0))
 
     def evidence(self, scores: list[float], n: int) -> float:
@@ -159,7 +160,8 @@ class Lexicon:
         return max(NO_EVIDENCE, min(40.0, self.scale * total - math.log(max(n, 1))))
 
 
-NO_EVIDENCE = -12.0
+#: Evidence of a text without a hit, and of a passage that is toxic beyond doubt.
+NO_EVIDENCE, CERTAIN = -12.0, 8.0
 
 
 def segments(hits: list[tuple[int, float]]) -> list[tuple[int, int, float]]:
@@ -278,7 +280,9 @@ def fit(rows: DataFrame) -> Model:
     # a row for each of the training rows, whose number has a bound
     found = [(r["n"], r["scores"], r["toxic"]) for r in rows.mapInArrow(common.tidy(calibrate), "n long, scores array<double>, toxic int").collect()]
     lexicon.fit_k([(n, s) for n, s, toxic in found if not toxic])
-    intercept, slope = logistic([(lexicon.evidence(s, n), toxic, 1) for n, s, toxic in found])
+    # with few rows, no token may stand once its own row is left out: one row of each kind says what evidence means
+    known = [(CERTAIN, 1, 1), (NO_EVIDENCE, 0, 1)]
+    intercept, slope = logistic(known + [(lexicon.evidence(s, n), toxic, 1) for n, s, toxic in found])
     return Model(lexicon, intercept, slope)
 
 

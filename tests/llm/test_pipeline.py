@@ -1,7 +1,11 @@
 import corpus_pipeline as P
 import pytest
 
-from sparkvane.llm import linededup, packing, simhash, toxicity
+from test_decontam import brute as brute_decontam
+from test_linededup import brute_by_content
+from test_nearcopies import brute_groups
+
+from sparkvane.llm import packing, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -17,6 +21,10 @@ def ids(df):
     return {r[0] for r in df.select("doc_id").collect()}
 
 
+def test_the_stages_are_five_and_in_order():
+    assert [name for name, _ in P.STAGES] == ["toxicity", "line_dedup", "simhash_near_dedup", "benchmark_decontamination", "packing"]
+
+
 def test_columns_are_kept(stages):
     for name, _ in P.STAGES[:-1]:
         assert stages[name].columns == stages["documents"].columns
@@ -26,16 +34,14 @@ def test_each_stage_takes_its_decisions(spark, sf, stages):
     model = toxicity.fit(toxicity.training_rows(stages["documents"], spark.read.parquet(f"{sf}/labels.parquet")))
     low = {r["doc_id"] for r in toxicity.score(stages["documents"], model).collect() if r["score"] < toxicity.THRESHOLD}
     assert ids(stages["toxicity"]) == low < ids(stages["documents"])
-    before = {r["doc_id"]: r["text"] for r in stages["toxicity"].collect()}
-    after = {r["doc_id"]: r["text"] for r in stages["line_dedup"].collect()}
-    places = {r["doc_id"]: r["places"] for r in linededup.repeated_windows(stages["toxicity"]).collect()}
-    assert after == {i: linededup.strip_lines(t.encode(), places[i], linededup.RUN)[0].decode() if i in places else t for i, t in before.items()}
-    groups = {r["doc_id"]: r["component_id"] for r in simhash.groups(stages["line_dedup"]).collect()}
-    assert ids(stages["simhash_near_dedup"]) == {i for i, g in groups.items() if i == g}
-    benchmark = [r["text"].lower() for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    for r in stages["simhash_near_dedup"].collect():
-        if any(b in r["text"].lower() for b in benchmark):
-            assert r["doc_id"] not in ids(stages["benchmark_decontamination"])
+    texts = lambda name: dict(sorted((r["doc_id"], r["text"]) for r in stages[name].collect()))
+    before, after = texts("toxicity"), texts("line_dedup")
+    assert after == dict(zip(before, brute_by_content(list(before.values())), strict=True)) != before
+    labels = brute_groups(list(after.values()))
+    assert ids(stages["simhash_near_dedup"]) == {d for i, d in enumerate(after) if labels[i] == i} < set(after)
+    left = texts("simhash_near_dedup")
+    found = brute_decontam(left.values(), [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()])
+    assert ids(stages["benchmark_decontamination"]) == {d for d, f in zip(left, found, strict=True) if not f[5]} < set(left)
     assert {r["doc_id"] for r in stages["packing"].collect()} == ids(stages["benchmark_decontamination"])
 
 
