@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkvane.llm import common, decontam, linededup, nearcopies, packing, simhash, toxicity
+from sparkvane.llm import common, decontam, linededup, nearcopies, packing, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,12 +25,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup (operator 5): the smallest doc_id of each group stays."""
-    return simhash.deduplicate(docs)
-
-
-def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near copies that three bits do not reach: similar by 0.8 in shingles of five words, exactly."""
+    """SimHash near-dedup (operator 5) at a similarity of 0.8 in shingles of five words: one document of
+    each group stays. Fingerprints and BK-trees find the closest copies, a prefix filter the rest."""
     return nearcopies.deduplicate(docs)
 
 
@@ -48,7 +44,6 @@ STAGES = [
     ("toxicity", drop_toxic),
     ("line_dedup", drop_repeated_lines),
     ("simhash_near_dedup", drop_near_copies),
-    ("near_copies", drop_similar),
     ("benchmark_decontamination", drop_contaminated),
     ("packing", pack),
 ]
