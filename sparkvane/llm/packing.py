@@ -1,134 +1,173 @@
-"""Harmonic packing of token sequences into rows of fixed capacity.
-
-A document's ids (with the end id) are cut into pieces: whole capacities, then powers of two
-down to ``TAIL`` by the binary digits of the remainder, then a tail shorter than ``TAIL``.
-Pieces of one length form a class; class of length L belongs to the reciprocal-capacity
-interval 1/k with k = capacity // L, and each of its sequences takes exactly k pieces. So
-lengths that are powers of two fill their sequences wholly, and a sequence of tails wastes
-less than one tail. Which sequence a piece goes to follows from its number within the class
-alone: number // k, at (number % k) * L. Workers number their pieces independently, and a
-small table of (worker, class) counts makes these numbers global; no piece moves for it.
-
-The last, unfilled sequence of each class (fewer than k pieces) is dissolved: these pieces
-number at most ``sum(k)`` over the classes, a constant, and are packed together first-fit by
-falling length.
-
-Scale: one map over the texts; what moves is the (worker, class) counts. The pieces are
-written once to the shared folder, because numbering needs one fixed division into workers.
-
-Defined results: a null or empty text is the end id alone; repeated rows are packed each;
-extra columns are ignored; an empty table gives no sequence.
+"""Harmonic packing of token sequences into rows of fixed capacity C.
+
+A document's ids (with the end id) longer than C first give whole capacities, each a sequence of
+its own. What is left of it, or a shorter document, is a piece of length r. Pieces fall into
+reciprocal-capacity classes: class k holds the lengths with C / (k + 1) < r <= C / k, and a bin of
+class k takes exactly k pieces, whole. So a bin needs nothing but a counter, and workers fill
+their bins independently. Pieces of at most C / ``CLASSES`` are the fill: they close the gaps
+that full bins leave, and the last one into a gap is cut to its size (the rest of it goes on to
+the next gap).
+
+At the end of a worker's rows the pieces of bins that are not full join the fill, and so do the
+bins whose gaps nothing is left for. What then remains, less than one capacity, is cut by its
+binary digits into sequences whose lengths are powers of two, which are not padded. So no
+sequence is padded, and documents that fit a sequence are cut only where they are fill.
+
+Scale: one map over the texts; no shuffle and no row moves, as a sequence's id is that of its
+worker's partition and a number within it, and a task that runs again gives the same rows. A
+worker holds at most ``WAITING`` bins and as many capacities of fill: beyond it the oldest bin
+becomes fill, or fill makes sequences of its own.
+
+Defined results: a null or empty text is the end id alone; repeated rows and rows of equal or
+null doc_id are packed each; extra columns are ignored; an empty table gives no sequence.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import deque
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
-from pyspark.sql import functions as F
 
 from sparkvane.llm import common, tokens
 
 CAPACITY = 2048
-TAIL = 64
+#: Classes by reciprocal capacity; shorter pieces than the last one's are fill.
+CLASSES = 8
+#: Bins that wait for fill, and capacities of fill that wait for bins.
+WAITING = 256
 END_ID = 1
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, worker int, number long"
-
-
-def cut(n: int, capacity: int = CAPACITY, tail: int = TAIL) -> list[int]:
-    """The lengths of the pieces of n tokens, longest first."""
-    out = [capacity] * (n // capacity)
-    rest = n % capacity
-    size = capacity >> 1
-    while size >= tail:
-        if rest & size:
-            out.append(size)
-        size >>= 1
-    if rest % tail:
-        out.append(rest % tail)
-    return out
-
-
-def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, tail: int = TAIL) -> DataFrame:
-    """One row per piece with its worker's number in its class."""
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("worker", pa.int32()), ("number", pa.int64())])
+ROWS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+_SCHEMA = pa.schema([(c.split()[0], pa.int64()) for c in ROWS.split(", ")])
+
+
+class Piece(NamedTuple):
+    doc_id: int | None
+    start: int
+    length: int
+    doc_tokens: int
+    raw: bytes  # little-endian ids of the piece
+
+    def cut(self, at: int) -> tuple[Piece, Piece]:
+        one = self._replace(length=at, raw=self.raw[: 4 * at])
+        return one, self._replace(start=self.start + at, length=self.length - at, raw=self.raw[4 * at :])
+
+
+class Packer:
+    """The bins of one worker; finished sequences are lists of pieces in ``done``."""
+
+    def __init__(self, capacity: int = CAPACITY, classes: int = CLASSES, waiting: int = WAITING) -> None:
+        self.capacity, self.classes, self.most = capacity, classes, waiting
+        self.open: dict[int, list[Piece]] = {}
+        self.waiting: deque[tuple[int, list[Piece]]] = deque()  # (gap, pieces)
+        self.fill: deque[Piece] = deque()
+        self.fill_tokens = 0
+        self.done: list[list[Piece]] = []
+
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        raw, n, at = ids.astype("<u4").tobytes(), len(ids), 0
+        while n - at >= self.capacity:
+            self.done.append([Piece(doc_id, at, self.capacity, n, raw[4 * at : 4 * (at + self.capacity)])])
+            at += self.capacity
+        if at == n:
+            return
+        piece = Piece(doc_id, at, n - at, n, raw[4 * at :])
+        k = self.capacity // piece.length
+        if k >= self.classes:
+            self._to_fill([piece])
+        else:
+            held = self.open.setdefault(k, [])
+            held.append(piece)
+            if len(held) == k:
+                self.waiting.append((self.capacity - sum(p.length for p in held), held))
+                del self.open[k]
+        self._close()
+        while len(self.waiting) > self.most:
+            self._to_fill(self.waiting.popleft()[1])
+            self._close()
+        while self.fill_tokens > self.most * self.capacity:
+            self.done.append(self._take(self.capacity))
+
+    def _to_fill(self, pieces: list[Piece]) -> None:
+        self.fill.extend(pieces)
+        self.fill_tokens += sum(p.length for p in pieces)
+
+    def _take(self, n: int) -> list[Piece]:
+        """Exactly n tokens of fill."""
+        out = []
+        self.fill_tokens -= n
+        while n:
+            piece = self.fill.popleft()
+            if piece.length > n:
+                piece, rest = piece.cut(n)
+                self.fill.appendleft(rest)
+            out.append(piece)
+            n -= piece.length
+        return out
+
+    def _close(self) -> None:
+        """Close the gaps of waiting bins, the oldest first, as far as the fill goes."""
+        while self.waiting and self.waiting[0][0] <= self.fill_tokens:
+            gap, pieces = self.waiting.popleft()
+            self.done.append(pieces + self._take(gap))
+
+    def finish(self) -> None:
+        for k in sorted(self.open):
+            self._to_fill(self.open[k])
+        self.open.clear()
+        self._close()
+        while self.waiting:
+            self._to_fill(self.waiting.pop()[1])
+            self._close()
+        while self.fill_tokens >= self.capacity:
+            self.done.append(self._take(self.capacity))
+        size = self.capacity >> 1
+        while self.fill_tokens:
+            if self.fill_tokens >= size:
+                self.done.append(self._take(size))
+            size >>= 1
+
+
+def pack(docs: DataFrame, vocabulary: str = tokens.VOCABULARY, capacity: int = CAPACITY, classes: int = CLASSES) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece; the capacity is a power of two."""
+    if capacity & (capacity - 1):
+        raise ValueError("the capacity must be a power of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        worker = TaskContext.get().partitionId()
-        met: dict[int, int] = {}
+        first = TaskContext.get().partitionId() << 32
+        packer, made = Packer(capacity, classes), 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal made
+            out = []
+            for sequence in packer.done:
+                offset = 0
+                for p in sequence:
+                    out.append((p.doc_id, p.start, p.length, zlib.crc32(p.raw), p.doc_tokens, first + made, offset))
+                    offset += p.length
+                made += 1
+            packer.done.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=_SCHEMA)
+
         for batch in batches:
             for part in common.text_blocks(batch):
-                out: list[list[int]] = [[] for _ in range(6)]
                 for doc_id, ids in zip(part.column(0).to_pylist(), tokens.encoder(vocabulary).encode(common.texts_of(part)), strict=True):
-                    raw = np.append(ids, END_ID).astype("<u4").tobytes()
-                    n, at = len(raw) // 4, 0
-                    for size in cut(n, capacity, tail):
-                        number = met.get(size, 0)
-                        met[size] = number + 1
-                        for column, x in zip(out, (doc_id, at, size, zlib.crc32(raw[4 * at : 4 * (at + size)]), n, number), strict=True):
-                            column.append(x)
-                        at += size
-                rows = len(out[0])
-                cols = [pa.array(c, pa.int64()) for c in out]
-                yield pa.RecordBatch.from_arrays([*cols[:5], pa.array(np.full(rows, worker, np.int32)), cols[5]], schema=schema)
+                    packer.add(doc_id, np.append(ids, END_ID))
+                if packer.done:
+                    yield flush()
+        packer.finish()
+        if packer.done:
+            yield flush()
         tokens.encoder(vocabulary).rest()
 
-    return docs.select("doc_id", "text").mapInArrow(common.tidy(run), PIECES)
-
-
-def pack(docs: DataFrame, vocabulary: str = tokens.VOCABULARY, capacity: int = CAPACITY, tail: int = TAIL) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece."""
-    cut_up = common.materialise(pieces(docs, vocabulary, capacity, tail), "pieces")
-    counts = cut_up.groupBy("worker", "length").agg(F.count("*").alias("n"))
-    # (worker, class) counts: a row for each of at most capacity/tail-bounded classes and worker
-    earlier = W.partitionBy("length").orderBy("worker").rowsBetween(W.unboundedPreceding, -1)
-    bases = counts.select("worker", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    k = F.expr(f"{capacity} div length")
-    classes = counts.groupBy("length").agg(F.sum("n").alias("total")).withColumn("full", F.expr(f"total div ({capacity} div length)"))
-    # at most one row per class here: capacity itself, the powers of two, and lengths below the tail
-    order = W.partitionBy(F.lit(0)).orderBy(F.desc("length")).rowsBetween(W.unboundedPreceding, -1)
-    classes = classes.select("length", "full", F.coalesce(F.sum("full").over(order), F.lit(0)).alias("first_sequence"), F.sum("full").over(W.partitionBy(F.lit(0))).alias("all_full"))
-    numbered = (
-        cut_up.join(bases, ["worker", "length"])
-        .join(F.broadcast(classes), "length")  # 70 rows for the default sizes
-        .withColumn("number", F.col("base") + F.col("number"))
-        .withColumn("slot", F.expr(f"number div ({capacity} div length)"))
-    )
-    result = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-    full = numbered.where("slot < full").select(
-        *result,
-        (F.col("first_sequence") + F.col("slot")).alias("sequence_id"),
-        ((F.col("number") % k) * F.col("length")).alias("offset"),
-    )
-
-    def fit(rest: pd.DataFrame) -> pd.DataFrame:
-        rest = rest.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-        room: list[int] = []
-        seq, off, first_open = [], [], 0
-        for size in rest["length"]:
-            while first_open < len(room) and room[first_open] == 0:
-                first_open += 1
-            at = next((i for i in range(first_open, len(room)) if room[i] >= size), len(room))
-            if at == len(room):
-                room.append(capacity)
-            seq.append(at)
-            off.append(capacity - room[at])
-            room[at] -= size
-        rest["sequence_id"] = rest["all_full"] + np.array(seq, np.int64)
-        rest["offset"] = np.array(off, np.int64)
-        return rest[[*result, "sequence_id", "offset"]]
-
-    # fewer than capacity div length pieces of each class: a constant number of rows
-    rest = numbered.where("slot >= full").select(*result, "all_full").groupBy("all_full").applyInPandas(fit, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
-    return full.unionByName(rest)
+    return docs.select("doc_id", "text").mapInArrow(common.tidy(run), ROWS)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,11 +68,45 @@ def test_packing_is_whole_gapless_and_tight(docs_of, sample, partitions):
     assert padded <= 2048 + 0.01 * used
 
 
-def test_cut_lengths():
-    r = random.Random(0)
-    for n in [1, 63, 64, 2047, 2048, 2049, *(r.randint(1, 9000) for _ in range(200))]:
-        c = packing.cut(n)
-        assert sum(c) == n and all(x <= 2048 for x in c) and sum(x < 64 for x in c) <= 1
+def packed(lengths, **args):
+    packer = packing.Packer(**args)
+    most = 0
+    for i, n in enumerate(lengths):
+        packer.add(i, np.arange(n))
+        most = max(most, len(packer.waiting), packer.fill_tokens // packer.capacity)
+    packer.finish()
+    assert not packer.open and not packer.waiting and not packer.fill
+    return packer.done, most
+
+
+@pytest.mark.parametrize("low, high", [(1, 256), (257, 2048), (1025, 2048), (1, 9000), (1, 2048)])
+def test_bins_hold_whole_documents_and_pad_nothing(low, high):
+    r = random.Random(high)
+    lengths = [r.randint(low, high) for _ in range(3000)]
+    done, most = packed(lengths)
+    assert most <= packing.WAITING + 1
+    totals = [sum(p.length for p in s) for s in done]
+    assert all(n == 2048 or n & (n - 1) == 0 for n in totals) and sum(n < 2048 for n in totals) <= 11
+    tokens_of = {i: [] for i in range(len(lengths))}
+    for s in done:
+        for p in s:
+            assert p.raw == np.arange(p.start, p.start + p.length, dtype="<u4").tobytes() and p.doc_tokens == lengths[p.doc_id]
+            tokens_of[p.doc_id] += range(p.start, p.start + p.length)
+    assert all(sorted(t) == list(range(lengths[i])) for i, t in tokens_of.items())
+    if (low, high) == (1, 2048):  # documents that are no fill stay whole but for what the end takes
+        pieces = {}
+        for s in done:
+            for p in s:
+                pieces[p.doc_id] = pieces.get(p.doc_id, 0) + 1
+        whole = [pieces[i] == 1 for i, n in enumerate(lengths) if n > 256]
+        assert sum(whole) / len(whole) > 0.55
+
+
+def test_a_bin_takes_the_number_of_its_class():
+    done, _ = packed([700] * 4 + [1025] + [400] * 5 + [100] * 30)
+    for k, n in ((2, 700), (1, 1025), (5, 400)):
+        bins = [s for s in done if sum(p.length == n for p in s)]
+        assert all(sum(p.length == n for p in s) == k for s in bins) and sum(p.length for s in bins for p in s) == 2048 * len(bins)
 
 
 def test_packing_of_nothing(docs_of):
