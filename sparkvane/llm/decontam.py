@@ -2,8 +2,9 @@
 
 Words are maximal runs of ASCII letters and digits and of any non-ASCII characters, with
 A-Z lower-cased. The pattern of a benchmark item is every window of ``window`` consecutive
-words (an item of fewer words, but not none, is one window). The automaton runs over word
-numbers, so a match always starts and ends at word borders, and each text is scanned once.
+words (an item of fewer words, but not none, is one window). The automaton holds the
+windows with a space on either side, so a match always starts and ends at word borders, and each
+text is scanned once.
 Matches carry word positions, and ``char_spans`` maps them to offsets of the original text.
 
 Scale: documents are only mapped, never shuffled, and each row gives one row. An automaton
@@ -36,7 +37,7 @@ from sparkvane.llm import common
 
 WINDOW = 10
 #: Benchmark text of one automaton, of one broadcast, and document text that is held while automata change.
-AUTOMATON_BYTES = 1 << 20
+AUTOMATON_BYTES = 256 << 10
 GROUP_BYTES = 64 << 20
 HELD_BYTES = 32 << 20
 
@@ -74,22 +75,21 @@ def _groups(benchmark: DataFrame) -> Iterator[Broadcast]:
 
 
 class Matcher:
-    """The automaton of one block of items, over numbers that stand for the patterns' words."""
+    """The automaton of one block of items, over normalised text: a space on either side of each word."""
 
     def __init__(self, items: list[Item], window: int) -> None:
         import ahocorasick
 
-        patterns: dict[tuple[int, ...], set[str]] = {}
-        self.number: dict[bytes, int] = {}
+        patterns: dict[bytes, set[str]] = {}
         for item_id, raw in items:
-            words = [self.number.setdefault(w, len(self.number) + 1) for w in words_of(raw)]
+            words = words_of(raw)
             for i in range(max(1, len(words) - window + 1) if words else 0):
-                patterns.setdefault(tuple(words[i : i + window]), set()).add(item_id)
+                patterns.setdefault(b" " + b" ".join(words[i : i + window]) + b" ", set()).add(item_id)
         self.automaton = None
         if patterns:
-            self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-            for p, ids in patterns.items():
-                self.automaton.add_word(p, (len(p), frozenset(ids)))
+            self.automaton = ahocorasick.Automaton()
+            for p, ids in patterns.items():  # one character a byte: offsets stay byte offsets
+                self.automaton.add_word(p.decode("latin-1"), (p.count(b" ") - 1, frozenset(ids)))
             self.automaton.make_automaton()
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
@@ -98,10 +98,13 @@ class Matcher:
         items: set[str] = set()
         if self.automaton is None or not words:
             return spans, items
-        number = self.number.get
-        for end, (n, ids) in self.automaton.iter(tuple([number(w, 0) for w in words])):
+        starts = None
+        for end, (n, ids) in self.automaton.iter((b" " + b" ".join(words) + b" ").decode("latin-1")):
+            if starts is None:
+                starts = np.cumsum([1] + [len(w) + 1 for w in words])
+            last = int(np.searchsorted(starts, end, side="right"))  # words that start at or before the end
             items |= ids
-            spans.append((end + 1 - n, end + 1))
+            spans.append((last - n, last))
         return merge_spans(spans), items
 
 
@@ -138,7 +141,8 @@ def _found(parts: list[pa.RecordBatch], group: Broadcast, window: int) -> list[l
             for k, raw in enumerate(common.bytes_of(part)):
                 words = words_of(raw)
                 spans, ids = matcher.scan(words)
-                rows[k] = (len(words), merge_spans(rows[k][1] + spans), rows[k][2] | ids)
+                old = rows[k]
+                rows[k] = (len(words), merge_spans(old[1] + spans) if old[1] else spans, old[2] | ids if old[2] else ids)
     return out
 
 

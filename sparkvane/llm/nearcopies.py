@@ -12,6 +12,10 @@ meet on those alone, and sizes and places rule out most before texts are compare
 shingles that are common in a sample of documents last, so shared lines seldom make documents
 meet; which ones they are changes the work, never the result.
 
+Before texts move, pairs are held against parity bitmaps of about a bit a shingle: each shingle flips
+one bit, so two bitmaps differ in no more bits than the sets have shingles apart, which at this
+similarity is at most a ninth of both sizes. Pairs that differ in more are no links.
+
 Equal sets are collapsed first. Documents that share a shingle and are in different groups are
 compared with the least of them; only those that this leaves in different groups are compared with
 each other, so a large group of near copies does not cost all its pairs.
@@ -72,9 +76,9 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, n, digest, keys): fingerprint; size, digest and first shingles of each set."""
+    """(doc_id, fp, n, digest, bits, keys): fingerprint; size, digest, parity bitmap and first shingles of each set."""
     often = common_shingles(docs)
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("digest", pa.binary()), ("bits", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
@@ -85,13 +89,43 @@ def prefixes(docs: DataFrame) -> DataFrame:
                 for doc_id, raw in zip(part.column(0).to_pylist(), common.bytes_of(part), strict=True):
                     every = hashes(raw)
                     found = np.unique(every.view(np.int64))
-                    out.append((doc_id, simhash.majority(every), len(found), xxh3_128_digest(found.tobytes()), prefix(found, often)))
+                    out.append((doc_id, simhash.majority(every), len(found), xxh3_128_digest(found.tobytes()), parity(found), prefix(found, often)))
                 cols = [list(c) for c in zip(*out, strict=True)]
                 cols[1] = np.array(cols[1], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(common.tidy(run), "doc_id long, fp long, n int, digest binary, keys array<long>")
+    return rows.mapInArrow(common.tidy(run), "doc_id long, fp long, n int, digest binary, bits binary, keys array<long>")
+
+
+def parity(found: np.ndarray) -> bytes:
+    """A bitmap of at least a bit a shingle, and 256; each shingle flips the bit of its lowest digits."""
+    size = max(256, 1 << max(len(found) - 1, 0).bit_length())
+    return np.packbits((np.bincount((found & (size - 1)).astype(np.int64), minlength=size) & 1).astype(bool)).tobytes()
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """Bits in which two bitmaps differ; the larger is folded to the size of the smaller."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(a) > len(b):
+        a, b = b, a
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def near(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose bitmaps do not rule a link out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, x, nb, y = (batch.column(i).to_pylist() for i in range(2, 6))
+            keep = [9 * differing(p, q) <= m + n for m, p, n, q in zip(na, x, nb, y, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    of = lambda end: nodes.select(F.col("rep").alias(end), F.col("n").alias("n" + end), F.col("bits").alias("bits" + end))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "bitsa", "nb", "bitsb")
+    return both.mapInArrow(common.tidy(run), "a long, b long").distinct()
 
 
 def _close(na: Column, ia: Column, nb: Column, ib: Column) -> Column:
@@ -99,8 +133,9 @@ def _close(na: Column, ia: Column, nb: Column, ib: Column) -> Column:
     return 9 * F.least(na - ia, nb - ib) >= 4 * (na + nb)
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose texts are similar enough."""
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of doc_ids whose texts are similar enough, written."""
+    pairs = common.materialise(near(nodes, pairs), "pairs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,7 +152,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", "text", cell).join(F.broadcast(cells), "cell", "left_semi").select("doc_id", "text")
     one = pairs.join(texts.withColumnRenamed("doc_id", "a"), "a")
     both = one.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), "b")
-    return both.select("a", "b", "text", "other").mapInArrow(common.tidy(run), "a long, b long").distinct()
+    return common.materialise(both.select("a", "b", "text", "other").mapInArrow(common.tidy(run), "a long, b long").distinct(), "links")
 
 
 def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
@@ -138,9 +173,9 @@ def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id and component_id (the smallest doc_id that links lead to) of every row with a doc_id."""
     sets = common.materialise(prefixes(docs), "prefixes")
-    nodes = sets.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"))
+    nodes = sets.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits"), F.any_value("keys").alias("keys"))
     nodes = common.materialise(nodes.drop("digest"), "nodes")
-    links = common.materialise(verified(docs, common.materialise(fingerprint_pairs(nodes), "pairs")), "links")
+    links = verified(docs, nodes, fingerprint_pairs(nodes))
     found = components.components(links)
 
     keys = nodes.select("rep", "n", F.posexplode("keys").alias("i", "h"))
@@ -148,8 +183,8 @@ def groups(docs: DataFrame) -> DataFrame:
     led = keys.withColumns({"lead": F.min(F.struct("rep", "n", "i")).over(same), "last": F.max("rep").over(same)})
     held = common.materialise(led.where("lead.rep < last AND rep > lead.rep").drop("last"), "shared")
     first = held.where(_close(F.col("n"), F.col("i"), F.col("lead.n"), F.col("lead.i")))
-    pairs = common.materialise(apart(first.select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct(), found), "pairs")
-    links = links.unionByName(common.materialise(verified(docs, pairs), "links"))
+    pairs = apart(first.select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct(), found)
+    links = links.unionByName(verified(docs, nodes, pairs))
     found = components.components(links)
 
     # what shares a shingle, is in different groups so far and was not compared yet
@@ -160,7 +195,7 @@ def groups(docs: DataFrame) -> DataFrame:
     x, y = rest.alias("x"), rest.alias("y")
     meet = (F.col("x.h") == F.col("y.h")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label"))
     pairs = x.join(y, meet & _close(F.col("x.n"), F.col("x.i"), F.col("y.n"), F.col("y.i"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    more = common.materialise(verified(docs, common.materialise(pairs, "pairs")), "links")
+    more = verified(docs, nodes, pairs)
     if not more.isEmpty():
         found = components.components(links.unionByName(more))
     # rows of one doc_id with different texts tie the groups of their sets

@@ -65,12 +65,16 @@ _LETTERS = bytes(c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(25
 
 
 def words_of(text: str) -> list[bytes]:
-    words = text.lower().encode().translate(_LETTERS).split()
-    if words and max(map(len, words)) > TOKEN_BYTES:
-        from xxhash import xxh3_128_digest
+    return text.lower().encode().translate(_LETTERS).split()
 
-        return [w if len(w) <= TOKEN_BYTES else b" " + xxh3_128_digest(w) for w in words]
-    return words
+
+def token(word: bytes) -> bytes:
+    """A word as the lexicon knows it."""
+    if len(word) <= TOKEN_BYTES:
+        return word
+    from xxhash import xxh3_128_digest
+
+    return b" " + xxh3_128_digest(word)
 
 
 def held_out(doc_id: int) -> bool:
@@ -85,6 +89,7 @@ class Lexicon:
         self.k = K
         self.weights = {t: w for t, (a, b) in counts.items() if (w := self.weight(a, b, n_toxic, n_clean)) is not None}
         self.scale = self._lambda(clean_tokens)
+        self.hashed = any(t[:1] == b" " for t in counts)
 
     @staticmethod
     def z_weight(a: float, b: float, n_a: float, n_b: float) -> tuple[float, float]:
@@ -118,6 +123,10 @@ class Lexicon:
             low, high = (mid, high) if f(mid) < 0 else (low, mid)
         return (low + high) / 2
 
+    def tokens(self, text: str) -> list[bytes]:
+        words = words_of(text)
+        return [*map(token, words)] if self.hashed else words
+
     def positive(self, words: list[bytes], toxic: int | None = None) -> list[tuple[int, float]]:
         """(position, weight) of the tokens that count; toxic: leave this document's own count out."""
         if toxic is None:
@@ -196,7 +205,7 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.intercept + self.slope * evidence))))
 
     def of(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
-        words = words_of(text)
+        words = self.lexicon.tokens(text)
         hits = self.lexicon.positive(words)
         if not hits:
             return self.score(NO_EVIDENCE), []
@@ -241,7 +250,7 @@ def fit(rows: DataFrame) -> Model:
                     totals[1] += 1
                     totals[2] += 0 if toxic else len(words)
                     for t in set(words):
-                        c = met[t]
+                        c = met[t if len(t) <= TOKEN_BYTES else token(t)]
                         c[0] += toxic
                         c[1] += 1
                 if len(met) > 300_000:
@@ -272,7 +281,7 @@ def fit(rows: DataFrame) -> Model:
                 labels = part.column(1).to_pylist()
                 sizes, scores = [], []
                 for text, toxic in zip(common.texts_of(part), labels, strict=True):
-                    words = words_of(text)
+                    words = lex.tokens(text)
                     sizes.append(len(words))
                     scores.append(lex.segment_scores(lex.positive(words, toxic), words))
                 yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64()), pa.array(scores, pa.list_(pa.float64())), pa.array(labels, pa.int32())], names=["n", "scores", "toxic"])
