@@ -72,22 +72,51 @@ def rewrite(c: Column | str, rules: Sequence[tuple[str, str]]) -> Column:
 
 # fixed values: endings that word counts drop, in the order in which they are tried
 ENDINGS = ("lerinin", "larının", "lere", "lara", "leri", "ları", "lerden", "lardan", "den", "dan", "ten", "tan", "yle", "yla", "ye", "ya", "ler", "lar")
-
-
-def word_stem(c: Column | str) -> Column:
-    """A word without genitive and copula, and without the first plural or case ending that leaves over three letters."""
+# fixed values: genitive and copula endings
+GENITIVE = "(nin|nın|nun|nün|in|ın|un|ün)$"
+COPULA = "(dir|dır|dur|dür|tir|tır|tur|tür)$"
+# fixed values: words that are counted as another one, and phrases that are counted as one word
+CONCEPTS = {
+    "kobiler": "kobi", "kobiye": "kobi", "kobinin": "kobi", "kobilere": "kobi", "kobi'lere": "kobi", "kobilerin": "kobi",
+    "müşteriler": "müşteri", "müşterilere": "müşteri", "müşterilerinin": "müşteri", "ödemeler": "ödeme", "ödemeyi": "ödeme",
+    "tahsilatı": "tahsilat", "tahsilatta": "tahsilat", "finansmanı": "finansman", "finansmana": "finansman",
+    "dijitalleşme": "dijital", "dijitalleşmeyi": "dijital", "dönüşümü": "dönüşüm", "dönüşüme": "dönüşüm", "işbirliği": "iş birliği",
+    "entegrasyonu": "entegrasyon", "entegrasyonları": "entegrasyon", "kartları": "kart", "kartı": "kart",
+    "ödülleri": "ödül", "ödülü": "ödül", "ödüller": "ödül", "nakdi": "nakit", "nakdin": "nakit", "yönetimi": "yönetim",
+    "müşteri": "müşteri", "musteri": "müşteri", "kobİ": "kobi", "kobı": "kobi", "pos": "pos",
+}
+PHRASES = {
+    "iş birliği": "işbirliği", "iş birlikleri": "işbirliği", "üye işyeri": "üyeişyeri", "üye işyerleri": "üyeişyeri",
+    "açık bankacılık": "açıkbankacılık", "gömülü finans": "gömülüfinans",
+}
+DISPLAY = {"işbirliği": "iş birliği", "üyeişyeri": "üye işyeri", "açıkbankacılık": "açık bankacılık", "gömülüfinans": "gömülü finans"}
+
+
+def named(word: Column, names: Mapping[str, str]) -> Column:
+    """A word by its name in a table, itself where the table has none."""
+    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, word), word)
+
+
+def word_stem(c: Column | str, concepts: Mapping[str, str] = CONCEPTS) -> Column:
+    """A word without genitive and copula, and without the first plural or case ending that leaves over three
+    letters; before and after the ending it is counted as its concept."""
     w = F.regexp_replace(F.trim(F.lower(text(c))), "^['’`-]+|['’`-]+$", "")
-    w = F.regexp_replace(w, "(nin|nın|nun|nün|in|ın|un|ün)$", "")
-    w = F.regexp_replace(w, "(dir|dır|dur|dür|tir|tır|tur|tür)$", "")
+    w = named(F.regexp_replace(F.regexp_replace(w, GENITIVE, ""), COPULA, ""), concepts)
     out = w
     for e in reversed(ENDINGS):
         out = F.when((F.length(w) > len(e) + 3) & w.endswith(e), w.substr(F.lit(1), F.length(w) - len(e))).otherwise(out)
-    return out
+    return named(out, concepts)
 
 
 def word_frequencies(df: DataFrame, column: str, stop: Sequence[str] = (), shortest: int = 3) -> DataFrame:
-    """(word, n): words without markup, urls and digits, by stem."""
+    """(word, n): words without markup, urls and digits, by stem; phrases of ``PHRASES`` are one word."""
     t = F.regexp_replace(F.regexp_replace(F.lower(text(column)), "<[^>]+>", " "), r"https?://\S+|www\.\S+", " ")
-    words = df.select(F.explode(F.split(F.regexp_replace(t, r"[^a-zçğıöşü\s]", " "), r"\s+")).alias("w")).select(word_stem("w").alias("word"))
-    kept = words.where((F.length("word") >= shortest) & ~F.col("word").isin(*stop)) if stop else words.where(F.length("word") >= shortest)
-    return kept.groupBy("word").agg(F.count("*").alias("n"))
+    for phrase, word in PHRASES.items():
+        t = F.replace(t, F.lit(phrase), F.lit(word))
+    words = df.select(F.explode(F.split(F.regexp_replace(t, r"[^a-zçğıöşü\s]", " "), r"\s+")).alias("w"))
+    # each distinct word is stemmed once, after the counts of a task are combined
+    counted = words.groupBy("w").agg(F.count("*").alias("n")).select(word_stem("w").alias("word"), "n").where(F.length("word") >= shortest)
+    if stop:
+        counted = counted.where(~F.col("word").isin(*stop))
+    return counted.groupBy(named(F.col("word"), DISPLAY).alias("word")).agg(F.sum("n").alias("n"))

@@ -51,14 +51,21 @@ def fuzzy_pairs(df: DataFrame, block: str, key: str, title: str, date: str | Non
 def token_pairs(df: DataFrame, block: Sequence[str], key: str, tokens: str, overlap: int = 3, at_least: float = 0.22) -> DataFrame:
     """(a, b, shared, jaccard) of rows of one block that share tokens.
 
-    The join is on (block, token), so rows without a common token never meet.
+    A pair shares at least ``need`` tokens, the larger of ``overlap`` and ``at_least`` times a row's
+    size. So in any one order of tokens it shares one of each row's first n - need + 1; rows meet on those
+    alone, rare tokens first, and each pair's sets are compared once. Keys are unique within a block.
     """
-    rows = df.select(*block, F.col(key).alias("id"), F.col(tokens).alias("t"))
-    each = rows.select(*block, "id", F.size("t").alias("n"), F.explode("t").alias("w"))
-    a = each.select(*block, F.col("id").alias("a"), F.col("n").alias("na"), "w")
-    b = each.select(*block, F.col("id").alias("b"), F.col("n").alias("nb"), "w")
-    shared = a.join(b, [*block, "w"]).where("a < b").groupBy(*block, "a", "b", "na", "nb").agg(F.count("*").alias("shared"))
-    j = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
+    rows = df.select(*block, F.col(key).alias("id"), F.array_distinct(tokens).alias("t")).withColumn("n", F.size("t")).where(F.col("n") >= max(overlap, 1))
+    each = rows.select(*block, "id", "n", F.explode("t").alias("w"))
+    ranked = each.join(each.groupBy("w").agg(F.count("*").alias("often")), "w").groupBy(*block, "id", "n").agg(F.array_sort(F.collect_list(F.struct("often", "w"))).alias("ws"))
+    need = F.greatest(F.lit(overlap), F.ceil(F.lit(at_least) * F.col("n"))).cast("int")
+    first = ranked.select(*block, "id", "n", F.explode(F.slice("ws", F.lit(1), F.col("n") - need + 1)).alias("r")).select(*block, "id", "n", F.col("r.w").alias("w"))
+    a, b = (first.select(*block, "w", F.col("id").alias(x), F.col("n").alias("n" + x)) for x in "ab")
+    close = F.least("na", "nb") >= F.lit(at_least) * F.greatest("na", "nb")
+    pairs = a.join(b, [*block, "w"]).where((F.col("a") < F.col("b")) & close).select(*block, "a", "b").distinct()
+    one, two = (rows.select(*block, F.col("id").alias(x), F.col("t").alias("t" + x)) for x in "ab")
+    shared = pairs.join(one, [*block, "a"]).join(two, [*block, "b"]).withColumn("shared", F.size(F.array_intersect("ta", "tb")).cast("long"))
+    j = F.col("shared") / (F.size("ta") + F.size("tb") - F.col("shared"))
     return shared.withColumn("jaccard", j).where((F.col("shared") >= overlap) & (F.col("jaccard") >= at_least)).select(*block, "a", "b", "shared", "jaccard")
 
 

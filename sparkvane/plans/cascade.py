@@ -37,3 +37,20 @@ def all_reasons(checks: Sequence[tuple[Column, Column | str]]) -> Column:
     """Array of the texts of all checks whose condition holds, in order."""
     reasons = [F.when(F.coalesce(c, F.lit(False)), r if isinstance(r, Column) else F.lit(r)) for c, r in checks]
     return F.filter(F.array(*reasons), lambda x: x.isNotNull())
+
+
+def holds(signals: Mapping[str, Column], wanted: str) -> Column:
+    """Whether all signals of a list like ``"a b -c"`` are as it says: there, or (with a minus) not there."""
+    out = F.lit(True)
+    for name in wanted.split():
+        there = F.coalesce(signals[name.removeprefix("-")], F.lit(False))
+        out = out & (~there if name.startswith("-") else there)
+    return out
+
+
+def first_row(signals: Mapping[str, Column], table: Sequence[tuple], names: str) -> Column:
+    """Struct (fields ``names``) of the first row (wanted signals, *values) of a rule table that holds; the
+    last row wants nothing."""
+    fields = names.split()
+    *rows, last = [(holds(signals, row[0]), dict(zip(fields, row[1:], strict=True))) for row in table]
+    return first_match(rows, last[1])

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkvane.functions import dates, text, translate
+from sparkvane.functions import dates, translate
 from sparkvane.operators import rows
-from sparkvane.plans import boards, feed, health, network, recency, sourcing
+from sparkvane.plans import boards, feed, health, network, recency, roles, sourcing
+from sparkvane.plans.q_text import stem_sql
 from sparkvane.plans.registry import query, table
 from sparkvane.sources import html
 
@@ -253,40 +254,119 @@ def source_ranking(spark, sf):
     return boards.rank_sources(p, ["o", "a"], ["a", "b"]).select("url", F.col("score").cast("long").alias("score"))
 
 
-@query(
-    "network_signals",
-    """WITH c AS (SELECT c_custkey, c_nationkey, c_custkey % 6 AS k, c_custkey % 2 = 0 AS fresh FROM customer)
-       SELECT c_custkey, CASE k WHEN 0 THEN 'own_bank' WHEN 1 THEN 'competitor_bank' WHEN 2 THEN 'home_ecosystem' WHEN 3 THEN 'regional' WHEN 4 THEN 'transferable_capability' ELSE 'out_of_scope' END AS signal,
-         CASE k WHEN 0 THEN 5 + 3 + 2 WHEN 1 THEN 4 + 3 + 2 WHEN 2 THEN 3 + 2 WHEN 3 THEN 3 + 2 WHEN 4 THEN 4 + 4 + 2 ELSE 0 END + CASE WHEN fresh THEN 2 ELSE 0 END AS score FROM c""",
-)
+def cases(table, signals: dict[str, str], field: int, value=lambda v: f"'{v}'") -> str:
+    """A rule table as SQL: CASE over the wanted signals, with the values of one field."""
+    *rows, last = table
+    wanted = lambda w: " AND ".join(f"NOT ({signals[x[1:]]})" if x[0] == "-" else f"({signals[x]})" for x in w.split())
+    return "CASE " + " ".join(f"WHEN {wanted(r[0])} THEN {value(r[field])}" for r in rows) + f" ELSE {value(last[field])} END"
+
+
+def found(column: str, pattern: str) -> str:
+    return f"regexp_matches({column}, '{pattern}', 'i')"
+
+
+_MARKET = network.Market(own=r"\bown bank\b", competitors=r"(rival bank)", home=r"(anatolia)", bank="Own Bank", network="Net")
+#: Titles that set off each signal, dates before and after the cut-off, and urls with and without weight.
+_HEADS = (
+    "Own Bank note", "Rival Bank virtual card launch", "anatolia merchant news", "anatolia notes", "europe office", "acquiring and virtual card", "agentic token pilot", "open banking study",
+    "research survey", "football festival", "award for b2b working capital", "receivables for suppliers", "cross-border stablecoin settlement", "small business day", "nothing here", "Own Bank fraud award",
+)
+_URLS = ("https://n.com/newsroom/x", "https://n.com/solutions/", "https://n.com/x")
+_DATES = ("2026-06-01", "2026-04-01", "", "June 2026")
+
+
+def _network_sql() -> str:
+    pick = lambda values, by: f"list_extract([{', '.join(repr(v) for v in values)}], CAST({by} % {len(values)} AS INT) + 1)"
+    s = {k: found("blob", p) for k, p in network.PATTERNS.items()}
+    s |= {"own": found("blob", _MARKET.own), "named": found("blob", _MARKET.competitors), "dated": "day <> ''", "fresh": r"regexp_matches(day, '^20\d{2}-\d{2}-\d{2}$') AND day >= '2026-05-01'", "product_root": found("url", network.PRODUCT_ROOT)}
+    s["competitor"] = f"{s['named']} AND NOT {s['own']}"
+    s["home"] = f"{found('blob', _MARKET.home)} OR {s['own']} OR {s['named']}"
+    s["pressing"] = " OR ".join(s[k] for k in ("merchant", "security", "agentic", "commercial"))
+    s["capable"] = " OR ".join(s[k] for k in ("pressing", "open_data", "cross_border", "small"))
+    s["noise"] = f"{s['lifestyle']} AND NOT ({s['own']} OR {s['competitor']} OR {s['pressing']})"
+    flags = list(s)
+    near = [(r[0], *[v.format(bank=_MARKET.bank, network=_MARKET.network) for v in r[1:]]) for r in network.NEAR]
+    base = {k: k for k in flags}
+    later = base | {"at_home": "scope IN ('Own Bank', 'Türkiye')", "in_scope": "signal <> 'Kapsam Dışı'", "high": f"score >= {network.HIGH}", "worth": f"score >= {network.WORTH}", "evidence": f"{found('url', network.ITEM_PATH)} OR fresh", "proximity": "home OR scope IN ('Own Bank', 'EEMEA')"}
+    score = " + ".join([f"CASE WHEN {later[k]} THEN {w} ELSE 0 END" for k, w in network.WEIGHTS.items()] + [f"CASE WHEN transferability = '{k}' THEN {w} ELSE 0 END" for k, w in network.REACH.items()])
+    verdicts = ", ".join(f"{cases(network.VERDICTS, later, i)} AS {n}" for i, n in ((1, "role"), (2, "destination"), (3, "accepted"), (4, "rejection")))
+    return f"""WITH c AS (SELECT c_custkey, {pick(_HEADS, 'c_custkey')} AS title, {pick(_URLS, 'c_nationkey')} AS url, {pick(_DATES, '(c_custkey // 16)')} AS day FROM customer),
+      t AS (SELECT *, title || ' ' || url || ' ' AS blob FROM c), f AS (SELECT *, {', '.join(f'({s[k]}) AS {k}' for k in flags)} FROM t),
+      n AS (SELECT *, {', '.join(f'{cases(near, base, i)} AS {x}' for i, x in ((1, 'signal'), (2, 'scope'), (3, 'relevance'), (4, 'transferability')))}, {cases(network.LAYERS, base, 1)} AS layer FROM f),
+      v AS (SELECT *, {score} AS score FROM n)
+      SELECT c_custkey, signal, layer, scope, CASE WHEN named THEN regexp_extract(blob, '{_MARKET.competitors}', 1, 'i') WHEN own THEN 'Own Bank' ELSE '' END AS partner, CASE WHEN own THEN 'True' ELSE 'False' END AS direct,
+        CASE WHEN home THEN 'True' ELSE 'False' END AS home, relevance, transferability, {cases(network.HORIZONS, later, 1)} AS horizon, score, {verdicts} FROM v"""
+
+
+@query("network_signals", _network_sql())
 def network_signals(spark, sf):
-    m = network.Market(own=r"\bown bank\b", competitors=r"(rival bank)", home=r"(anatolia)")
-    k = F.col("c_custkey") % 6
-    title = F.when(k == 0, "own bank note").when(k == 1, "rival bank note").when(k == 2, "anatolia note").when(k == 3, "europe note").when(k == 4, "acquiring and virtual card").otherwise("nothing here")
-    c = table(spark, sf, "customer").select("c_custkey", title.alias("t"), F.lit("https://n/x").alias("u"), F.lit("").alias("b"), F.when(F.col("c_custkey") % 2 == 0, "2026-06-01").cast("date").alias("d"))
-    r = c.select("c_custkey", network.classify(m, "t", "u", "b", F.col("d"), "2026-05-01").alias("r"))
-    # "virtual card" is both a card and a commercial signal
-    return r.select("c_custkey", F.col("r.signal").alias("signal"), (F.col("r.score") - F.when(F.col("c_custkey") % 6 == 4, 4).otherwise(0)).cast("int").alias("score"))
+    pick = lambda values, by: F.element_at(F.array(*[F.lit(v) for v in values]), (by % len(values)).cast("int") + 1)
+    k = F.col("c_custkey")
+    c = table(spark, sf, "customer").select("c_custkey", pick(_HEADS, k).alias("t"), pick(_URLS, F.col("c_nationkey")).alias("u"), F.lit("").alias("b"), pick(_DATES, F.floor(k / 16)).alias("d"))
+    return c.select("c_custkey", network.classify(_MARKET, "t", "u", "b", F.col("d"), "2026-05-01").alias("r")).select("c_custkey", "r.*")
+
+
+_ROLE_HEADS = (
+    "genel kurul", "ihracat şubesi hizmete açıldı", "finansal sonuç ve eximbank", "finansal sonuç", "turkishbank group", "tüketici araştırması", "global insights", "ödül", "kobi ödül",
+    "esnaf paketi", "konut kredisi kampanyası", "kobi konut kredisi", "bir metin", "ihracat haberi", "local research",
+)
+
+
+def _roles_sql() -> str:
+    pick = lambda values, by: f"list_extract([{', '.join(repr(v) for v in values)}], CAST({by} % {len(values)} AS INT) + 1)"
+    names = {"scope_out": "SCOPE_OUT", "group": "GROUP", "bank_entity": "BANK_ENTITY", "report": "FINANCIAL_REPORT", "export_evidence": "EXPORT_EVIDENCE", "export": "EXPORT", "opening": "BRANCH_OPENING", "home": "HOME", "abroad": "ABROAD", "context": "CONTEXT_ONLY", "award": "AWARD"}
+    s = {k: found("blob", getattr(roles, v)) for k, v in names.items()} | {k: f"owner IN ({', '.join(repr(i) for i in ids)})" for k, ids in roles.OWNERS.items()}
+    s |= {"sme": "hit <> ''", "benchmark": "mode = 'benchmark_fact'"}
+    gate = "CASE WHEN hit <> '' THEN 'explicit_sme_signal:' || hit ELSE 'no_explicit_sme_signal_in_local_title_path_or_body' END"
+    reason = lambda r: f"'{r.removesuffix('{gate}')}' || {gate}" if r.endswith("{gate}") else f"'{r}'"
+    owners = (*roles.OWNERS["gated"], "another_bank")
+    return f"""WITH p AS (SELECT p_partkey, {pick(owners, 'p_partkey')} AS owner, {pick(('both', 'both', 'benchmark_fact'), '(p_partkey // 11)')} AS mode, {pick(_ROLE_HEADS, '(p_partkey // 7)')} AS title, p_name, p_brand FROM part),
+      b AS (SELECT *, trim(title || ' /haber/' || p_partkey || ' ' || p_name) AS blob FROM p),
+      g AS (SELECT *, regexp_extract(p_brand || ' ' || blob, '{roles.SMALL_BUSINESS}', 1, 'i') AS hit FROM b)
+      SELECT p_partkey, {cases(roles.ROLES, s, 1)} AS content_role, {cases(roles.ROLES, s, 2, reason)} AS role_reason FROM g"""
+
+
+@query("content_roles", _roles_sql())
+def content_roles(spark, sf):
+    pick = lambda values, by: F.element_at(F.array(*[F.lit(v) for v in values]), (by % len(values)).cast("int") + 1)
+    k = F.col("p_partkey")
+    p = table(spark, sf, "part").select(
+        "p_partkey", "p_name", "p_brand", pick((*roles.OWNERS["gated"], "another_bank"), k).alias("owner"), pick(("both", "both", "benchmark_fact"), F.floor(k / 11)).alias("mode"),
+        pick(_ROLE_HEADS, F.floor(k / 7)).alias("title"), F.concat(F.lit("https://x/haber/"), k.cast("string")).alias("url"),
+    )
+    return p.select("p_partkey", roles.content_role("owner", "mode", "url", "title", "p_name", "p_brand").alias("r")).select("p_partkey", "r.*")
 
 
-@query("link_score", r"""SELECT page_id, CAST(sum(CASE WHEN length(t) BETWEEN 20 AND 180 THEN 2 ELSE 0 END + CASE WHEN regexp_matches(p, '(?i)/(haber|news)/[^/]+') THEN 4 ELSE 0 END) AS BIGINT) AS score
-  FROM (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t, '/news/' || page_id AS p FROM pages) GROUP BY page_id""")
-def link_score(spark, sf):
-    p = table(spark, sf, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("t"), F.concat(F.lit("https://x/news/"), F.col("page_id").cast("string")).alias("u"))
-    s = html.link_score(F.col("t"), F.col("u"))
-    positive = F.when(text.matches(F.concat_ws(" ", "t", F.lit("/news/")), html.POSITIVE), 2).otherwise(0)
-    return p.select("page_id", (s["score"] - positive).cast("long").alias("score"))
+_LINK_SIGNALS = {
+    "good_length": "length(t) BETWEEN 20 AND 180", "positive": found("blob", html.POSITIVE), "low": found("blob", html.LOW_VALUE), "commerce": found("blob", html.COMMERCE), "detail": found("p", html.DETAIL_PATH),
+    "listing": found("p", html.LISTING_PATH), "product": found("p", html.PRODUCT_PATH), "press": f"contains(p, '{html.PRESS_PATH}')", "call": "lower(t) IN ('detaylı bilgi', 'detayli bilgi')",
+}
+_LINK_PATHS = ("/news/", "/haber/", "/kampanyalar/", "/kobi/kartlar/", "/content/public-website/kurumsal-iletisim/", "/kurumsal-iletisim/sanat/", "/odul/")
+
 
+def _link_sql() -> str:
+    met = [(" AND ".join(_LINK_SIGNALS[w] for w in wanted.split()), points, name) for wanted, points, name in html.POINTS]
+    total = " + ".join(f"CASE WHEN {c} THEN {points} ELSE 0 END" for c, points, _ in met)
+    named = "array_to_string([x FOR x IN [" + ", ".join(f"CASE WHEN {c} THEN '{name}' END" for c, _, name in met) + "] IF x IS NOT NULL], ',')"
+    s = _LINK_SIGNALS | {"length_only": "reasons = 'title_length'"}
+    table = [("low -commerce", 0, "'low_value_pr_noise'"), ("product -listing -press", 0, "'product_nav'"), ("length_only", 0, "'title_only'"), ("", "total", "reasons")]
+    return f"""WITH l AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t, list_extract([{', '.join(repr(x) for x in _LINK_PATHS)}], CAST(page_id % {len(_LINK_PATHS)} AS INT) + 1) || CASE WHEN page_id % 3 = 0 THEN '' ELSE CAST(page_id AS VARCHAR) END AS p FROM pages),
+      b AS (SELECT *, t || ' ' || p AS blob FROM l), r AS (SELECT *, {total} AS total, {named} AS reasons FROM b)
+      SELECT page_id, CAST({cases(table, s, 1, str)} AS BIGINT) AS score, {cases(table, s, 2, str)} AS reason FROM r"""
 
-_ENDED = "(den|dan|ten|tan|ye|ya|ler|lar|yle|yla|lere|lara|leri)$"
-_STEM = "regexp_replace(regexp_replace(w, '(nin|nun|in|un)$', ''), '(dir|dur|tir|tur)$', '')"
+
+@query("link_score", _link_sql())
+def link_score(spark, sf):
+    k = F.col("page_id")
+    path = F.concat(F.element_at(F.array(*[F.lit(x) for x in _LINK_PATHS]), (k % len(_LINK_PATHS)).cast("int") + 1), F.when(k % 3 == 0, "").otherwise(k.cast("string")))
+    p = table(spark, sf, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("t"), F.concat(F.lit("https://x"), path).alias("u"))
+    return p.select("page_id", html.link_score(F.col("t"), F.col("u")).alias("r")).select("page_id", F.col("r.score").cast("long").alias("score"), F.col("r.reason").alias("reason"))
 
 
-@query("stemmed_words", f"SELECT word, count(*) AS n FROM (SELECT {_STEM} AS word FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents WHERE lang = 'en')) WHERE word <> '' AND NOT regexp_matches(word, '{_ENDED}') GROUP BY word")
+@query("stemmed_words", f"SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT {stem_sql('w')} AS word, n FROM (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-zçğıöşü]+')) AS w FROM documents) GROUP BY w)) WHERE word <> '' GROUP BY word")
 def stemmed_words(spark, sf):
-    d = table(spark, sf, "documents").where("lang = 'en'").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))).alias("w"))
-    stem = F.expr(_STEM)
-    return d.where(~stem.rlike(_ENDED)).select(translate.word_stem("w").alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+    d = table(spark, sf, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-zçğıöşü]+)"), F.lit(1))).alias("w"))
+    return d.groupBy("w").agg(F.count("*").alias("n")).select(translate.word_stem("w").alias("word"), "n").where("word <> ''").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 @query("latest_n_runs", "SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 5")

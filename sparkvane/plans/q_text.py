@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkvane.functions import arrays, dates, ids, money, text, urls
+from sparkvane.functions import arrays, dates, ids, money, text, translate, urls
 from sparkvane.operators import similar
 from sparkvane.plans import classify, lint
 from sparkvane.plans.registry import query, table
@@ -192,13 +192,31 @@ def compact_text(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", text.shorten("text", 80).alias("short"))
 
 
+def stem_sql(w: str) -> str:
+    """A word's stem by the tables of ``translate``, as SQL."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    name = lambda c: f"coalesce(map_extract(MAP {{{', '.join(f'{quoted(k)}: {quoted(v)}' for k, v in translate.CONCEPTS.items())}}}, {c})[1], {c})"
+    bare = f"regexp_replace(regexp_replace({w}, '{translate.GENITIVE}', ''), '{translate.COPULA}', '')"
+    cut = " ".join(f"WHEN length(c) > {len(e) + 3} AND ends_with(c, '{e}') THEN left(c, length(c) - {len(e)})" for e in translate.ENDINGS)
+    return f"(SELECT {name('e')} FROM (SELECT CASE {cut} ELSE c END AS e FROM (SELECT {name('b')} AS c FROM (SELECT {bare} AS b))))"
+
+
+_PHRASED = "regexp_replace(regexp_replace(lower(text), '<[^>]+>', ' ', 'g'), 'https?://\\S+|www\\.\\S+', ' ', 'g')"
+for _phrase, _word in translate.PHRASES.items():
+    _PHRASED = f"replace({_PHRASED}, '{_phrase}', '{_word}')"
+_SHOWN = "CASE word " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in translate.DISPLAY.items()) + " ELSE word END"
+
+
 @query(
     "word_frequency",
-    """SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS word FROM documents WHERE lang = 'en') GROUP BY word ORDER BY n DESC, word LIMIT 50""",
+    f"""WITH w AS (SELECT unnest(regexp_split_to_array(regexp_replace({_PHRASED}, '[^a-zçğıöşü\\s]', ' ', 'g'), '\\s+')) AS w FROM documents WHERE text IS NOT NULL),
+        d AS (SELECT w, count(*) AS n FROM w GROUP BY w),
+        k AS (SELECT {stem_sql('w')} AS word, n FROM d)
+        SELECT {_SHOWN} AS word, CAST(sum(n) AS BIGINT) AS n FROM k WHERE length(word) >= 3 GROUP BY 1""",
 )
 def word_frequency(spark, sf):
-    d = table(spark, sf, "documents").where("lang = 'en'").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})"), F.lit(1))).alias("word"))
-    return d.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(50)
+    """All words of all texts, by stem."""
+    return translate.word_frequencies(table(spark, sf, "documents"), "text")
 
 
 @query(
@@ -215,14 +233,15 @@ def lint_score(spark, sf):
 
 @query(
     "token_jaccard_pairs",
-    r"""WITH t AS (SELECT doc_id, source, list_sort(list_distinct(regexp_extract_all(lower(text[1:300]), '[a-zçğıöşü0-9]+'))) AS raw FROM documents),
-        k AS (SELECT doc_id, source, [w FOR w IN raw IF length(w) >= 4] AS w FROM t)
-        SELECT a.source, a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.w, b.w)) AS shared FROM k a JOIN k b ON a.source = b.source AND a.doc_id < b.doc_id
+    r"""WITH t AS (SELECT p_partkey, p_brand, list_sort(list_distinct(regexp_extract_all(lower(p_name), '[a-zçğıöşü0-9]+'))) AS raw FROM part),
+        k AS (SELECT p_partkey, p_brand, [w FOR w IN raw IF length(w) >= 4] AS w FROM t)
+        SELECT a.p_brand, a.p_partkey AS a, b.p_partkey AS b, len(list_intersect(a.w, b.w)) AS shared FROM k a JOIN k b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey
         WHERE len(list_intersect(a.w, b.w)) >= 3 AND len(list_intersect(a.w, b.w)) * 1.0 / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) >= 0.22""",
 )
 def token_jaccard_pairs(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "source", text.tokens(F.substring("text", 1, 300)).alias("t"))
-    return similar.token_pairs(d, ["source"], "doc_id", "t").select("source", "a", "b", "shared")
+    """Whole titles, as the operator is meant for: names of parts within a brand."""
+    d = table(spark, sf, "part").select("p_partkey", "p_brand", text.tokens("p_name").alias("t"))
+    return similar.token_pairs(d, ["p_brand"], "p_partkey", "t").select("p_brand", "a", "b", "shared")
 
 
 @query("fuzzy_title_join")

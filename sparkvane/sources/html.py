@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from sparkvane.functions import dates, urls
 from sparkvane.functions.text import matches, squeeze, text
 from sparkvane.operators.rows import pick
-from sparkvane.plans.cascade import all_reasons
+from sparkvane.plans.cascade import all_reasons, first_row, holds
 
 _SKIP = {"script", "style", "noscript", "svg", "template"}
 _FURNITURE = {"nav", "header", "footer", "aside", "form"}
@@ -172,22 +172,73 @@ def markup_date(html: str | None) -> str:
     return page.meta.get("time", "")
 
 
-# fixed values: words and paths that weigh in a link's score
-POSITIVE = r"(kampanya|duyuru|haber|iş birliği|is birligi|lansman|yeni|ödeme|pos|kobi|news|press|launch|partner|payment)"
-DETAIL_PATH = r"/(?:haber|haberler|duyuru|duyurular|kampanya|kampanyalar|basin|press|news|blog|detay|article|story)[^/]*/[^/]+"
-LISTING_PATH = r"/(?:haberler|duyurular|kampanyalar|news|press)/?$"
-NEGATIVE = r"(login|giriş|iletişim|contact|gizlilik|privacy|cookie|çerez|kariyer|career|sitemap|javascript:|mailto:|tel:)"
+# fixed values: words and paths that weigh in a link's score, and those that make it nothing
+POSITIVE = (
+    r"(haber|duyuru|basin|basın|bulten|bülten|kampanya|yenilik|is-birligi|iş-birliği|"
+    r"kobi|kobİ|esnaf|ticari|pos|uye-isyeri|üye-işyeri|odeme|ödeme|garanti-bbva-dan|"
+    r"garanti-bbvadan|qnb-kobi|qnb-kobİ|üye işyeri|uye isyeri|sanal-pos|sanal pos|"
+    r"link-pos|link pos|ceppos|cep-pos|yazar-kasa|yazar kasa|kobi-rahat|kobi rahat|"
+    r"isim-icin|işim-için|parapuan|taksit|aidat|dijital-kanal|dijital kanal|"
+    r"e-fatura|efatura|e-arşiv|e-arsiv|e-dönüşüm|e-donusum|tahsilat|"
+    r"press|release|newsroom|announcement|campaign|partnership)"
+)
+NEGATIVE = (
+    r"(login|giris|giriş|arama|search|menu|footer|social|facebook|instagram|linkedin|"
+    r"twitter|x\.com|youtube|gizlilik|cerez|çerez|yasal|kvkk|iletisim|iletişim|"
+    r"sube|şube|atm|hesaplama|hesapla|musteri-ol|müşteri-ol|parola|site-haritasi|"
+    r"site haritası|sozlesmeler|sözleşmeler|guvenlik|güvenlik|sona ermiştir|"
+    r"qnb-first|qnb first|qnb-private|qnb private|bireysel|ihtiyac-kredisi|ihtiyaç kredisi|"
+    r"konut|tasit|taşıt|miles|doktor|emekli|ogrenci|öğrenci|tatil|restoran|giyim|"
+    r"market|akaryakit|akaryakıt|kozmetik|sinema|konser|cekilis|çekiliş|"
+    r"kisisel-kredi-karti|kişisel kredi kartı)"
+)
+COMMERCE = (
+    r"(kobi|kobiler|ticari|işletme|isletme|esnaf|pos|üye işyeri|uye isyeri|sanal pos|"
+    r"ödeme|odeme|tahsilat|kredi|kart|nakit|api|kampanya|masraf|finansman|girişimci|girisimci|"
+    r"merchant|commercial|business|sme)"
+)
+LOW_VALUE = (
+    r"(üst düzey atama|ust duzey atama|atama gerçekleşti|atama gerceklesti|finansal sonuç|finansal sonuc|"
+    r"aktif büyüklüğü|aktif buyuklugu|anaokulu|kampüs|kampus|yetenek programı|yetenek programi|"
+    r"çalışanlarına yönelik|calisanlarina yonelik|kadınlar günü|kadinlar gunu|ödül|odul|"
+    r"kültür|kultur|sanat|sosyal sorumluluk|global summit|liderlerini|"
+    r"tasarruf araştırması|tasarruf arastirmasi)"
+)
+PRODUCT_PATH = (
+    r"^/(?:(?:kobi|bireysel|ticari)/)?(?:kartlar|mevduat|krediler|dijital-bankacilik|"
+    r"odemeler-ve-hizmetler|yatirim|sigorta-ve-emeklilik|hesaplama-araclari|"
+    r"urun-ve-hizmet-ucretleri|sube-ve-atm)(?:/|$)"
+)
+PRESS_PATH = "/content/public-website/kurumsal-iletisim/"
+DETAIL_PATH = r"(/content/public-website/kurumsal-iletisim/|/kurumsal-iletisim/.+|/kampanyalar/.+|/basin|/haber|/duyuru|/press|/newsroom|/campaign)"
+LISTING_PATH = r"(/kurumsal-iletisim/garanti-bbvadan-haberler/?$|/kampanyalar/?$)"
+#: Points: signals that must be there, points, name.
+POINTS = (
+    ("good_length", 2, "title_length"),
+    ("positive", 2, "positive_keyword"),
+    ("detail", 4, "detail_path"),
+    ("listing", 10, "listing_path"),
+    ("press", 12, "garanti_press_detail"),
+    ("call detail", 1, "generic_detail_link"),
+)
 
 
 def link_score(title: Column, url: Column) -> Column:
-    """struct(score, reason): points for length, words, detail and listing paths; length alone is none."""
+    """struct(score, reason): points by ``POINTS``; low-value and product links, and length alone, are none."""
     p = urls.path(url)
     blob = F.concat_ws(" ", title, p)
-    good_length = F.length(title).between(20, 180)
-    parts = [(good_length, 2, "title_length"), (matches(blob, POSITIVE), 2, "positive_keyword"), (matches(p, DETAIL_PATH), 4, "detail_path"), (matches(p, LISTING_PATH), 10, "listing_path")]
-    reasons = F.array_join(all_reasons([(c, r) for c, _, r in parts]), ",")
-    score = sum((F.when(c, n).otherwise(0) for c, n, _ in parts), F.lit(0))
-    return F.struct(F.when(reasons == "title_length", 0).otherwise(score).alias("score"), F.when(reasons == "title_length", F.lit("title_only")).otherwise(reasons).alias("reason"))
+    signals = {k: matches(blob, v) for k, v in {"positive": POSITIVE, "low": LOW_VALUE, "commerce": COMMERCE}.items()}
+    signals |= {k: matches(p, v) for k, v in {"detail": DETAIL_PATH, "listing": LISTING_PATH, "product": PRODUCT_PATH}.items()}
+    signals |= {"press": p.contains(PRESS_PATH), "good_length": F.length(title).between(20, 180), "call": F.lower(title).isin("detaylı bilgi", "detayli bilgi")}
+    met = [(holds(signals, wanted), points, name) for wanted, points, name in POINTS]
+    reasons = F.array_join(all_reasons([(c, name) for c, _, name in met]), ",")
+    total = sum((F.when(c, points).otherwise(0) for c, points, _ in met), F.lit(0))
+    signals["length_only"] = reasons == "title_length"
+    return first_row(
+        signals,
+        [("low -commerce", 0, "low_value_pr_noise"), ("product -listing -press", 0, "product_nav"), ("length_only", 0, "title_only"), ("", total, reasons)],
+        "score reason",
+    )
 
 
 def candidates(found: DataFrame, k: int = 50) -> DataFrame:

@@ -8,24 +8,28 @@ from sparkvane.plans import roles
 
 
 @pytest.mark.parametrize(
-    ("blob", "gated", "export", "home", "want"),
+    ("owner", "title", "mode", "want"),
     [
-        ("konser", False, False, False, "Bağımsız Gelişme"),
-        ("global insights", True, False, True, "Kapsam Dışı"),
-        ("global insights KOBİ türkiye", True, False, True, "Bağımsız Gelişme"),
-        ("ihracat şubesi hizmete açıldı", True, True, False, "Bağımsız Gelişme"),
-        ("finansal sonuç ihracat", True, True, False, "Yönetici Bilgilendirme"),
-        ("finansal sonuç", True, False, False, "Bağlamsal Veri"),
-        ("genel kurul", True, False, False, "Kapsam Dışı"),
-        ("makro bülten", True, False, False, "Bağlamsal Veri"),
-        ("ödül esnaf", True, False, False, "Yönetici Bilgilendirme"),
-        ("ödül", True, False, False, "Kapsam Dışı"),
-        ("bir metin", True, False, False, "Kapsam Dışı"),
+        ("another", "konut kredisi", "both", ("Bağımsız Gelişme", "legacy_institution_default")),
+        ("hsbc", "global insights", "both", ("Kapsam Dışı", "hsbc_global_content_without_turkiye_evidence")),
+        ("hsbc", "global insights KOBİ türkiye", "both", ("Bağımsız Gelişme", "explicit_sme_signal:KOBİ")),
+        ("turk_ticaret_bankasi", "ihracat şubesi hizmete açıldı", "both", ("Bağımsız Gelişme", "exporter_branch_channel_expansion")),
+        ("turk_ticaret_bankasi", "genel kurul ihracat şubesi açıldı", "both", ("Bağımsız Gelişme", "exporter_branch_channel_expansion")),
+        ("turk_ticaret_bankasi", "genel kurul ihracat", "both", ("Kapsam Dışı", "legal_event_or_operational_noise")),
+        ("turk_ticaret_bankasi", "finansal sonuç eximbank", "both", ("Yönetici Bilgilendirme", "financial_results_with_export_finance_evidence")),
+        ("t_bank", "finansal sonuç eximbank", "both", ("Bağlamsal Veri", "financial_report_without_segment_evidence")),
+        ("turkish_bank", "group haberi", "both", ("Kapsam Dışı", "group_level_without_turkiye_or_bank_entity_evidence")),
+        ("odeabank", "finansal sonuç", "both", ("Kapsam Dışı", "no_explicit_sme_signal_in_local_title_path_or_body")),
+        ("odeabank", "genel kurul", "both", ("Kapsam Dışı", "operational_or_retail_noise_without_sme_signal")),
+        ("odeabank", "tüketici araştırması", "both", ("Bağlamsal Veri", "consumer_or_general_research_context_only")),
+        ("enpara", "bir metin", "Benchmark_Fact", ("Benchmark Bilgisi", "benchmark_fact_source")),
+        ("odeabank", "ödül esnaf", "both", ("Yönetici Bilgilendirme", "product_or_commercial_award:explicit_sme_signal:esnaf")),
+        ("odeabank", "ödül", "both", ("Kapsam Dışı", "generic_award_without_commercial_relevance")),
     ],
 )
-def test_content_role(spark, blob, gated, export, home, want):
-    role = roles.content_role(F.lit(blob), F.lit("both"), F.lit(gated), F.lit(export), F.lit(home))
-    assert spark.range(1).select(role["content_role"]).first()[0] == want
+def test_content_role(spark, owner, title, mode, want):
+    role = roles.content_role(F.lit(owner), F.lit(mode), F.lit("https://x/y"), F.lit(title), F.lit(""))
+    assert tuple(spark.range(1).select(role.alias("r")).first()["r"]) == want
 
 
 def test_small_functions(spark):

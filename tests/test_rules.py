@@ -160,17 +160,17 @@ def test_language_lint(spark):
 
 
 def test_network_signals(spark):
-    m = network.Market(own=r"\bown bank\b", competitors=r"(rival bank)", home=r"(türkiye|turkey)")
+    m = network.Market(own=r"\bown bank\b", competitors=r"(rival bank)", home=r"(türkiye|turkey)", bank="Own Bank", network="Net")
     def of(title, date="2026-06-01", url="https://n.com/news/x-2026"):
         d = row(spark, t=title, u=url, b="").withColumn("d", F.lit(date).cast("date"))
         return d.select(network.classify(m, "t", "u", "b", F.col("d"), "2026-05-01").alias("r")).first()["r"]
 
     r = of("Own Bank launches token card for merchants")
-    assert (r["signal"], r["relevance"], r["layer"], r["destination"]) == ("own_bank", "Kritik", "tokenisation", "strategic_agenda")
+    assert (r["signal"], r["relevance"], r["layer"], r["destination"]) == ("Doğrudan Own Bank Sinyali", "Kritik", "Tokenizasyon", "Stratejik / BD Gündemi")
     assert of("Own Bank card", "2020-01-01")["role"] == "Bağlamsal Veri"
-    assert of("Rival Bank commercial card")["signal"] == "competitor_bank"
-    assert of("Golf sponsorship")["rejection"] == "brand_lifestyle_or_consumer_noise"
-    assert of("Weather", None, "https://n.com/x")["accepted"] is False
+    assert of("Rival Bank commercial card")["signal"] == "Türkiye Rakip Banka Uygulaması"
+    assert of("Football sponsorship")["rejection"] == "brand_lifestyle_or_consumer_noise"
+    assert of("Weather", None, "https://n.com/x")["accepted"] == "False"
 
 
 def test_source_selection_and_gate(spark):
