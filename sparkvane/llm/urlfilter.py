@@ -44,26 +44,32 @@ RULES = (
     ("org", "/es/", "block"),
 )
 
-#: A small labelled url table: names of unwanted (1) and wanted (0) sites, each class in the same
-#: settings, so that scheme, subdomain, top-level domain and path tell nothing.
+#: A small labelled url table: urls of unwanted (1) and wanted (0) sites, each class in the same settings and with
+#: the same additions, so that these tell nothing. The words are subjects: of unwanted sites what public block lists
+#: are sorted by (gambling, adult, drugs, advertising and tracking, spam and fraud), of wanted ones plain nouns of
+#: public life; both in alphabetical order. Each word is there alone and with one of the additions.
 UNWANTED = (
-    "online-casino casino-bonus royal-casino mobile-casino win-big win-prize jackpot-win lotto-winner slots-win cheap-meds cheap-pharmacy diet-pills pills-shop "
-    "buy-pills cheap-replica cheap-watches adult-cams adult-video adult-dating adult-chat xxx-tube sports-bets bets-online best-bets free-bets24 free-spins free-money free-gifts "
-    "ads-server banner-ads ads-click track-ads ad-tracker click-track popup-track spam-links spam-mailer spam-blog link-farm content-farm seo-farm payday-loan crypto-double"
+    "ads adult bets betting bingo blackjack bonus cams casino cheap clicks counterfeit dating escorts fraud free gambling jackpot keygen loans "
+    "lottery phishing pills poker porn prize replica roulette sex slots spam steroids tracker viagra warez win xxx"
 ).split()
 WANTED = (
-    "library harbour-news mountain-trail weather compiler university museum theatre gardening recipes parliament cityhall school railway history science "
-    "orchestra thornton hospital bookshop language atlas encyclopedia astronomy market-hall thatcher archive athletics coursework homestead winter tionesta interest thistle "
-    "anthem reading heritage southern entertain therapy observatory nation street-theatre "
-    "station motion option caution lotion leather feather mother gather thermos theory another hearth north thread throne thunder shore shelter evening "
-    "morning spring string wharf whisper sound handle tidings thicket ointment render wonder tender father stone ransom essence eastern ensign heron "
-    "rest inland ores threshold ethos rhetoric thesis tiles onward anchor"
+    "academy airport archive astronomy bakery bridge camera castle children clinic college cookery council ecology encyclopedia forest gallery garden harbour history "
+    "hospital journal language library mountain museum newspaper orchestra physics pottery railway recipes school theatre translation university weather"
 ).split()
+ADDITIONS = ("my-{}", "{}-online", "{}24", "the-{}", "{}-world", "best-{}", "{}-info")
 SETTINGS = (
     ("http://", "com", "/en/12"), ("https://www.", "net", "/de/734"), ("https://", "org", "/es/4410/"), ("http://m.", "net", "/en/9056?page=2"), ("https://blog.", "com", "/fr/871.html"),
     ("https://", "net", "/"), ("http://www.", "org", "/en/32198#top"), ("http://blog.", "org", "/de/5"), ("https://m.", "com", "/es/60?ref=x"), ("http://", "org", "/index.html"),
 )
-LABELLED = tuple((f"{s}{name}.{tld}{path}", label) for label, names in ((1, UNWANTED), (0, WANTED)) for i, name in enumerate(names) for s, tld, path in [SETTINGS[i % len(SETTINGS)]])
+#: (url, label): the words alone, then the words with an addition.
+LABELLED = tuple(
+    (f"{s}{form.format(word)}.{tld}{path}", label)
+    for turn in (0, 1)
+    for label, words in ((1, UNWANTED), (0, WANTED))
+    for i, word in enumerate(words)
+    for form in [ADDITIONS[i % len(ADDITIONS)] if turn else "{}"]
+    for s, tld, path in [SETTINGS[(i + 3 * turn) % len(SETTINGS)]]
+)
 
 
 def lower_ascii(c: Column) -> Column:
@@ -93,7 +99,7 @@ def grams(host: Column, path: Column) -> Column:
 
 def rule_column(host: Column, path: Column, rules=RULES) -> Column:
     """struct(rule, verdict) of the longest rule that fits, else null."""
-    chain = None
+    chain = None if rules else F.lit(None).cast("struct<rule:string,verdict:string>")
     for h, p, verdict in sorted(rules, key=lambda r: -len(r[0] + r[1])):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
         value = F.struct(F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict"))

@@ -70,6 +70,26 @@ def test_held_out_names(spark, model):
     assert sum(a > b for a, b in pairs) / len(pairs) >= 0.9
 
 
+def test_held_out_urls(spark):
+    """Fitted on the words alone, the model knows the same words with additions that it has not met."""
+    half = len(urlfilter.LABELLED) // 2
+    fitted = urlfilter.train(spark.createDataFrame(urlfilter.LABELLED[:half], "url string, label int"))
+    held = urlfilter.LABELLED[half:]
+    d = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(held)], "page_id long, url string")
+    p = {r["page_id"]: r["p_block"] for r in urlfilter.judge(d, fitted, rules=()).collect()}
+    right = [(p[i] >= 0.5) == bool(y) for i, (_, y) in enumerate(held)]
+    assert sum(right) / len(right) >= 0.9
+
+
+def test_odd_rows(spark, model):
+    """Null ids, repeated rows and extra columns: each row is judged once, by its url alone."""
+    rows = [(None, "http://h/x", "a"), (1, None, "b"), (1, None, "b"), (2, "http://h/x", None)]
+    d = spark.createDataFrame(rows, "page_id long, url string, host string").selectExpr("*", "1 AS rule", "'v' AS verdict")
+    got = urlfilter.judge(d, model).collect()
+    assert sorted((r["page_id"] or 0, r["host"]) for r in got) == [(0, "h"), (1, ""), (1, ""), (2, "h")]
+    assert len({r["verdict"] for r in got if r["host"] == "h"}) == 1 and all(r["rule"] is None for r in got)
+
+
 def test_plan_has_no_python(spark, model):
     d = spark.createDataFrame([(1, "http://h/x")], "page_id long, url string")
     plan = urlfilter.judge(d, model)._jdf.queryExecution().toString()
