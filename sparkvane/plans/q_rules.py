@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 from sparkvane.operators import queue
 from sparkvane.plans import classify, health, lints, recency, triage
 from sparkvane.plans.registry import query, table
+from sparkvane.sources import tables
 from sparkvane.streaming import jobs
 
 
@@ -218,8 +218,7 @@ def _events_stream(spark, sf):
 
 
 def _once(spark, stream):
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sparkvane-stream-")
-    at = f"{base.rstrip('/')}/sparkvane-stream-{uuid.uuid4().hex}"
+    at = f"{tables.shared_folder(spark)}/sparkvane-stream-{uuid.uuid4().hex}"
     return jobs.run_once(stream, f"{at}/out", f"{at}/state")
 
 

@@ -63,7 +63,8 @@ def write_if_changed(df: DataFrame, path: str, columns: Sequence[str]) -> bool:
 
 
 def swap(df: DataFrame, path: str) -> None:
-    """Write beside the table, then put the new folder in its place; readers never see half a table."""
+    """Write beside the table, then put the new folder in its place by two renames: readers see the old table, for a
+    moment none, or the new one, never half a table. Where the second rename fails, the old one is put back."""
     spark = df.sparkSession
     fs, target = _fs(spark, path)
     staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
@@ -72,7 +73,9 @@ def swap(df: DataFrame, path: str) -> None:
     old = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.old-{uuid.uuid4().hex}")
     if fs.exists(target):
         fs.rename(target, old)
-    fs.rename(jvm.org.apache.hadoop.fs.Path(staging), target)
+    if not fs.rename(jvm.org.apache.hadoop.fs.Path(staging), target):
+        fs.rename(old, target)
+        raise OSError(f"{staging} could not take the place of {path}")
     fs.delete(old, True)
 
 
@@ -96,22 +99,30 @@ def write_json(spark: SparkSession, path: str, value: object) -> None:
 
 
 def snapshot(tables: dict[str, tuple[DataFrame, str]], path: str) -> DataFrame:
-    """Copy tables under ``path`` with a manifest (table, rows, digest, sorted ids); tables: name -> (df, id column)."""
+    """Copy tables under ``path`` with a manifest (table, rows, digest, copy, key); tables: name -> (df, id column).
+
+    The ids stay in the copies, which the manifest names, so no row holds those of a whole table.
+    """
     manifest = None
     for name, (df, key) in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-        copy = df.sparkSession.read.parquet(f"{path}/{name}")
+        at = f"{path}/{name}"
+        df.write.mode("overwrite").parquet(at)
+        copy = df.sparkSession.read.parquet(at)
         h = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in copy.columns])
-        row = copy.agg(F.lit(name).alias("table"), F.count("*").alias("rows"), F.hex(F.bit_xor(h)).alias("digest"), F.array_sort(F.collect_set(F.col(key).cast("string"))).alias("ids"))
+        row = copy.agg(F.lit(name).alias("table"), F.count("*").alias("rows"), F.hex(F.bit_xor(h)).alias("digest"), F.lit(at).alias("copy"), F.lit(key).alias("key"))
         manifest = row if manifest is None else manifest.unionByName(row)
     manifest.write.mode("overwrite").parquet(f"{path}/_manifest")
     return manifest.sparkSession.read.parquet(f"{path}/_manifest")
 
 
 def since_snapshot(manifest: DataFrame, current: DataFrame, table: str, key: str) -> DataFrame:
-    """Ids of the current table that the manifest does not have."""
-    old = manifest.where(F.col("table") == table).select(F.explode("ids").alias(key))
-    return current.select(F.col(key).cast("string").alias(key)).distinct().join(old, key, "left_anti")
+    """Ids of the current table that its copy of the snapshot does not have; all of them if there is no copy."""
+    ids = current.select(F.col(key).cast("string").alias(key)).distinct()
+    entry = manifest.where(F.col("table") == table).select("copy", "key").first()
+    if entry is None:
+        return ids
+    old = manifest.sparkSession.read.parquet(entry["copy"]).select(F.col(entry["key"]).cast("string").alias(key))
+    return ids.join(old, key, "left_anti")
 
 
 def rows_since(df: DataFrame, column: str, at: str) -> DataFrame:
@@ -128,20 +139,26 @@ def copy_absent(source: DataFrame, target: DataFrame, key: str, in_flight: Seque
 _own_folder: dict[str, str] = {}
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; in local mode, where none is named, a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _own_folder:
+        _own_folder[app] = "file://" + tempfile.mkdtemp(prefix="sparkvane-steps-")
+    return _own_folder[app]
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write a step's rows to the shared folder and read them back.
 
-    The folder is that of ``spark.checkpoint.dir``; a temporary one only where none is named. The
-    step is computed once, and the plan of what follows starts from a table.
+    The step is computed once, and the plan of what follows starts from a table.
     """
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        app = spark.sparkContext.applicationId
-        if app not in _own_folder:
-            _own_folder[app] = "file://" + tempfile.mkdtemp(prefix="sparkvane-steps-")
-        base = _own_folder[app]
-    path = f"{base.rstrip('/')}/sparkvane-step-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/sparkvane-step-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

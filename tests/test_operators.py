@@ -75,6 +75,15 @@ def test_queue(spark):
     assert queue.heartbeat(claimed, 2, "tok", F.lit(30.0)).where("id = 2").first()["lease_until"] == 30.0 + queue.LEASE_SECONDS
 
 
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    at = lambda master, named: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: named), sparkContext=SimpleNamespace(master=master, applicationId="app"))
+    assert tables.shared_folder(at("spark://h:7077", "hdfs://h/c/")) == "hdfs://h/c"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        tables.shared_folder(at("spark://h:7077", None))
+
+
 def test_tables(spark, tmp_path):
     p = f"file://{tmp_path}"
     (tmp_path / "a.csv").write_bytes("﻿id,name,extra\n1,\"a \"\"q\"\"\nb\",x\n2,,y\n".encode())
@@ -84,7 +93,9 @@ def test_tables(spark, tmp_path):
     assert tables.write_if_changed(d, f"{p}/t", ["id", "name"]) and not tables.write_if_changed(d.orderBy(F.desc("id")), f"{p}/t", ["id", "name"])
     assert tables.write_if_changed(d.limit(1), f"{p}/t", ["id", "name"]) and spark.read.parquet(f"{p}/t").count() == 1
     m = tables.snapshot({"t": (d, "id")}, f"{p}/snap")
-    assert m.first()["ids"] == ["1", "2"]
+    entry = m.first()
+    assert entry["rows"] == 2 and sorted(r[0] for r in spark.read.parquet(entry["copy"]).select(entry["key"]).collect()) == ["1", "2"]
+    assert tables.since_snapshot(m, d, "another", "id").count() == 2
     assert [r["id"] for r in tables.since_snapshot(m, d.union(spark.createDataFrame([("3", "", "")], d.schema)), "t", "id").collect()] == ["3"]
     tables.write_json(spark, f"{p}/s.json", {"b": 1, "a": "é"})
     assert (tmp_path / "s.json").read_text() == '{\n  "a": "é",\n  "b": 1\n}'
