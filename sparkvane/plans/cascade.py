@@ -7,7 +7,7 @@ in order and stops at the first hit, and the order stays visible and testable.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -54,3 +54,9 @@ def first_row(signals: Mapping[str, Column], table: Sequence[tuple], names: str)
     fields = names.split()
     *rows, last = [(holds(signals, row[0]), dict(zip(fields, row[1:], strict=True))) for row in table]
     return first_match(rows, last[1])
+
+
+def bound(values: Mapping[str, Column], then: Callable[[dict[str, Column]], Column]) -> Column:
+    """``then`` of the values, each of which is computed once however often it is used: a rule table asks
+    for its signals many times, and a plan that repeats their expressions grows with every table."""
+    return F.transform(F.array(_struct(values)), lambda v: then({k: v[k] for k in values}))[0]

@@ -233,14 +233,14 @@ def lint_score(spark, sf):
 
 @query(
     "token_jaccard_pairs",
-    r"""WITH t AS (SELECT p_partkey, p_brand, list_sort(list_distinct(regexp_extract_all(lower(p_name), '[a-zçğıöşü0-9]+'))) AS raw FROM part),
+    r"""WITH t AS (SELECT p_partkey, p_brand, list_sort(list_distinct(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-zçğıöşü0-9]+'))) AS raw FROM part),
         k AS (SELECT p_partkey, p_brand, [w FOR w IN raw IF length(w) >= 4] AS w FROM t)
         SELECT a.p_brand, a.p_partkey AS a, b.p_partkey AS b, len(list_intersect(a.w, b.w)) AS shared FROM k a JOIN k b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey
         WHERE len(list_intersect(a.w, b.w)) >= 3 AND len(list_intersect(a.w, b.w)) * 1.0 / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) >= 0.22""",
 )
 def token_jaccard_pairs(spark, sf):
-    """Whole titles, as the operator is meant for: names of parts within a brand."""
-    d = table(spark, sf, "part").select("p_partkey", "p_brand", text.tokens("p_name").alias("t"))
+    """Whole titles, as the operator is meant for: names and types of parts within a brand."""
+    d = table(spark, sf, "part").select("p_partkey", "p_brand", text.tokens(F.concat_ws(" ", "p_name", "p_type")).alias("t"))
     return similar.token_pairs(d, ["p_brand"], "p_partkey", "t").select("p_brand", "a", "b", "shared")
 
 
