@@ -43,3 +43,23 @@ def test_ties_single_rows_and_nothing(spark, docs_of):
     ties = spark.createDataFrame([(1, "bbbb"), (1, "aaaa"), (2, "cccc")], "doc_id long, text string")
     assert sorted(r["edited_sha256"] for r in fingerprint.edits(ties).collect()) == sorted(hashlib.sha256(x).hexdigest() for x in (b"aaab", b"bbbc", b"ccca"))
     assert fingerprint.edits(docs_of(["x"]).limit(0)).count() == 0
+
+
+def test_the_query_equals_brute_force(docs_of, spark, sample, tmp_path):
+    """All columns of the query: edited texts, likeness, and equal fingerprints for equal canonical texts alone."""
+    docs_of(sample).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in fingerprint.op4_document_fingerprints(spark, str(tmp_path)).collect()}
+    texts = [t or "" for t in sample]
+    assert sorted(got) == list(range(len(texts)))
+    forms = {}
+    for i, t in enumerate(texts):
+        following = texts[(i + 1) % len(texts)]
+        cut = len(t) // 4
+        edited = t[: len(t) - cut] + following[:cut]
+        canon = fingerprint.canonical
+        r = got[i]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r["near_edited"], r["near_next"]) == (float(canon(t) == canon(edited)), float(canon(t) == canon(following)))
+        for text, f in ((t, r["fingerprint"]), (edited, r["edited_fingerprint"])):
+            assert forms.setdefault(canon(text), f) == f
+    assert len(set(forms.values())) == len(forms)
