@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 #: Text bytes that a Python worker holds decoded at once (one longer document is held alone).
 BLOCK_BYTES = 2 << 20
 
+#: A key with more than one in so many rows is joined apart; there can be no more such keys than this.
+HOT_SHARE = 1000
+
 _fallback: dict[str, str] = {}
 _written: list[tuple[SparkSession, str]] = []
 
@@ -83,6 +86,19 @@ def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def join_by_key(rows: DataFrame, keyed: DataFrame, key: str, often: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``keyed``, which has one row for each ``key`` and the number of its rows in ``often``.
+
+    A key of more than one in ``HOT_SHARE`` of all ``total`` rows would send them to one task. There can be no more
+    than ``HOT_SHARE`` such keys, whatever the input, so these are broadcast; the rest meet by a shuffle. ``rows`` is
+    read twice: let it be a written table.
+    """
+    hot = F.col(often) * HOT_SHARE > total
+    sent, dealt = keyed.where(hot).drop(often), keyed.where(~hot).drop(often)
+    rest = rows.join(F.broadcast(sent.select(key)), key, "left_anti").join(dealt, key)
+    return rows.join(F.broadcast(sent), key).unionByName(rest)
+
+
 def text_blocks(batch: pa.RecordBatch, column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` whose ``column`` holds at most ``limit`` bytes (or one row)."""
     n = batch.num_rows

@@ -24,10 +24,13 @@ that may match it are routed:
 3. Anchors with more than ``HOT`` occurrences would make shards of any size. Their windows
    are matched one by one: a 128-bit hash of each window is grouped with map-side combining,
    and all but the first document's are removed. So a shard holds at most ``HOT`` rows for
-   each anchor of one document, however large a group of copies is.
+   each anchor of one document, however large a group of copies is. A document sends one row
+   for each different window, with all its places, however often it repeats a phrase.
 
 Scale: anchors are one in about twenty words. Texts move twice, by doc_id: to the positions
-of shared anchors, and to the spans to be removed.
+of shared anchors, and to the spans to be removed. Anchors and windows of more than a
+thousandth of all rows, of which there are a thousand at most, are joined by broadcast, so
+that no passage sends its documents to one task.
 
 Defined results: null and empty texts have no words; texts shorter than the window lose
 nothing; rows with equal doc_id count as one document and do not remove each other's words;
@@ -206,9 +209,10 @@ def anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
 def _route(docs: DataFrame, shared: DataFrame, window: int) -> DataFrame:
     """Windows and words that may match: hashes of single windows, or segments for a shard.
 
-    shared: doc_id, at array<struct<first, more, ref>>; ref is null for hot anchors.
+    shared: doc_id, at array<struct<first, more, ref>>; ref is null for hot anchors. A hash comes
+    once a document, with the places of all its windows in ``starts``.
     """
-    schema = pa.schema([("ref", pa.int64()), ("hash", pa.binary()), ("doc_id", pa.int64()), ("start", pa.int32()), ("words", pa.binary())])
+    schema = pa.schema([("ref", pa.int64()), ("hash", pa.binary()), ("doc_id", pa.int64()), ("start", pa.int32()), ("words", pa.binary()), ("starts", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
@@ -219,17 +223,20 @@ def _route(docs: DataFrame, shared: DataFrame, window: int) -> DataFrame:
                 for doc_id, raw, at in zip(part.column(0).to_pylist(), common.bytes_of(part), part.column(2).to_pylist(), strict=True):
                     words = raw.split()
                     shards: dict[int, list[list[int]]] = {}
+                    single: dict[bytes, list[int]] = {}
                     for x in sorted(at, key=lambda x: x["first"]):
                         first, last, ref = x["first"], x["first"] + x["more"], x["ref"]
                         if ref is None:
-                            out += [(None, xxh3_128_digest(b" ".join(words[i : i + window])), doc_id, i, None) for i in range(first, last + 1)]
+                            for i in range(first, last + 1):
+                                single.setdefault(xxh3_128_digest(b" ".join(words[i : i + window])), []).append(i)
                             continue
                         held = shards.setdefault(ref, [])
                         if held and first <= held[-1][1]:
                             held[-1][1] = max(held[-1][1], last + window)
                         else:
                             held.append([first, last + window])
-                    out += [(ref, None, doc_id, a, b" ".join(words[a:b])) for ref, held in shards.items() for a, b in held]
+                    out += [(None, digest, doc_id, None, None, starts) for digest, starts in single.items()]
+                    out += [(ref, None, doc_id, a, b" ".join(words[a:b]), None) for ref, held in shards.items() for a, b in held]
                     if len(out) > 50_000:
                         yield _batch(out, schema)
                         out = []
@@ -237,7 +244,7 @@ def _route(docs: DataFrame, shared: DataFrame, window: int) -> DataFrame:
                     yield _batch(out, schema)
 
     joined = docs.select("doc_id", "text").join(shared, "doc_id").select("doc_id", "text", "at")
-    return joined.mapInArrow(common.tidy(run), "ref long, hash binary, doc_id long, start int, words binary")
+    return joined.mapInArrow(common.tidy(run), "ref long, hash binary, doc_id long, start int, words binary, starts array<int>")
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -291,14 +298,15 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
     """doc_id and its spans (array of start, stop in words) that earlier documents hold."""
     found = common.materialise(anchors(docs, window, gram), "anchors")
     per_anchor = found.groupBy("a").agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("last_doc"), F.count("*").alias("n")).where("ref < last_doc")
-    kept = found.join(per_anchor.select("a", F.when(F.col("n") <= hot, F.col("ref")).alias("ref")), "a")
+    kept = common.join_by_key(found, per_anchor.select("a", F.when(F.col("n") <= hot, F.col("ref")).alias("ref"), "n"), "a", "n", found.count())
     shared = kept.groupBy("doc_id").agg(F.collect_list(F.struct("first", "more", "ref")).alias("at"))
     routed = common.materialise(_route(docs, shared, window), "routed")
-    single = routed.where("hash IS NOT NULL").select("hash", "doc_id", "start")
-    first = single.groupBy("hash").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").select("hash", "first_doc")
-    hot_spans = single.join(first, "hash").where("doc_id > first_doc").select("doc_id", "start", (F.col("start") + window).alias("stop"))
-    spans = _shard_spans(routed.where("ref IS NOT NULL"), window).unionByName(hot_spans)
-    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    single = routed.where("hash IS NOT NULL").select("hash", "doc_id", "starts")
+    first = single.groupBy("hash").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("n")).where("first_doc < last_doc").drop("last_doc")
+    later = common.join_by_key(single, first, "hash", "n", single.count()).where("doc_id > first_doc")
+    hot_spans = later.select("doc_id", F.transform("starts", lambda i: F.struct(i.alias("start"), (i + window).alias("stop"))).alias("spans"))
+    shard_spans = _shard_spans(routed.where("ref IS NOT NULL"), window).select("doc_id", F.array(F.struct("start", "stop")).alias("spans"))
+    return shard_spans.unionByName(hot_spans).groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def kept_words(words: list[bytes], spans: list[dict]) -> list[bytes]:

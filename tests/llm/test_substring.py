@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from sparkvane.llm import substring
+from sparkvane.llm import common, substring
 
 
 def brute(texts, window):
@@ -19,6 +19,16 @@ def brute(texts, window):
     return out
 
 
+@pytest.mark.parametrize("share", [1, 20, 10**9])
+def test_keys_joined_apart_or_not(docs_of, sample, share, monkeypatch):
+    """All keys by a shuffle, some of them, and none; the windows of a phrase that repeats come with all their places."""
+    monkeypatch.setattr(substring, "repeated_spans", lambda d, w, f=substring.repeated_spans: f(d, w, substring.GRAM, 0))
+    monkeypatch.setattr(common, "HOT_SHARE", share)
+    texts = sample + ["tick tock " * 90] * 3 + ["tick " + "tock tick " * 40]
+    got = sorted(map(tuple, substring.report(docs_of(texts)).collect()))
+    assert got == brute(texts, 50)
+
+
 @pytest.mark.parametrize("hot", [substring.HOT, 2, 0])
 def test_report_equals_brute_force(docs_of, sample, hot, monkeypatch):
     monkeypatch.setattr(substring, "repeated_spans", lambda d, w, f=substring.repeated_spans: f(d, w, substring.GRAM, hot))
