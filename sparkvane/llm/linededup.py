@@ -19,8 +19,9 @@ extended both ways within its window by the digest of the whole window (128 bits
 to the earliest position, and neighbouring windows of a match join to the maximal run.
 
 Scale: fingerprints are grouped with map-side combining, so a line that a third of all
-documents share costs one row a task; the joins are on hashes, which adaptive execution
-splits where they are skewed. Texts move once, to the lines that are deleted from them.
+documents share costs one row a task; hashes of more than a thousandth of all positions, of
+which there are a thousand at most, are joined by broadcast, the others by a shuffle. Texts
+move once, to the lines that are deleted from them.
 
 Defined results: null texts stay null and empty ones empty, and have no lines; a text that
 loses all of its lines becomes empty; rows with equal doc_id count as the same place, so they
@@ -114,10 +115,12 @@ def repeated_windows(docs: DataFrame, run: int = RUN, by_content: bool = True) -
     """
     found = common.materialise(fingerprints(docs, run, by_content), "lines")
     position = F.struct("doc_id", "place")
-    shared = found.groupBy("h").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.min("place").alias("p0"), F.max("place").alias("p1")).where("d0 < d1 OR p0 < p1").select("h")
-    windows = found.join(shared, "h").select("doc_id", "place", "width", F.posexplode("digests").alias("k", "digest")).select("digest", "doc_id", (F.col("place") + F.col("k")).alias("place"), "width")
-    earliest = windows.groupBy("digest").agg(F.min(position).alias("first"), F.max(position).alias("last")).where("first <> last").select("digest", "first")
-    later = windows.join(earliest, "digest").where(position > F.col("first"))
+    counts = found.agg(F.count("*"), F.sum(F.size("digests"))).first()
+    shared = found.groupBy("h").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.min("place").alias("p0"), F.max("place").alias("p1"), F.count("*").alias("n")).where("d0 < d1 OR p0 < p1").select("h", "n")
+    windows = common.join_by_key(found, shared, "h", "n", counts[0]).select("doc_id", "place", "width", F.posexplode("digests").alias("k", "digest")).select("digest", "doc_id", (F.col("place") + F.col("k")).alias("place"), "width")
+    windows = common.materialise(windows, "windows")
+    earliest = windows.groupBy("digest").agg(F.min(position).alias("first"), F.max(position).alias("last"), F.count("*").alias("n")).where("first <> last").select("digest", "first", "n")
+    later = common.join_by_key(windows, earliest, "digest", "n", counts[1] or 0).where(position > F.col("first"))
     lines = F.transform(F.sequence(F.col("place"), F.col("place") + F.col("width") - 1), lambda i: -1 - i)
     places = later.select("doc_id", F.explode(F.when(F.col("width") == run, F.array("place")).otherwise(lines)).alias("place"))
     return places.groupBy("doc_id").agg(F.sort_array(F.collect_set("place")).alias("places"))

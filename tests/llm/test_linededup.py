@@ -1,8 +1,9 @@
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
-from sparkvane.llm import linededup
+from sparkvane.llm import common, linededup
 
 
 def brute(texts, run=3):
@@ -78,3 +79,11 @@ def test_deduplicate_deletes_short_runs_that_hold_much(docs_of):
     assert got[1] == "own 1\nend 1" and got[7] == "x\ny" and got[8] == f"{half}\nz" and got[11] == "b" and got[13] == "漢" * 99
     # the query counts lines alone, as its SQL does
     assert sorted(map(tuple, linededup.report(docs_of(texts)).collect())) == brute(texts)
+
+
+@pytest.mark.parametrize("share", [1, 20, 10**9])
+def test_keys_joined_apart_or_not(docs_of, sample, share, monkeypatch):
+    """All keys by a shuffle, some of them, and none."""
+    monkeypatch.setattr(common, "HOT_SHARE", share)
+    texts = [*sample, *["a\nb\nc\nd"] * 9, "a\nb\n" * 30]
+    assert sorted(map(tuple, linededup.report(docs_of(texts)).collect())) == brute(texts)
