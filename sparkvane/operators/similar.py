@@ -7,6 +7,7 @@ key, after joins and filters on built-in expressions have cut the rows down.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from difflib import SequenceMatcher
 
@@ -15,10 +16,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Characters that are counted one by one; all others are one bag.
+BAGS = " abcdefghijklmnopqrstuvwxyz"
+
+#: Characters of two titles up to which the edit distance, whose cost is their square, is tried before the ratio.
+EDIT_CHARS = 2000
 
 
 def ratio(a: str, b: str, at_least: float = 0.0) -> float:
     """Ratcliff-Obershelp similarity; 0 where a cheap upper bound is already below ``at_least``."""
+    if a == b:
+        return 1.0
     m = SequenceMatcher(None, a, b)
     if at_least and (m.real_quick_ratio() < at_least or m.quick_ratio() < at_least):
         return 0.0
@@ -34,18 +42,34 @@ def title_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 def fuzzy_pairs(df: DataFrame, block: str, key: str, title: str, date: str | None = None, days: int = 60, at_least: float = 0.92) -> DataFrame:
     """(a, b, similarity) of rows of one block within ``days`` (or undated) and similar enough.
 
-    Lengths and dates are compared before the ratio, on built-in expressions.
+    Rows of equal block, title and date are one class, that of the least key: pairs are of classes, and each
+    other row of a class comes once, with its class and 1.0, so copies do not give the square of their number.
+    Classes meet in bands of length: a ratio r needs lengths of at least r / (2 - r) to each other, so partners
+    are in one band or in neighbours. What two titles can match at most is bounded by their counts of each letter, and
+    a ratio r leaves at most (1 - r) of both lengths unmatched, which bounds the edit distance; both are
+    tried first, on built-in expressions (the latter for ``EDIT_CHARS`` at most; the result is the same without). Null blocks and titles and empty titles are in no pair.
     """
-    d = F.col(date) if date else F.lit(None).cast("date")
-    rows = df.select(F.col(block).alias("block"), F.col(key).alias("id"), F.col(title).alias("t"), d.alias("d")).where("t IS NOT NULL AND t <> ''")
-    a, b = rows.alias("a"), rows.alias("b")
-    shortest = at_least / (2 - at_least)  # a ratio r needs min(len) / max(len) of at least r / (2 - r)
-    la, lb = F.length("a.t"), F.length("b.t")
-    close = F.least(la, lb) >= shortest * F.greatest(la, lb)
+    d = F.col(date) if date else F.lit(None)
+    rows = df.select(F.col(block).alias("block"), F.col(key).alias("id"), F.col(title).alias("t"), d.cast("date").alias("d")).where("block IS NOT NULL AND t IS NOT NULL AND t <> ''")
+    classes = rows.groupBy("block", "t", "d").agg(F.min("id").alias("id"))
+    own = classes.withColumnRenamed("id", "class").alias("c")
+    same = [F.col(f"r.{x}").eqNullSafe(F.col(f"c.{x}")) for x in ("block", "t", "d")]
+    members = rows.alias("r").join(own, same[0] & same[1] & same[2]).where("r.id > c.class").select(F.col("class").alias("a"), F.col("r.id").alias("b"), F.lit(1.0).alias("similarity"))
+    shortest = at_least / (2 - at_least)
+    banded = classes.withColumn("n", F.length("t"))
+    band = F.floor(F.log(F.col("n")) / math.log(1 / shortest)) if shortest < 1 else F.col("n")
+    bags = {f"n_{x}": F.length("t") - F.length(F.replace("t", F.lit(x))) for x in BAGS}
+    banded = banded.withColumns({"band": band, **bags}).withColumn("n_", F.col("n") - sum(F.col(x) for x in bags))
+    a = banded.alias("a")
+    b = banded.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).alias("b")
+    la, lb = F.col("a.n"), F.col("b.n")
+    close = F.least(la, lb) >= (shortest - 1e-9) * F.greatest(la, lb)
     dates = F.col("a.d").isNull() | F.col("b.d").isNull() | (F.abs(F.datediff("a.d", "b.d")) <= days)
-    cheap = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.id") < F.col("b.id"))).where(close & dates)
-    scored = cheap.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), title_ratio(F.col("a.t"), F.col("b.t")).alias("similarity"))
-    return scored.where(F.col("similarity") >= at_least)
+    met = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.id") < F.col("b.id"))).where(close & dates)
+    matched = sum(F.least(f"a.`{x}`", f"b.`{x}`") for x in [*bags, "n_"])
+    near = met.where(2 * matched >= (at_least - 1e-9) * (la + lb)).where(F.expr(f"a.n + b.n > {EDIT_CHARS} OR levenshtein(a.t, b.t, cast(floor({1 - at_least + 1e-9!r}D * (a.n + b.n)) as int)) >= 0"))
+    scored = near.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), title_ratio(F.col("a.t"), F.col("b.t")).alias("similarity"))
+    return scored.where(F.col("similarity") >= at_least).unionByName(members)
 
 
 def token_pairs(df: DataFrame, block: Sequence[str], key: str, tokens: str, overlap: int = 3, at_least: float = 0.22) -> DataFrame:

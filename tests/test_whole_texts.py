@@ -1,5 +1,7 @@
 """Queries take whole texts and every row, however long or short."""
 
+import random
+
 from sparkvane.operators import similar
 from sparkvane.plans import catalog
 
@@ -34,3 +36,28 @@ def test_candidates_beyond_ten_stay(spark, tmp_path):
     links = "".join(f'<a href="/haberler/yeni-kart-duyurusu-{i}">Yeni kart duyurusu {i} Mayıs 2026</a>' for i in range(1, 31))
     sf = stored(spark, tmp_path, "pages", [(1, "https://x.com/a", f"<html><body><main>{links}</main></body></html>")], "page_id long, url string, html string")
     assert catalog.QUERIES["scored_candidates"](spark, sf).count() == 30
+
+
+def test_fuzzy_pairs_of_classes_equal_brute_force(spark):
+    """Titles of many lengths with edits of all kinds; copies come once each, with their class."""
+    r = random.Random(3)
+    titles = []
+    for n in [1, 2, 3, 6, 12, 13, 25, 40, 80, 81, 150, 400]:
+        base = "".join(r.choice("abcde fgh") for _ in range(n - 2)) + "xy" if n > 2 else "x" * n
+        titles.append(base)
+        for edits in (1, 2, max(1, n // 14), max(1, n // 12), n // 8):
+            t = list(base)
+            for _ in range(edits):
+                at = r.randrange(len(t) + 1)
+                t[at : at + r.randint(0, 1)] = r.choice(["", "z", "q"])
+            titles.append("".join(t))
+    titles += titles[:20] + [titles[-1]] * 5 + ["", None]
+    d = spark.createDataFrame([(i, "b" if i % 7 else None, t) for i, t in enumerate(titles)], "id int, block string, t string")
+    first = {}
+    for i, t in enumerate(titles):
+        if t and i % 7:
+            first.setdefault(t, i)
+    want = {(i, j) for t, i in first.items() for u, j in first.items() if i < j and similar.ratio(t, u) >= 0.92}
+    want |= {(first[t], i) for i, t in enumerate(titles) if t and i % 7 and first[t] != i}
+    got = [(x["a"], x["b"]) for x in similar.fuzzy_pairs(d, "block", "id", "t").collect()]
+    assert set(got) == want and len(got) == len(want) > 30
