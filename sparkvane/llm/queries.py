@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkvane.llm import decontam, fingerprint, linededup, packing, simhash, substring, tokens, toxicity, urlfilter, warc
+from sparkvane.llm import decontam, fingerprint, linededup, packing, prefixtrie, simhash, substring, tokens, toxicity, urlfilter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op10_line_dedup": linededup.op10_line_dedup,
+        "op13_conversation_prefix_trie": prefixtrie.op13_conversation_prefix_trie,
         "op1_substring_dedup": substring.op1_substring_dedup,
         "op2_url_filters": urlfilter.op2_url_filters,
         "op3_packing": packing.op3_packing,
@@ -31,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_warc_archive": warc.OP6_SQL,
         "op9_benchmark_decontamination": decontam.OP9_SQL,
         "op10_line_dedup": linededup.OP10_SQL,
+        "op13_conversation_prefix_trie": prefixtrie.OP13_SQL,
     }

@@ -21,4 +21,4 @@ def test_query_equals_its_sql(spark, sf, name):
 
 
 def test_every_operator_is_registered():
-    assert {n.split("_")[0] for n in queries.queries()} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.queries()} == {f"op{i}" for i in range(1, 14)}
