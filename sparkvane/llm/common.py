@@ -86,14 +86,14 @@ def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def join_by_key(rows: DataFrame, keyed: DataFrame, key: str, often: str, total: int) -> DataFrame:
+def join_by_key(rows: DataFrame, keyed: DataFrame, key: str, often: str, total: int, share: int = HOT_SHARE) -> DataFrame:
     """Inner join of ``rows`` with ``keyed``, which has one row for each ``key`` and the number of its rows in ``often``.
 
-    A key of more than one in ``HOT_SHARE`` of all ``total`` rows would send them to one task. There can be no more
-    than ``HOT_SHARE`` such keys, whatever the input, so these are broadcast; the rest meet by a shuffle. ``rows`` is
+    A key of more than one in ``share`` of all ``total`` rows would send them to one task. There can be no more
+    than ``share`` such keys, whatever the input, so these are broadcast; the rest meet by a shuffle. ``rows`` is
     read twice: let it be a written table.
     """
-    hot = F.col(often) * HOT_SHARE > total
+    hot = F.col(often) * share > total
     sent, dealt = keyed.where(hot).drop(often), keyed.where(~hot).drop(often)
     rest = rows.join(F.broadcast(sent.select(key)), key, "left_anti").join(dealt, key)
     return rows.join(F.broadcast(sent), key).unionByName(rest)
