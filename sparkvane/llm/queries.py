@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkvane.llm import alignment, decontam, fingerprint, linededup, packing, prefixtrie, simhash, substring, tokens, toxicity, urlfilter, warc
+from sparkvane.llm import alignment, decontam, fingerprint, htmlextract, linededup, packing, prefixtrie, simhash, substring, tokens, toxicity, urlfilter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op10_line_dedup": linededup.op10_line_dedup,
+        "op11_html_extraction": htmlextract.op11_html_extraction,
         "op12_tokenizer_alignment": alignment.op12_tokenizer_alignment,
         "op13_conversation_prefix_trie": prefixtrie.op13_conversation_prefix_trie,
         "op1_substring_dedup": substring.op1_substring_dedup,
