@@ -216,6 +216,18 @@ _SHOWN = "CASE word " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in translate.
 )
 def word_frequency(spark, sf):
     """All words of all texts, by stem."""
+    return translate.word_frequencies(table(spark, sf, "documents"), "text", stop=())
+
+
+@query(
+    "word_frequency_stop",
+    f"""WITH w AS (SELECT unnest(regexp_split_to_array(regexp_replace({_PHRASED}, '[^a-zçğıöşü\\s]', ' ', 'g'), '\\s+')) AS w FROM documents WHERE text IS NOT NULL),
+        d AS (SELECT w, count(*) AS n FROM w GROUP BY w),
+        k AS (SELECT {stem_sql('w')} AS word, n FROM d)
+        SELECT {_SHOWN} AS word, CAST(sum(n) AS BIGINT) AS n FROM k WHERE length(word) >= 3 AND word NOT IN ({', '.join(repr(w) for w in translate.STOP_WORDS)}) GROUP BY 1""",
+)
+def word_frequency_stop(spark, sf):
+    """The same without the words that are not counted."""
     return translate.word_frequencies(table(spark, sf, "documents"), "text")
 
 
