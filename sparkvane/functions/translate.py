@@ -128,8 +128,9 @@ def word_frequencies(df: DataFrame, column: str, stop: Sequence[str] = STOP_WORD
     for phrase, word in PHRASES.items():
         t = F.replace(t, F.lit(phrase), F.lit(word))
     words = df.select(F.explode(F.split(F.regexp_replace(t, r"[^a-zçğıöşü\s]", " "), r"\s+")).alias("w"))
-    # each distinct word is stemmed once, after the counts of a task are combined
-    counted = words.groupBy("w").agg(F.count("*").alias("n")).select(word_stem("w").alias("word"), "n").where(F.length("word") >= shortest)
-    if stop:
-        counted = counted.where(~F.col("word").isin(*stop))
+    # each distinct word is stemmed once, after the counts of a task are combined; what is asked of a stem is an
+    # aggregate, as a plain filter would be pushed below the counts, where it stems every word of every text
+    counted = words.groupBy("w").agg(F.count("*").alias("n")).select(word_stem("w").alias("word"), "n")
+    skipped = F.max((F.length("word") < shortest) | (F.col("word").isin(*stop) if stop else F.lit(False))).alias("skipped")
+    counted = counted.groupBy("word").agg(F.sum("n").alias("n"), skipped).where("NOT skipped")
     return counted.groupBy(named(F.col("word"), DISPLAY).alias("word")).agg(F.sum("n").alias("n"))

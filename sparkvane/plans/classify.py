@@ -24,7 +24,7 @@ AWARD = r"(ödül|ödülleri|ranking|sıralama|en iyi|global finance|başarı)"
 GREEN_FINANCE = r"(sürdürülebilir.*(finans|kredi|leasing|tahvil|swap)|yeşil.*(kredi|finans|tahvil))"
 SOCIAL = r"(kültür|sanat|sergi|sponsorluk|öğrenci|eğitim desteği|sosyal sorumluluk|konser|festival)"
 SMALL_BUSINESS = r"(kobi|kobİ|esnaf|ticari|işletme|üye işyeri|uye isyeri|merchant|firma|kurumsal müşteri)"
-PLACEHOLDER_TITLE = r"^(?:detaylı bilgi|detayli bilgi|devamını oku|tümü|ana sayfa|read more|learn more)$"
+BAD_TITLE = r"(tekil gelişme kontrol|fallback|source page|communication / press releases için)"
 
 
 def development(title: str, body: str, url: str, source_type: str) -> Column:
@@ -62,7 +62,7 @@ def quality(title: Column | str, body: Column | str, item_url: Column | str, sou
     return first_match(
         [
             (F.length(t) < 20, grade("Poor", "title_too_short")),
-            (matches(F.trim(t), PLACEHOLDER_TITLE), grade("Poor", "bad_fallback_title")),
+            (matches(t, BAD_TITLE), grade("Poor", "bad_fallback_title")),
             ((text(item_url) == text(source_url)) & F.lit(not allow_fallback), grade("Poor", "item_url_equals_source_url")),
             ((text(method) == "detail_page_fetch") & (F.length(b) < 300), grade("Poor", "detail_text_too_short")),
             (F.length(b) >= 900, grade("Good", "detail_text_rich")),

@@ -322,7 +322,7 @@ def _roles_sql() -> str:
     owners = (*roles.OWNERS["gated"], "another_bank")
     return f"""WITH p AS (SELECT p_partkey, {pick(owners, 'p_partkey')} AS owner, {pick(('both', 'both', 'benchmark_fact'), '(p_partkey // 11)')} AS mode, {pick(_ROLE_HEADS, '(p_partkey // 7)')} AS title, p_name, p_brand FROM part),
       b AS (SELECT *, trim(title || ' /haber/' || p_partkey || ' ' || p_name) AS blob FROM p),
-      g AS (SELECT *, regexp_extract(p_brand || ' ' || blob, '{roles.SMALL_BUSINESS}', 1, 'i') AS hit FROM b)
+      g AS (SELECT *, regexp_extract(p_brand || ' /haber/' || p_partkey || ' ' || title || ' ' || p_name, '{roles.SMALL_BUSINESS}', 1, 'i') AS hit FROM b)
       SELECT p_partkey, {cases(roles.ROLES, s, 1)} AS content_role, {cases(roles.ROLES, s, 2, reason)} AS role_reason FROM g"""
 
 
@@ -366,7 +366,7 @@ def link_score(spark, sf):
 @query("stemmed_words", f"SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT {stem_sql('w')} AS word, n FROM (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-zçğıöşü]+')) AS w FROM documents) GROUP BY w)) WHERE word <> '' GROUP BY word")
 def stemmed_words(spark, sf):
     d = table(spark, sf, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-zçğıöşü]+)"), F.lit(1))).alias("w"))
-    return d.groupBy("w").agg(F.count("*").alias("n")).select(translate.word_stem("w").alias("word"), "n").where("word <> ''").groupBy("word").agg(F.sum("n").alias("n"))
+    return d.groupBy("w").agg(F.count("*").alias("n")).select(translate.word_stem("w").alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"), F.max(F.length("word")).alias("l")).where("l > 0").drop("l")
 
 
 @query("latest_n_runs", "SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 5")

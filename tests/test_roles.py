@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkvane.operators import similar
-from sparkvane.plans import roles
+from sparkvane.plans import classify, roles
 
 
 @pytest.mark.parametrize(
@@ -32,6 +32,21 @@ def test_content_role(spark, owner, title, mode, want):
     assert tuple(spark.range(1).select(role.alias("r")).first()["r"]) == want
 
 
+def test_first_evidence_of_the_gate(spark):
+    """The path speaks before the title, the institution before both, the source before the body."""
+    said = lambda *named: spark.range(1).select(roles.content_role(F.lit("fibabanka"), F.lit("both"), F.lit("https://x/esnaf/haber"), F.lit("kobi paketi"), F.lit("ihracat"), *map(F.lit, named)).alias("r")).first()["r"]["role_reason"]
+    assert said() == said("Fibabanka", "ticari haberler", "basın") == "explicit_sme_signal:esnaf"
+    assert said("Ticari Bank") == "explicit_sme_signal:Ticari"
+    late = roles.content_role(F.lit("fibabanka"), F.lit("both"), F.lit("https://x/haber"), F.lit("paket"), F.lit("ihracat"), F.lit("b"), F.lit("esnaf sayfası"))
+    assert spark.range(1).select(late.alias("r")).first()["r"]["role_reason"] == "explicit_sme_signal:esnaf"
+
+
+@pytest.mark.parametrize(("title", "want"), [("tekil gelişme kontrol sayfası başlığı", "bad_fallback_title"), ("A long enough Fallback title here", "bad_fallback_title"), ("devamını oku", "title_too_short"), ("a title of over twenty letters", "acceptable")])
+def test_bad_titles_of_any_length(spark, title, want):
+    got = classify.quality(F.lit(title), F.lit("x" * 400), F.lit("i"), F.lit("s"), F.lit("m"))
+    assert spark.range(1).select(got.alias("q")).first()["q"]["quality_reason"] == want
+
+
 def test_small_functions(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
     assert one(roles.small_business_gate(F.lit("yeni Esnaf paketi"))["reason"]) == "explicit_sme_signal:Esnaf"
