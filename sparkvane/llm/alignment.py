@@ -8,10 +8,14 @@ Exact-text deduplication: documents are shuffled by their full text; a distinct
 tokenised and aligned once and stands for its copies with their number; pair counts are
 weighted with it. Measures go back to doc_ids over the SHA-256 of the text.
 
-Chunks: neither vocabulary joins a space to what precedes it (this is checked when a
-vocabulary is loaded; one that does is applied to whole texts), so a text falls apart at each
-space that follows something other than white space, and both tokens end there. A worker
-keeps the alignment of the chunks that it has met, in a table of bounded size.
+Within a task the texts of a block lie behind each other as one stream of bytes, and the ends of
+all tokens of both vocabularies are running sums in it: common ends, groups, links and the order
+of tokens are array operations.
+
+The byte-level vocabulary is applied by a library for ranks, where its merges are in the order of
+its ids (this is checked), as that is several times faster than the vocabulary's own library. Texts
+with characters on whose class two Unicode versions may differ, or with very long runs without a
+break, go to its own library.
 
 Scale: copies are combined map-side before texts move, and texts move once. Pairs that hold
 more than one in ``SHARE`` of all rows, of which there are ``SHARE`` at most, are joined by
@@ -29,9 +33,9 @@ import hashlib
 import json
 import os
 import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,16 +46,18 @@ A_VOCABULARY = "byte_bpe_50k.json"
 B_VOCABULARY = "piece_bpe_32k.model"
 #: A pair of more than one in so many rows is joined by broadcast; there can be no more of them than this.
 SHARE = 100_000
-#: Chunks that a worker keeps, and the characters of the longest one.
-KEPT_CHUNKS = 100_000
-KEPT_CHARS = 60
+#: Groups with more links than this are counted by their distinct ids, not link by link.
+LARGE_GROUP = 4096
 
-_BREAK = re.compile(r"(?<=\S) ")
+#: Up to U+024F and general punctuation to U+2BFF but for odd white space: there, Unicode versions agree.
+_OTHER = re.compile("[^\x09-\x0d\x20-\x84\x86-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20c0\u2190-\u2bff]|\\S{400}|\\s{400}")
+# fixed value: the pre-tokens of byte-level vocabularies
+_PRETOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SPACE = "▁"
 
 
 class Aligner:
-    """Both vocabularies, and the alignment of chunks. A chunk is given without the space before it."""
+    """Both vocabularies, and the alignment of blocks of texts."""
 
     def __init__(self, a_path: str, b_path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -63,66 +69,95 @@ class Aligner:
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
         shown = {c: b for b, c in enumerate(_byte_characters())}
-        entries = {**spec["model"]["vocab"], **{t["content"]: t["id"] for t in spec["added_tokens"]}}
-        self.a_bytes = {i: bytes(shown[c] for c in t) if all(c in shown for c in t) else t.encode() for t, i in entries.items()}
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        vocab = {t: i for t, i in spec["model"]["vocab"].items() if t not in special}
+        decoded = {i: bytes(shown[c] for c in t) for t, i in vocab.items()} | {i: t.encode() for t, i in special.items()}
+        self.a_bytes = [decoded.get(i, b"") for i in range(max(decoded) + 1)]
+        self.ranks = self._ranks(spec, vocab, decoded)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in enumerate(pieces)]
-        self.lone = self.b.piece_to_id(_SPACE)
-        # byte-level pre-tokens never hold a space behind another character; pieces are checked one by one
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
+        #: Tokens as written in a digest: A inside and at the end of its part of a group, B likewise.
+        self.written = [f"{i}{end}" for n, ends in ((len(self.a_bytes), ",|"), (len(self.b_bytes), ",;")) for i in range(n) for end in ends]
+
+    def _ranks(self, spec: dict, vocab: dict[str, int], decoded: dict[int, bytes]):
+        """The byte-level vocabulary for the library for ranks; None where its ids are not in the order of its merges."""
+        import tiktoken
+
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
+        made = [vocab.get(x + y, -1) for x, y in merges]
         pre = spec["pre_tokenizer"]
-        apart = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not spec.get("normalizer")
-        self.cut = bool(apart) and self.lone != self.b.unk_id() and not any(_SPACE in p.lstrip(_SPACE) for p in pieces) and self._bytes_b(self.b.encode("a  b")) == b" a  b"
-        self.kept: dict[str, tuple | None] = {}
-
-    def _bytes_b(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.b_bytes.__getitem__, ids))
-
-    def chunks(self, text: str) -> list[str]:
-        return _BREAK.split(text) if self.cut else [text]
-
-    def learn(self, chunks: set[str]) -> dict[str, tuple | None]:
-        """The alignments of ``chunks``; None for one whose tokens do not give it back."""
-        new = [x for x in chunks if x not in self.kept]
-        if len(self.kept) + len(new) > KEPT_CHUNKS:
-            known = {x: self.kept[x] for x in chunks if x in self.kept}
-            self.kept.clear()
-        else:
-            known = self.kept
-        found = {}
-        a_ids = [e.ids for e in self.a.encode_batch([" " + x for x in new], add_special_tokens=False)]
-        b_ids = self.b.encode(new, num_threads=1) if new else []
-        for x, a, b in zip(new, a_ids, b_ids, strict=True):
-            found[x] = self._align(x, a, b if x else [self.lone])
-        self.kept.update((x, r) for x, r in found.items() if len(x) <= KEPT_CHARS)
-        return found | {x: known[x] for x in chunks if x not in found}
-
-    def _align(self, chunk: str, a: list[int], b: list[int]) -> tuple | None:
-        """(groups as text, n_a, n_b, n_groups, n_links, ((pair, times), ...))."""
-        raw = (" " + chunk).encode()
-        if b"".join(map(self.a_bytes.__getitem__, a)) != raw or self._bytes_b(b) != raw:
+        if spec.get("normalizer") or pre.get("type") != "ByteLevel" or not pre.get("use_regex") or pre.get("add_prefix_space") or -1 in made or made != sorted(set(made)) or len(made) + 256 != len(vocab):
             return None
-        shown, links, times = [], 0, Counter()
-        i = j = at_a = at_b = from_i = from_j = 0
-        while i < len(a):
-            at_a += len(self.a_bytes[a[i]])
-            i += 1
-            while at_b < at_a:
-                at_b += len(self.b_bytes[b[j]])
-                j += 1
-            if at_a == at_b:
-                ga, gb = a[from_i:i], b[from_j:j]
-                shown.append(f"{','.join(map(str, ga))}|{','.join(map(str, gb))}")
-                links += len(ga) * len(gb)
-                if len(ga) == len(gb) == 1:
-                    times[ga[0] << 32 | gb[0]] += 1
-                else:
-                    count_b = Counter(gb).items()
-                    for x, n in Counter(ga).items():
-                        for y, m in count_b:
-                            times[x << 32 | y] += n * m
-                from_i, from_j = i, j
-        return ";".join(shown), len(a), len(b), len(shown), links, tuple(times.items())
+        return tiktoken.Encoding("ranks", pat_str=_PRETOKENS, mergeable_ranks={decoded[i]: i for i in vocab.values()}, special_tokens={})
+
+    def ids_a(self, text: str) -> list[int]:
+        """A's tokens of a space and the text."""
+        if self.ranks is None or _OTHER.search(text):
+            return self.a.encode(" " + text, add_special_tokens=False).ids
+        return self.ranks.encode_ordinary(" " + text)
+
+    def align(self, texts: list[str]) -> tuple:
+        """(n_a, n_b, n_groups, n_links, digests, ends of pairs, pairs, times) of ``texts``, none of which is empty."""
+        all_b = self.b.encode(texts, num_threads=1) if texts else []
+        ids_a, ids_b, valid = [], [], np.zeros(len(texts), bool)
+        for k, text in enumerate(texts):
+            raw, a, b = (" " + text).encode(), self.ids_a(text), all_b[k]
+            if b"".join(map(self.a_bytes.__getitem__, a)) == raw and b"".join(map(self.b_bytes.__getitem__, b)) == raw:
+                valid[k] = True
+                ids_a.append(np.array(a, np.int64))
+                ids_b.append(np.array(b, np.int64))
+        n_a, n_b, n_groups, n_links = (np.zeros(len(texts), np.int64) for _ in range(4))
+        digests = [""] * len(texts)
+        if not ids_a:
+            return n_a, n_b, n_groups, n_links, digests, np.zeros(len(texts), np.int64), n_a[:0], n_a[:0]
+        docs = np.flatnonzero(valid)
+        n_a[docs], n_b[docs] = [len(x) for x in ids_a], [len(x) for x in ids_b]
+        a, b = np.concatenate(ids_a), np.concatenate(ids_b)
+        end_a, end_b = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        # a token at whose end one of the other vocabulary ends is the last of its group; texts end in both
+        last_a = end_b[np.minimum(np.searchsorted(end_b, end_a), len(end_b) - 1)] == end_a
+        last_b = end_a[np.minimum(np.searchsorted(end_a, end_b), len(end_a) - 1)] == end_b
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        in_a, in_b = np.bincount(group_a), np.bincount(group_b)
+        from_a, from_b = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b
+        doc_a = np.repeat(docs, n_a[docs])
+        doc_of = doc_a[last_a]
+        n_groups += np.bincount(doc_of, minlength=len(texts))
+        np.add.at(n_links, doc_of, in_a * in_b)
+
+        codes = np.empty(len(a) + len(b), np.int64)
+        codes[np.arange(len(a)) + from_b[group_a]] = a * 2 + last_a
+        codes[np.arange(len(b)) + (from_a + in_a)[group_b]] = 2 * len(self.a_bytes) + b * 2 + last_b
+        at = 0
+        for k in docs.tolist():
+            to = at + int(n_a[k] + n_b[k])
+            digests[k] = hashlib.sha256("".join(map(self.written.__getitem__, codes[at:to].tolist()))[:-1].encode()).hexdigest()
+            at = to
+
+        wide_a, wide_b = len(self.a_bytes).bit_length(), len(self.b_bytes).bit_length()
+        large = in_a * in_b > LARGE_GROUP
+        times_b = np.where(large, 0, in_b)[group_a]
+        of = np.repeat(np.arange(len(a)), times_b)  # the A token of each link
+        place = np.arange(len(of)) - np.repeat(np.cumsum(times_b) - times_b, times_b)
+        keys = (doc_a[of] << (wide_a + wide_b)) | (a[of] << wide_b) | b[from_b[group_a[of]] + place]
+        keys, times = np.unique(keys, return_counts=True)
+        more = [self._large(int(doc_of[g]) << (wide_a + wide_b), wide_b, a[from_a[g] : from_a[g] + in_a[g]], b[from_b[g] : from_b[g] + in_b[g]]) for g in np.flatnonzero(large)]
+        if more:
+            keys, times = np.concatenate([keys, *(x for x, _ in more)]), np.concatenate([times, *(x for _, x in more)])
+            keys, back = np.unique(keys, return_inverse=True)
+            summed = np.zeros(len(keys), np.int64)
+            np.add.at(summed, back, times)
+            times = summed
+        ends = np.searchsorted(keys >> (wide_a + wide_b), np.arange(len(texts)), side="right")
+        pairs = ((keys >> wide_b & ((1 << wide_a) - 1)) << 32) | (keys & ((1 << wide_b) - 1))
+        return n_a, n_b, n_groups, n_links, digests, ends, pairs, times.astype(np.int64)
+
+    def _large(self, doc: int, wide_b: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the pairs of one group, and how often each is linked."""
+        (x, n), (y, m) = np.unique(a, return_counts=True), np.unique(b, return_counts=True)
+        return (doc | (x[:, None] << wide_b) | y[None, :]).ravel(), (n[:, None] * m[None, :]).ravel()
 
 
 def _byte_characters() -> list[str]:
@@ -142,45 +177,24 @@ def aligner(a_path: str, b_path: str) -> Aligner:
     return _aligners[a_path, b_path]
 
 
-_MEASURES = [("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string())]
-_ALIGNED = pa.schema([("digest", pa.string()), ("copies", pa.int64()), *_MEASURES, ("pairs", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
-
-
-def measure(chunks: list[str], known: dict[str, tuple | None]) -> tuple:
-    """The measures of a text, with its distinct pairs and how often each is linked."""
-    counts = Counter(chunks)
-    if any(known[x] is None for x in counts):
-        return 0, 0, 0, 0, "", [], []
-    sums = [0, 0, 0, 0]
-    times: defaultdict[int, int] = defaultdict(int)
-    for x, n in counts.items():
-        _, n_a, n_b, n_groups, n_links, pairs = known[x]
-        sums[0] += n * n_a
-        sums[1] += n * n_b
-        sums[2] += n * n_groups
-        sums[3] += n * n_links
-        for pair, m in pairs:
-            times[pair] += n * m
-    digest = hashlib.sha256(";".join([known[x][0] for x in chunks]).encode()).hexdigest()
-    return *sums, digest, list(times), list(times.values())
+_SCHEMA = "digest string, copies long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>"
 
 
 def aligned_texts(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """A row for each distinct text: digest, copies, n_a, n_b, n_groups, n_links, groups_sha256, pairs, times. Written."""
     texts = docs.where("text <> ''").groupBy("text").agg(F.count("*").alias("copies")).select(F.sha2("text", 256).alias("digest"), "copies", "text")
+    names = [x.split()[0] for x in _SCHEMA.split(", ")]
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = aligner(a_path, b_path)
         for batch in batches:
             for part in common.text_blocks(batch):
-                cut = [tool.chunks(x) for x in common.texts_of(part)]
-                known = tool.learn(set().union(*cut))
-                rows = [measure(x, known) for x in cut]
-                columns = [part.column(0), part.column(1), *(pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(_ALIGNED)[2:], strict=True))]
-                yield pa.RecordBatch.from_arrays(columns, schema=_ALIGNED)
-
-    schema = "digest string, copies long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>"
-    return common.materialise(texts.mapInArrow(common.tidy(align), schema), "aligned")
+                *sums, digests, ends, pairs, times = tool.align(common.texts_of(part))
+                offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int64())) for x in (pairs, times)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(x, pa.int64()) for x in sums), pa.array(digests, pa.string()), *lists], names=names)
+
+    return common.materialise(texts.mapInArrow(common.tidy(align), _SCHEMA), "aligned")
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:

@@ -79,32 +79,27 @@ def test_alignment_equals_brute_force(spark, libraries, sample):
     assert results(spark, texts) == brute(libraries, texts)
 
 
-def test_chunks_equal_whole_texts(libraries):
-    """Random texts of white space, marks and letters: the chunks' tokens are those of the whole."""
-    a, b = libraries
+def test_ranks_equal_the_vocabularys_own_library(libraries):
+    """Random texts of white space, marks and letters, with and without characters that go to the own library."""
     tool = alignment.aligner(A, B)
-    assert tool.cut
+    assert tool.ranks is not None
     r = random.Random(3)
-    for _ in range(3000):
-        text = "".join(r.choice([" ", " ", "  ", "\n", "\t", "\r", " ", " ", "\x1f", "a", "bc", "The", "'s", ".", ";", "{", "1", "é", "漢", "🙂", "<|endoftext|>"]) for _ in range(r.randint(1, 14)))
-        chunks = tool.chunks(text)
-        known = tool.learn(set(chunks))
-        got = ";".join(known[x][0] for x in chunks)
-        ids_a = [int(i) for g in got.split(";") for i in g.split("|")[0].split(",")]
-        ids_b = [int(i) for g in got.split(";") for i in g.split("|")[1].split(",")]
-        assert ids_a == a.encode(" " + text, add_special_tokens=False).ids and ids_b == b.encode(text), repr(text)
-
-
-def test_split_keys_and_a_small_table_give_the_same(spark, libraries, sample, monkeypatch):
-    """Pairs and texts on both sides of the broadcast's bound, and a worker's table that fills up."""
+    parts = [" ", " ", "  ", "\n", "\t", "\r", "\x0b", "a", "bc", "The", "'s", "'", ".", ";", "{", "1", "é", "ß", "½", "²", "—", "€", "←", "<|endoftext|>"]
+    odd = [" ", "\x1f", "\x85", " ", "漢", "🙂", "Ω", "٣", "x" * 401]
+    for k in range(3000):
+        text = "".join(r.choice(parts + odd * (k % 2)) for _ in range(r.randint(1, 14)))
+        assert tool.ids_a(text) == libraries[0].encode(" " + text, add_special_tokens=False).ids, repr(text)
+
+
+def test_split_keys_and_large_groups_give_the_same(spark, libraries, sample, monkeypatch):
+    """Pairs and texts on both sides of the broadcast's bound, and groups counted by their distinct ids."""
     monkeypatch.setattr(alignment, "SHARE", 30)
     texts = sample[:20] + ["one text with many copies"] * 30
     assert results(spark, texts) == brute(libraries, texts)
-    tool = alignment.Aligner(A, B)
-    monkeypatch.setattr(alignment, "KEPT_CHUNKS", 5)
-    for text in ("a b c d", "c d e f g h i j", "a b c"):
-        chunks = tool.chunks(text)
-        assert alignment.measure(chunks, tool.learn(set(chunks)))[:4] == brute(libraries, [text])[0][:4] and len(tool.kept) <= 8
+    tool, texts = alignment.Aligner(A, B), [x for x in [*sample, *ODD] if x]
+    plain = tool.align(texts)
+    monkeypatch.setattr(alignment, "LARGE_GROUP", 1)
+    assert all(list(x) == list(y) for x, y in zip(tool.align(texts), plain, strict=True))
 
 
 def test_empty_table_null_ids_and_clashing_columns(spark, libraries):
