@@ -83,6 +83,12 @@ def english(c: Column | str) -> Column:
     )
 
 
+def dated_slug(url: Column | str) -> Column:
+    """The date that begins a path part, as in /2026-05-12-title."""
+    found = F.regexp_extract(text(url), r"^[^?#]*/(20\d{2}-\d{2}-\d{2})-", 1)
+    return F.try_to_date(F.when(found != "", found), "yyyy-MM-dd")
+
+
 def slashed(c: Column | str, month_first: Column | bool = False) -> Column:
     """a/b/yyyy, where a part over 12 is the day; else month first only where said so."""
     t = text(c)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sparkvane.functions.text import clean, text
+from sparkvane.functions.text import clean, squeeze, text, title_from_slug
 
 # fixed values: query parameters that only track
 TRACKING = (
@@ -111,6 +111,20 @@ def same_site(a: Column | str, b: Column | str) -> Column:
     return (x != "") & (y != "") & ((x == y) | x.endswith(F.concat(F.lit("."), y)) | y.endswith(F.concat(F.lit("."), x)))
 
 
+def below(base: Column | str, url: Column | str) -> Column:
+    """Whether a link stays on the host of its page or goes to a subdomain of it (www aside); no host stays."""
+    x, y = domain(base), domain(url)
+    return (x == "") | (y == "") | (x == y) | y.endswith(F.concat(F.lit("."), x))
+
+
+def file_title(url: Column | str) -> Column:
+    """A title from a file's name; from the last part of the path as a slug where that is short."""
+    name = F.regexp_extract(path(url), r"([^/]+)/*$", 1)
+    name = F.regexp_replace(F.try_url_decode(name), r"(?i)\.(pdf|html?|aspx?)$", "")
+    name = squeeze(F.regexp_replace(F.regexp_replace(name, "[_-]+", " "), r"\bBB\b", ""))
+    return F.when(F.length(name) < 20, title_from_slug(url)).otherwise(F.concat(F.upper(F.substring(name, 1, 1)), F.substring(name, 2, 1 << 20)))
+
+
 def within(url: Column | str, domains: Sequence[str]) -> Column:
     """Whether the host is one of the domains or below it."""
     h = domain(url)

@@ -12,6 +12,16 @@ from pyspark.sql import types as T
 from sparkvane.functions.text import clean
 
 
+def once(df: DataFrame) -> DataFrame:
+    """``df`` whose columns are computed once, whatever is built on them.
+
+    The optimiser puts the expressions of columns into every filter and column that names them, which
+    multiplies those of columns that rest on each other. A column that is not deterministic, and that
+    is asked for, ends that: filters stay above it.
+    """
+    return df.withColumn("_once", F.monotonically_increasing_id()).where("_once >= 0").drop("_once")
+
+
 def conform(df: DataFrame, schema: T.StructType | Sequence[str]) -> DataFrame:
     """The columns of the schema in its order: missing ones null, extra ones dropped."""
     fields = schema.fields if isinstance(schema, T.StructType) else [T.StructField(c, T.StringType()) for c in schema]

@@ -338,7 +338,7 @@ def content_roles(spark, sf):
 
 
 _LINK_SIGNALS = {
-    "good_length": "length(t) BETWEEN 20 AND 180", "positive": found("blob", html.POSITIVE), "low": found("blob", html.LOW_VALUE), "commerce": found("blob", html.COMMERCE), "detail": found("p", html.DETAIL_PATH),
+    "good_length": "length(t) BETWEEN 20 AND 180", "positive": found("blob", html.POSITIVE), "low": f"({found('blob', html.LOW_VALUE)} OR {found('blob', html.LOW_VALUE_RESEARCH)})", "commerce": found("blob", html.COMMERCE), "detail": found("p", html.DETAIL_PATH),
     "listing": found("p", html.LISTING_PATH), "product": found("p", html.PRODUCT_PATH), "press": f"contains(p, '{html.PRESS_PATH}')", "call": "lower(t) IN ('detaylı bilgi', 'detayli bilgi')",
 }
 _LINK_PATHS = ("/news/", "/haber/", "/kampanyalar/", "/kobi/kartlar/", "/content/public-website/kurumsal-iletisim/", "/kurumsal-iletisim/sanat/", "/odul/")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkvane.operators import accept
 from sparkvane.plans.registry import query, table
+from sparkvane.sources import html, sites
 
 
 @query(
@@ -20,3 +21,40 @@ def inbox_acceptance(spark, sf):
     """Documents as submissions: one is taken unless an earlier taken one has its address or its beginning."""
     d = table(spark, sf, "documents").select("doc_id", F.concat(F.col("source"), F.lit("/"), (F.col("n_chars") % 200).cast("string")).alias("u"), F.lower(F.substring("text", 1, 12)).alias("t"))
     return accept.accepted(d, "doc_id", ["u", "t"]).select("doc_id")
+
+
+_TITLE = "'KOBİ haberi ' || page_id || ' için yeni bir başlık'"
+
+
+@query(
+    "press_and_listing_candidates",
+    rf"""WITH p AS (SELECT page_id, regexp_extract(url, '^[^/]*//[^/?#]*') AS site, {_TITLE} AS title FROM pages)
+       SELECT page_id, site || '/content/public-website/kurumsal-iletisim/' || page_id AS url, title, 20 AS score, 'title_length,positive_keyword,detail_path,garanti_press_detail' AS reason FROM p
+       UNION ALL SELECT page_id, site || '/kampanyalar', title, 14, 'title_length,positive_keyword,listing_path' FROM p
+       UNION ALL SELECT page_id, site || '/haber/' || page_id || '?id=login', title, 8, 'title_length,positive_keyword,detail_path' FROM p""",
+)
+def press_and_listing_candidates(spark, sf):
+    """Every page with four links more: press, listing, news, and one that is negative by its path."""
+    k, title = F.col("page_id").cast("string"), F.concat(F.lit("KOBİ haberi "), F.col("page_id").cast("string"), F.lit(" için yeni bir başlık"))
+    link = lambda *path: F.concat(F.lit('<a href="'), *path, F.lit('">'), title, F.lit("</a>"))
+    more = [link(F.lit("/content/public-website/kurumsal-iletisim/"), k), link(F.lit("/kampanyalar/")), link(F.lit("/haber/"), k, F.lit("?id=login")), link(F.lit("/haber/login/"), k)]
+    pages = table(spark, sf, "pages").select("page_id", "url", F.concat("html", *more).alias("html"))
+    return html.candidates(html.links(pages)).where(F.col("title").startswith("KOBİ haberi")).select("page_id", "url", "title", "score", "reason")
+
+
+#: Listings as they stand on four kinds of sites: source id, address, what is added to a page.
+_LISTINGS = (
+    ("REG-052", "https://www.bddk.org.tr/Duyuru/Liste", '<a href="/Duyuru/Detay/{}">04.05.2026 Sermaye yeterliliği duyurusu</a>'),
+    ("REG-098", "https://www.burgan.com.tr/basin", '<p><a href="/f/ticari-{}.pdf">Ticari finansman 2026-05-06</a></p>'),
+    ("REG-148", "https://www.fibabanka.com.tr/kampanyalar", '<div class="new-campaign-card">Bitiş 01.06.2026 <a href="/kampanyalar/pos-{}">POS kampanyası</a></div>'),
+    ("REG-238", "https://www.checkout.com/newsroom", '<a href="/newsroom/merchants-{}"><div>Jun 3, 2026</div><h3>Stablecoin settlement for US merchants</h3></a>'),
+)
+
+
+@query("site_items")
+def site_items(spark, sf):
+    """Pages as listings of sites with rules of their own: their articles, menus and the site's items."""
+    n = (F.col("page_id") % len(_LISTINGS)).cast("int") + 1
+    of = lambda i: F.element_at(F.array(*[F.lit(x[i]) for x in _LISTINGS]), n)
+    pages = table(spark, sf, "pages").select("page_id", of(1).alias("url"), F.concat("html", F.replace(of(2), F.lit("{}"), F.col("page_id").cast("string"))).alias("html"), of(0).alias("source_id"))
+    return sites.items(pages)

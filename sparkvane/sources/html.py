@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkvane.functions import dates, urls
-from sparkvane.functions.text import matches, squeeze, text
-from sparkvane.operators.rows import pick
+from sparkvane.functions.text import matches, squeeze, text, title_from_slug
+from sparkvane.operators.rows import once, pick
 from sparkvane.plans.cascade import all_reasons, first_row, holds
 
 _SKIP = {"script", "style", "noscript", "svg", "template"}
@@ -197,13 +197,14 @@ COMMERCE = (
     r"ödeme|odeme|tahsilat|kredi|kart|nakit|api|kampanya|masraf|finansman|girişimci|girisimci|"
     r"merchant|commercial|business|sme)"
 )
+GENERIC_TITLE = r"^(detaylı bilgi|detayli bilgi|bülteni indir|bulteni indir|indir|download|pdf|oku|devamı|devami)$"
 LOW_VALUE = (
     r"(üst düzey atama|ust duzey atama|atama gerçekleşti|atama gerceklesti|finansal sonuç|finansal sonuc|"
     r"aktif büyüklüğü|aktif buyuklugu|anaokulu|kampüs|kampus|yetenek programı|yetenek programi|"
     r"çalışanlarına yönelik|calisanlarina yonelik|kadınlar günü|kadinlar gunu|ödül|odul|"
-    r"kültür|kultur|sanat|sosyal sorumluluk|global summit|liderlerini|"
-    r"tasarruf araştırması|tasarruf arastirmasi)"
+    r"kültür|kultur|sanat|sosyal sorumluluk|global summit|liderlerini)"
 )
+LOW_VALUE_RESEARCH = r"(tasarruf araştırması|tasarruf arastirmasi)"
 PRODUCT_PATH = (
     r"^/(?:(?:kobi|bireysel|ticari)/)?(?:kartlar|mevduat|krediler|dijital-bankacilik|"
     r"odemeler-ve-hizmetler|yatirim|sigorta-ve-emeklilik|hesaplama-araclari|"
@@ -227,7 +228,8 @@ def link_score(title: Column, url: Column) -> Column:
     """struct(score, reason): points by ``POINTS``; low-value and product links, and length alone, are none."""
     p = urls.path(url)
     blob = F.concat_ws(" ", title, p)
-    signals = {k: matches(blob, v) for k, v in {"positive": POSITIVE, "low": LOW_VALUE, "commerce": COMMERCE}.items()}
+    signals = {k: matches(blob, v) for k, v in {"positive": POSITIVE, "commerce": COMMERCE}.items()}
+    signals["low"] = matches(blob, LOW_VALUE) | matches(blob, LOW_VALUE_RESEARCH)
     signals |= {k: matches(p, v) for k, v in {"detail": DETAIL_PATH, "listing": LISTING_PATH, "product": PRODUCT_PATH}.items()}
     signals |= {"press": p.contains(PRESS_PATH), "good_length": F.length(title).between(20, 180), "call": F.lower(title).isin("detaylı bilgi", "detayli bilgi")}
     met = [(holds(signals, wanted), points, name) for wanted, points, name in POINTS]
@@ -241,16 +243,34 @@ def link_score(title: Column, url: Column) -> Column:
     )
 
 
+def negative_link(title: Column, url: Column) -> Column:
+    """Whether a link leads to what is never news, by its title, host, path and fragment; listings and press
+    pages, which score highest, never do."""
+    p = urls.path(url)
+    exempt = matches(p, LISTING_PATH) | p.contains(PRESS_PATH)
+    blob = F.concat_ws(" ", title, urls.netloc(url), p, urls.part(url, 5))
+    return ~exempt & (matches(blob, NEGATIVE) | matches(p, PRODUCT_PATH))
+
+
+def link_title(anchor: Column | str, url: Column | str) -> Column:
+    """The anchor's text; where it says nothing, the name of the file or the last part of a detail path."""
+    a, p = squeeze(anchor), urls.path(url)
+    vague = (a == "") | matches(a, GENERIC_TITLE)
+    return F.when(vague & matches(p, r"\.pdf$"), urls.file_title(url)).when(vague & matches(p, DETAIL_PATH), title_from_slug(url)).otherwise(a)
+
+
 def candidates(found: DataFrame, k: int = 50) -> DataFrame:
-    """The k best distinct links of each page: same site, not negative, with a positive score or a date.
+    """The k best distinct links of each page: on the page's host or below it, not negative, with a positive
+    score, and a title of 20 to 180 characters unless the path is that of a detail page.
 
     Of equal urls the better scored, then the longer, then the earlier anchor stays.
     """
-    target = urls.canonical(urls.absolute("href", "base"))
-    rows = found.select("page_id", "base", "position", squeeze("anchor").alias("title"), target.alias("url"), "href")
-    rows = rows.where(urls.same_site("url", "base") & ~matches(F.concat_ws(" ", "title", "href"), NEGATIVE) & ~text("href").startswith("#"))
-    rows = rows.withColumn("s", link_score(F.col("title"), F.col("url"))).withColumn("date", F.coalesce(dates.turkish("title"), dates.dated("url")))
-    rows = rows.where((F.col("s.score") > 0) | F.col("date").isNotNull())
+    raw = urls.absolute("href", "base")
+    rows = once(found.where(~text("href").startswith("#")).select("page_id", "base", "position", "anchor", raw.alias("raw")))
+    rows = once(rows.select("page_id", "base", "position", link_title("anchor", "raw").alias("title"), "raw", urls.canonical("raw").alias("url")))
+    rows = rows.where(urls.scheme("url").isin("http", "https") & urls.below("base", "url") & ~negative_link(F.col("title"), F.col("raw")))
+    rows = once(rows.withColumn("s", link_score(F.col("title"), F.col("url"))).withColumn("date", F.coalesce(dates.turkish("title"), dates.dated("url"))))
+    rows = rows.where((F.col("s.score") > 0) & (F.length("title").between(20, 180) | matches(urls.path("url"), DETAIL_PATH)))
     best = pick(rows, ["page_id", "url"], [F.desc("s.score"), F.desc(F.length("title")), F.asc("position")])
     return pick(best, ["page_id"], [F.desc("s.score"), F.asc("url")], k).select("page_id", "url", "title", F.col("s.score").alias("score"), F.col("s.reason").alias("reason"), "date")
 

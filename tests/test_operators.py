@@ -113,12 +113,12 @@ def test_html(spark):
     assert html.clean_text(PAGE)[0] == "T & U" and html.clean_text(PAGE)[1].split("\n")[:4] == ["Haberler", "Bir satır", "İki", "üç"]
     assert html.clean_text(PAGE)[1].count("Bir satır") == 1 and "alt" not in html.clean_text(PAGE)[1] and html.clean_text(None) == ("", "")
     assert html.markup_date(PAGE) == "2026-05-12"
-    pages = spark.createDataFrame([(1, "https://x.com/a", PAGE), (2, "https://x.com/b", None)], "page_id long, url string, html string")
+    pages = spark.createDataFrame([(1, "https://y.com/a", PAGE), (2, "https://y.com/b", None)], "page_id long, url string, html string")
     links = html.links(pages)
     assert [(r["href"], r["in_furniture"], r["heading"]) for r in links.orderBy("position").collect()][:2] == [("/giris", True, ""), ("/haberler/yeni-kart-duyurusu?utm_source=x", False, "Haberler")]
     c = html.candidates(links).collect()
-    assert [(r["url"], r["title"], str(r["date"])) for r in c] == [("https://x.com/haberler/yeni-kart-duyurusu", "Yeni kart duyurusu 12 Mayıs 2026", "2026-05-12")]
+    assert [(r["url"], r["title"], str(r["date"])) for r in c] == [("https://y.com/haberler/yeni-kart-duyurusu", "Yeni kart duyurusu 12 Mayıs 2026", "2026-05-12")]
     m = html.link_metrics(links).first()
     assert (m["links"], m["dated"]) == (4, 1) and m["menu_share"] == pytest.approx(0.25)
-    rules = spark.createDataFrame([("x.com", "/haberler/.+", "(?i)kart", "", 24, 8, 10, 25)], "site string, path_pattern string, positive string, negative string, score int, dated_bonus int, shortest int, k int")
-    assert [(r["url"], r["score"]) for r in html.adapt(links, rules).collect()] == [("https://x.com/haberler/yeni-kart-duyurusu", 32)]
+    rules = spark.createDataFrame([("y.com", "/haberler/.+", "(?i)kart", "", 24, 8, 10, 25)], "site string, path_pattern string, positive string, negative string, score int, dated_bonus int, shortest int, k int")
+    assert [(r["url"], r["score"]) for r in html.adapt(links, rules).collect()] == [("https://y.com/haberler/yeni-kart-duyurusu", 32)]
