@@ -75,6 +75,6 @@ def cluster_texts(spark, sf):
 
 @query("document_token_pairs")
 def document_token_pairs(spark, sf):
-    """Documents of a source whose whole texts share words: the token pairs of ``token_jaccard_pairs`` over texts."""
+    """Documents of a source whose whole texts share half of their words."""
     d = table(spark, sf, "documents").select("doc_id", "source", text.tokens("text").alias("t"))
-    return similar.token_pairs(d, ["source"], "doc_id", "t").select("source", "a", "b", "shared")
+    return similar.token_pairs(d, ["source"], "doc_id", "t", at_least=0.5).select("source", "a", "b", "shared")

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,6 +79,21 @@ def swap(df: DataFrame, path: str) -> None:
     fs.delete(old, True)
 
 
+def counted_swap(existing: DataFrame, new: DataFrame, path: str) -> dict[str, int]:
+    """Put the existing rows and the new ones in the place of a table: counts before and after, and what was added.
+
+    Both counts are taken in the pass that writes, without a job of their own. The delta is never negative.
+    """
+    before, after = Observation(), Observation()
+    rows = existing.observe(before, F.count(F.lit(1)).alias("n")).unionByName(new, allowMissingColumns=True)
+    swap(rows.observe(after, F.count(F.lit(1)).alias("n")), path)
+    return counts_delta({"before": before.get["n"], "after": after.get["n"]})
+
+
+def counts_delta(counts: dict[str, int]) -> dict[str, int]:
+    return {**counts, "delta": max(0, counts["after"] - counts["before"])}
+
+
 def append(df: DataFrame, path: str, columns: Sequence[str]) -> None:
     """Append-only log or audit table."""
     conform(df, columns).write.mode("append").parquet(path)
