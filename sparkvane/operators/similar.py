@@ -1,8 +1,8 @@
 """Similarity: fuzzy titles, token overlap, greedy dedup and greedy clusters.
 
 The greedy passes depend on order by definition (the first row of a group consumes the rows
-that are like it), so they take an explicit order. They run as grouped maps on the blocking
-key, after joins and filters on built-in expressions have cut the rows down.
+that are like it), so they take an explicit order. Dedup runs in rounds over classes of titles;
+clusters run as a grouped map on the blocking key.
 """
 
 from __future__ import annotations
@@ -12,10 +12,12 @@ from collections.abc import Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkvane.sources.tables import staged
+
 #: Characters that are counted one by one; all others are one bag.
 BAGS = " abcdefghijklmnopqrstuvwxyz"
 
@@ -39,22 +41,14 @@ def title_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def fuzzy_pairs(df: DataFrame, block: str, key: str, title: str, date: str | None = None, days: int = 60, at_least: float = 0.92) -> DataFrame:
-    """(a, b, similarity) of rows of one block within ``days`` (or undated) and similar enough.
+def _near(classes: DataFrame, also: Column, at_least: float) -> DataFrame:
+    """Classes (block, t, ...) met as a and b where ``also`` holds and the ratio of their titles may reach ``at_least``.
 
-    Rows of equal block, title and date are one class, that of the least key: pairs are of classes, and each
-    other row of a class comes once, with its class and 1.0, so copies do not give the square of their number.
-    Classes meet in bands of length: a ratio r needs lengths of at least r / (2 - r) to each other, so partners
+    They meet in bands of length: a ratio r needs lengths of at least r / (2 - r) to each other, so partners
     are in one band or in neighbours. What two titles can match at most is bounded by their counts of each letter, and
     a ratio r leaves at most (1 - r) of both lengths unmatched, which bounds the edit distance; both are
-    tried first, on built-in expressions (the latter for ``EDIT_CHARS`` at most; the result is the same without). Null blocks and titles and empty titles are in no pair.
+    tried first, on built-in expressions (the latter for ``EDIT_CHARS`` at most; the result is the same without).
     """
-    d = F.col(date) if date else F.lit(None)
-    rows = df.select(F.col(block).alias("block"), F.col(key).alias("id"), F.col(title).alias("t"), d.cast("date").alias("d")).where("block IS NOT NULL AND t IS NOT NULL AND t <> ''")
-    classes = rows.groupBy("block", "t", "d").agg(F.min("id").alias("id"))
-    own = classes.withColumnRenamed("id", "class").alias("c")
-    same = [F.col(f"r.{x}").eqNullSafe(F.col(f"c.{x}")) for x in ("block", "t", "d")]
-    members = rows.alias("r").join(own, same[0] & same[1] & same[2]).where("r.id > c.class").select(F.col("class").alias("a"), F.col("r.id").alias("b"), F.lit(1.0).alias("similarity"))
     shortest = at_least / (2 - at_least)
     banded = classes.withColumn("n", F.length("t"))
     band = F.floor(F.log(F.col("n")) / math.log(1 / shortest)) if shortest < 1 else F.col("n")
@@ -64,10 +58,26 @@ def fuzzy_pairs(df: DataFrame, block: str, key: str, title: str, date: str | Non
     b = banded.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).alias("b")
     la, lb = F.col("a.n"), F.col("b.n")
     close = F.least(la, lb) >= (shortest - 1e-9) * F.greatest(la, lb)
-    dates = F.col("a.d").isNull() | F.col("b.d").isNull() | (F.abs(F.datediff("a.d", "b.d")) <= days)
-    met = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.id") < F.col("b.id"))).where(close & dates)
+    met = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.band") == F.col("b.band")) & also).where(close)
     matched = sum(F.least(f"a.`{x}`", f"b.`{x}`") for x in [*bags, "n_"])
-    near = met.where(2 * matched >= (at_least - 1e-9) * (la + lb)).where(F.expr(f"a.n + b.n > {EDIT_CHARS} OR levenshtein(a.t, b.t, cast(floor({1 - at_least + 1e-9!r}D * (a.n + b.n)) as int)) >= 0"))
+    return met.where(2 * matched >= (at_least - 1e-9) * (la + lb)).where(F.expr(f"a.n + b.n > {EDIT_CHARS} OR levenshtein(a.t, b.t, cast(floor({1 - at_least + 1e-9!r}D * (a.n + b.n)) as int)) >= 0"))
+
+
+def fuzzy_pairs(df: DataFrame, block: str, key: str, title: str, date: str | None = None, days: int = 60, at_least: float = 0.92) -> DataFrame:
+    """(a, b, similarity) of rows of one block within ``days`` (or undated) and similar enough.
+
+    Rows of equal block, title and date are one class, that of the least key: pairs are of classes, and each
+    other row of a class comes once, with its class and 1.0, so copies do not give the square of their number.
+    Classes meet as ``_near`` says. Null blocks and titles and empty titles are in no pair.
+    """
+    d = F.col(date) if date else F.lit(None)
+    rows = df.select(F.col(block).alias("block"), F.col(key).alias("id"), F.col(title).alias("t"), d.cast("date").alias("d")).where("block IS NOT NULL AND t IS NOT NULL AND t <> ''")
+    classes = rows.groupBy("block", "t", "d").agg(F.min("id").alias("id"))
+    own = classes.withColumnRenamed("id", "class").alias("c")
+    same = [F.col(f"r.{x}").eqNullSafe(F.col(f"c.{x}")) for x in ("block", "t", "d")]
+    members = rows.alias("r").join(own, same[0] & same[1] & same[2]).where("r.id > c.class").select(F.col("class").alias("a"), F.col("r.id").alias("b"), F.lit(1.0).alias("similarity"))
+    dates = F.col("a.d").isNull() | F.col("b.d").isNull() | (F.abs(F.datediff("a.d", "b.d")) <= days)
+    near = _near(classes, (F.col("a.id") < F.col("b.id")) & dates, at_least)
     scored = near.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), title_ratio(F.col("a.t"), F.col("b.t")).alias("similarity"))
     return scored.where(F.col("similarity") >= at_least).unionByName(members)
 
@@ -128,28 +138,42 @@ def greedy_clusters(df: DataFrame, block: str, key: str, tokens: str, order: str
 
 
 def greedy_dedup(df: DataFrame, block: str, key: str, title: str, order: str, date: str, days: int = 60, at_least: float = 0.92) -> DataFrame:
-    """(id, duplicate_of): each row in order is new, or like an accepted earlier row of its block."""
+    """(id, duplicate_of): each row in order is new, or like an accepted earlier row of its block, the first of them.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([order, "id"], kind="stable")
-        accepted: list[tuple] = []
-        out = []
-        for i, t, d in zip(rows["id"], rows["t"], pd.to_datetime(rows["d"]), strict=True):
-            found = None
-            for j, u, e in accepted if t else []:
-                if pd.notna(d) and pd.notna(e) and abs((d - e).days) > days:
-                    continue
-                if t == u or ratio(t, u, at_least) >= at_least:
-                    found = j
-                    break
-            if found is None:
-                accepted.append((i, t, d))
-            out.append((i, found))
-        return pd.DataFrame(out, columns=["id", "duplicate_of"])
-
-    kind = dict(df.dtypes)[key]
-    slim = df.select(F.col(block).alias("block"), F.col(key).alias("id"), F.coalesce(F.col(title), F.lit("")).alias("t"), F.col(date).alias("d"), order)
-    return slim.groupBy("block").applyInPandas(run, f"id {kind}, duplicate_of {kind}")
+    Two rows are alike if their titles are equal or similar enough and their dates, where both have one, at most ``days``
+    apart. Rows of equal titles are a class; which classes are similar is found once, on distinct titles. Then rows are
+    decided in rounds, all blocks together: a row is accepted when every earlier row of its own and of the similar classes is
+    decided and none of the accepted ones is like it, and what an accepted row is like drops out. No block is gathered,
+    and copies are never paired with each other. Keys are distinct; empty titles are always new.
+    """
+    rank = F.struct(F.col(order).isNull().alias("last"), F.col(order).alias("o"), F.col(key).alias("k"))
+    rows = staged(df.select(F.to_json(F.struct(F.col(block).alias("b"))).alias("block"), F.col(key).alias("id"), F.coalesce(F.col(title), F.lit("")).alias("t"), F.col(date).cast("date").alias("d"), rank.alias("rank")), "titles")
+    still = rows.where("t <> ''")
+    met = _near(still.select("block", "t").distinct(), F.col("a.t") < F.col("b.t"), at_least).select(F.col("a.block").alias("block"), F.col("a.t").alias("x"), F.col("b.t").alias("y"))
+    met = staged(met.select("block", "x", "y", title_ratio("x", "y").alias("xy"), title_ratio("y", "x").alias("yx")), "title-pairs")
+    one = lambda x, y: met.where(F.col(x + y) >= at_least).select("block", F.col(x).alias("t"), F.col(y).alias("other"))
+    own = still.select("block", "t", F.col("t").alias("other")).distinct()
+    like = staged(one("x", "y").unionByName(one("y", "x")).unionByName(own), "title-classes")
+
+    def behind(later: DataFrame, earlier: DataFrame) -> DataFrame:
+        """``later`` with each row of ``earlier`` that is like it and comes before it, as _id and _rank."""
+        by = earlier.select("block", F.col("t").alias("other"), F.col("d").alias("_d"), F.col("id").alias("_id"), F.col("rank").alias("_rank"))
+        near = F.col("d").isNull() | F.col("_d").isNull() | (F.abs(F.datediff("d", "_d")) <= days)
+        return later.join(like, ["block", "t"]).join(by, ["block", "other"]).where((F.col("_rank") < F.col("rank")) & near)
+
+    taken: DataFrame | None = None
+    while not still.isEmpty():
+        first = still.groupBy("block", F.col("t").alias("other")).agg(F.min("rank").alias("first"))
+        turn = like.join(first, ["block", "other"]).groupBy("block", "t").agg(F.min("first").alias("turn"))
+        now = staged(still.join(turn, ["block", "t"]).where(F.col("rank") == F.col("turn")).drop("turn"), "accepted")
+        taken = now if taken is None else taken.unionByName(now)
+        gone = now.select("rank").unionByName(behind(still, now).select("rank"))
+        still = staged(still.join(gone, "rank", "left_anti"), "open")
+    if taken is None:
+        return rows.select("id", F.lit(None).cast(dict(df.dtypes)[key]).alias("duplicate_of"))
+    refused = rows.where("t <> ''").join(taken.select("rank"), "rank", "left_anti")
+    of = behind(refused, taken).groupBy("rank").agg(F.min_by("_id", "_rank").alias("duplicate_of"))
+    return rows.join(of, "rank", "left").select("id", "duplicate_of")
 
 
 def evidence(cells: DataFrame, sources: DataFrame, shortest: int = 15) -> DataFrame:

@@ -12,6 +12,7 @@ from sparkvane.functions.text import clean, fold, matches, text, truthy
 from sparkvane.operators.rows import latest, pick
 from sparkvane.plans.cascade import first_match, first_reason
 from sparkvane.plans.recency import evaluate
+from sparkvane.sources.tables import staged
 
 ACTIVE_WORDS = ("evet", "aktif")
 
@@ -142,10 +143,15 @@ def default_registry(name: Column | str, classes: Sequence[tuple[str, dict[str,
 
 
 def next_ids(new: DataFrame, registry: DataFrame, prefix: str = "REG-", width: int = 3, order: str = "url") -> DataFrame:
-    """New sources with ids after the largest one there is."""
+    """New sources with ids after the largest one there is, in the order of ``order``.
+
+    Rows are dealt by ranges of it and numbered within their range; the ranges' counts, one row for each, give the offsets.
+    """
     from pyspark.sql import Window as W
 
     last = registry.agg(F.coalesce(F.max(F.regexp_extract("source_id", rf"{prefix}(\d+)", 1).try_cast("int")), F.lit(0))).scalar()
-    # new sources of one run are few: they are numbered in one window
-    n = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(order))
-    return new.withColumn("source_id", F.concat(F.lit(prefix), F.lpad((last + n).cast("string"), width, "0")))
+    dealt = staged(new.repartitionByRange(order).withColumn("_range", F.spark_partition_id()), "ids")
+    before = F.sum("_count").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1))  # as many rows as ranges
+    offsets = dealt.groupBy("_range").agg(F.count("*").alias("_count")).select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    numbered = dealt.join(F.broadcast(offsets), "_range").withColumn("_n", F.row_number().over(W.partitionBy("_range").orderBy(order)) + F.col("_before"))
+    return numbered.withColumn("source_id", F.concat(F.lit(prefix), F.lpad((last + F.col("_n")).cast("string"), width, "0"))).drop("_range", "_before", "_n")

@@ -122,3 +122,16 @@ def test_html(spark):
     assert (m["links"], m["dated"]) == (4, 1) and m["menu_share"] == pytest.approx(0.25)
     rules = spark.createDataFrame([("y.com", "/haberler/.+", "(?i)kart", "", 24, 8, 10, 25)], "site string, path_pattern string, positive string, negative string, score int, dated_bonus int, shortest int, k int")
     assert [(r["url"], r["score"]) for r in html.adapt(links, rules).collect()] == [("https://y.com/haberler/yeni-kart-duyurusu", 32)]
+
+
+def test_next_ids_over_many_ranges(spark):
+    from sparkvane.plans import sourcing
+
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    new = spark.createDataFrame([(f"u{i:03d}",) for i in range(50)], "url string").repartition(5)
+    have = spark.createDataFrame([("REG-007",), ("x",)], "source_id string")
+    got = {r["url"]: r["source_id"] for r in sourcing.next_ids(new, have).collect()}
+    spark.conf.set(key, old)
+    assert got == {f"u{i:03d}": f"REG-{i + 8:03d}" for i in range(50)}

@@ -61,3 +61,35 @@ def test_fuzzy_pairs_of_classes_equal_brute_force(spark):
     want |= {(first[t], i) for i, t in enumerate(titles) if t and i % 7 and first[t] != i}
     got = [(x["a"], x["b"]) for x in similar.fuzzy_pairs(d, "block", "id", "t").collect()]
     assert set(got) == want and len(got) == len(want) > 30
+
+
+def test_greedy_dedup_in_rounds_equals_the_sequential_pass(spark):
+    """Copies, near copies and chains of them, dates on both sides of the window, null blocks, orders and titles."""
+    import datetime
+    import random
+
+    r = random.Random(11)
+    base = ["yeni kart duyurusu bugün yayında", "ticari kredi paketi genişliyor şimdi", "pos cihazı kampanyası başladı bugün"]
+    rows = []
+    for i in range(140):
+        t = r.choice(base)
+        for _ in range(r.randint(0, 3)):
+            at = r.randrange(len(t))
+            t = t[:at] + r.choice("abcçxyz ") + t[at + 1 :]
+        t = r.choice([t, t, t, base[0], "", None])
+        day = r.choice([None, datetime.date(2026, 1, 1) + datetime.timedelta(days=r.randrange(200))])
+        rows.append((i, r.choice(["a", "b", None]), t, r.choice([None, *range(60)]), day))
+    schema = "id int, block string, t string, o int, d date"
+    got = {x.id: x.duplicate_of for x in similar.greedy_dedup(spark.createDataFrame(rows, schema), "block", "id", "t", "o", "d").collect()}
+    want, accepted = {}, {}
+    for i, block, t, o, d in sorted(rows, key=lambda x: (x[3] is None, x[3] or 0, x[0])):
+        hit = None
+        for j, u, e in accepted.setdefault(block, []) if t else []:
+            if (d is None or e is None or abs((d - e).days) <= 60) and similar.ratio(t, u) >= 0.92:
+                hit = j
+                break
+        want[i] = hit
+        if hit is None and t:
+            accepted[block].append((i, t, d))
+    assert got == want and sum(v is not None for v in want.values()) > 30
+    assert similar.greedy_dedup(spark.createDataFrame([], schema), "block", "id", "t", "o", "d").count() == 0
