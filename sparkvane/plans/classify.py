@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkvane.functions.text import contains_any, fold, matches, text
 from sparkvane.functions.urls import path
-from sparkvane.plans.cascade import first_match, first_reason
+from sparkvane.plans.cascade import bound, first_match, first_reason
 
 # fixed values: signals of the development types
 STATIC = (
@@ -27,32 +28,44 @@ SMALL_BUSINESS = r"(kobi|kobİ|esnaf|ticari|işletme|üye işyeri|uye isyeri|mer
 BAD_TITLE = r"(tekil gelişme kontrol|fallback|source page|communication / press releases için)"
 
 
+# fixed values: the kinds of developments in the order in which they are decided, whether they are one, and why
+KINDS = (
+    ("static", False, "Statik Ürün Sayfası", "Statik ürün, yardım, giriş veya navigasyon içeriği gibi görünüyor."),
+    ("social", False, "Sosyal Sorumluluk / PR", "KOBİ stratejisine doğrudan bağlanmayan kültür, sanat veya sosyal sorumluluk PR içeriği."),
+    ("campaign", True, "Kampanya", "Kampanya veya müşteri teklifi sinyali içeriyor."),
+    ("partnership", True, "İş Birliği", "İş birliği, mutabakat veya entegrasyon duyurusu içeriyor."),
+    ("product", True, "Ürün / Özellik Gelişmesi", "Ürün, API, POS, ödeme, tahsilat veya dijital özellik gelişmesi sinyali içeriyor."),
+    ("regulation", True, "Regülasyon", "Regülasyon veya resmi karar sinyali içeriyor."),
+    ("green", True, "Ürün / Özellik Gelişmesi", "Sürdürülebilir finansman, kredi, leasing veya sermaye piyasası işlemi içeriyor."),
+    ("report", True, "Rapor / Araştırma", "Bankacılık veya pazar araştırması niteliğinde rapor/analiz sinyali içeriyor."),
+    ("award", True, "Ödül / İtibar Sinyali", "Dated, credible award/ranking or management-positioning signal olarak değerlendirilebilir."),
+    ("press", True, "Basın Bülteni", "Basın/haber kaynağından gelen tekil ve tarihli duyuru adayı."),
+    ("news", True, "Haber", "Tekil haber veya duyuru adayı."),
+)
+UNCLEAR = ("Belirsiz", "Yeni kampanya, ürün, iş birliği, regülasyon, rapor veya yönetim sinyali net değil.")
+#: Signals that are one pattern over the whole blob.
+PATTERNS = {"campaign": CAMPAIGN, "partnership": PARTNERSHIP, "product": PRODUCT, "regulation": REGULATION, "green": GREEN_FINANCE, "report": REPORT, "award": AWARD}
+
+
 def development(title: str, body: str, url: str, source_type: str) -> Column:
-    """struct(is_actual_development, development_candidate_type)."""
+    """struct(is_actual_development, development_candidate_type, actual_development_reason) by ``KINDS``."""
     blob = F.concat_ws("\n", text(title), F.substring(text(body), 1, 5000), text(url), text(source_type))
     meta = F.concat_ws("\n", text(title), text(url), text(source_type))
-    source = fold(source_type)
     has = lambda p: matches(blob, p)
-    press = path(url).contains("/kurumsal-iletisim/") | source.contains("basın") | source.contains("press")
-    static = (matches(meta, STATIC) & ~press) | (matches(path(url), STATIC_PATH) & ~has(CAMPAIGN) & ~has(PRODUCT))
-    social = has(SOCIAL) & ~has(SMALL_BUSINESS) & ~(has(AWARD) | has(REPORT) | has(GREEN_FINANCE))
-    kind = lambda actual, name: {"is_actual_development": actual, "development_candidate_type": name}
-    return first_match(
-        [
-            (static, kind(False, "Statik Ürün Sayfası")),
-            (social, kind(False, "Sosyal Sorumluluk / PR")),
-            (has(CAMPAIGN), kind(True, "Kampanya")),
-            (has(PARTNERSHIP), kind(True, "İş Birliği")),
-            (has(PRODUCT), kind(True, "Ürün / Özellik Gelişmesi")),
-            (has(REGULATION), kind(True, "Regülasyon")),
-            (has(GREEN_FINANCE), kind(True, "Ürün / Özellik Gelişmesi")),
-            (has(REPORT), kind(True, "Rapor / Araştırma")),
-            (has(AWARD), kind(True, "Ödül / İtibar Sinyali")),
-            (source.contains("basın") | source.contains("press") | source.contains("haber"), kind(True, "Basın Bülteni")),
-            (fold(blob).contains("duyuru") | fold(blob).contains("haber"), kind(True, "Haber")),
-        ],
-        kind(False, "Belirsiz"),
-    )
+    signals = {k: has(p) for k, p in PATTERNS.items()} | {
+        "in_static": matches(meta, STATIC), "on_static_path": matches(path(url), STATIC_PATH), "social_words": has(SOCIAL), "small_business": has(SMALL_BUSINESS),
+        "press_page": path(url).contains("/kurumsal-iletisim/"), "source": fold(source_type), "news": fold(blob).contains("duyuru") | fold(blob).contains("haber"),
+    }
+
+    def decided(s: dict[str, Column]) -> Column:
+        from_press = s["source"].contains("basın") | s["source"].contains("press")
+        s["static"] = (s["in_static"] & ~(s["press_page"] | from_press)) | (s["on_static_path"] & ~s["campaign"] & ~s["product"])
+        s["social"] = s["social_words"] & ~s["small_business"] & ~(s["award"] | s["report"] | s["green"])
+        s["press"] = from_press | s["source"].contains("haber")
+        value = lambda actual, name, why: {"is_actual_development": actual, "development_candidate_type": name, "actual_development_reason": why}
+        return first_match([(s[k], value(*rest)) for k, *rest in KINDS], value(False, *UNCLEAR))
+
+    return bound(signals, decided)
 
 
 def quality(title: Column | str, body: Column | str, item_url: Column | str, source_url: Column | str, method: Column | str, allow_fallback: bool = False) -> Column:
@@ -112,3 +125,52 @@ def keyword_bucket(steps, default: str) -> Column:
 
 def fee_bucket(family: Column | str, free_text: Column | str) -> Column:
     return keyword_bucket([(family, FEE_FAMILY), (free_text, FEE_TEXT)], "Kartlar")
+
+
+# fixed values: the place of a fee within its bucket by the words of its texts, tried in order; last the place of all others
+FEE_PLACES = {
+    "Kartlar": ((2, ("banka kart", "paracard")), (1, ("aidatsız", "free", "0 tl")), (0, ("yıllık ücret",)), (3, ("nakit avans",)), (4, ())),
+    "Yurt içi transfer": ((2, ("pahalı kanal", "atm", "şube", "branch", "müşteri iletişim", "çözüm merkezi")), (1, ("havale", "paynow", "faster payment", "ach")), (0, ())),
+    "Yurt dışı / SWIFT": (
+        (9, ("gelen",)),
+        (8, ("şube", "branch", "pahalı kanal")),
+        (0, ("visa",)),
+        (1, ("yurt dışı fast", "fast uluslararası")),
+        (2, ("0-10.000", "0-10 bin", "0-12.000", "0-12 bin", "15 bin tl ve alt", "15.000 tl ve alt", "30 bin tl alt")),
+        (3, ("12.000,01-40.000", "12-40 bin")),
+        (4, ("40.000,01-80.000", "40-80 bin")),
+        (5, ("80.000,01", "80 bin", "10.000 tl üzeri", "10 bin+", "15 bin tl+", "15.000,01", "30 bin tl üst")),
+        (2, ("same-day", "aynı gün")),
+        (3, ("1 gün",)),
+        (4, ("ileri gün",)),
+        (6, ()),
+    ),
+    "Paket / Kredi": (
+        (0, ("hoş geldin", "yeni müşteri", "faizsiz", "account", "checking")),
+        (1, ("nakit akışınla kazan",)),
+        (2, ("dış ticaret paketi", "ithalat paket", "ihracat paket", "karma dış ticaret", "kota", "swift paketi", "swift paketleri")),
+        (3, ("genç kobi", "genciz kobi", "kadın kobi", "kadın girişimci")),
+        (4, ("çek", "senet")),
+        (5, ("kgf", "kobi ihtiyaç", "anında ticari", "ticari kredili")),
+        (6, ("pos'una kredi", "posuna kredi")),
+        (7, ()),
+    ),
+    "POS": ((0, ("kampanya", "hoş geldin", "yeni kazanım", "pos'um cepte")), (1, ("peşin", "azami", "standart")), (2, ("taksit",)), (3, ())),
+}
+
+
+def fee_place(bucket: Column, texts: Column) -> Column:
+    """Where a fee stands within its bucket; null for another bucket, whose fees keep their order."""
+    out = None
+    for name, places in FEE_PLACES.items():
+        *rules, (_, _) = places
+        place = first_match([(contains_any(texts, words), {"p": p}) for p, words in rules], {"p": places[-1][0]})["p"]
+        out = F.when(bucket == name, place) if out is None else out.when(bucket == name, place)
+    return out
+
+
+def fees_in_order(fees: DataFrame, bucket: str, order: str, *within: str) -> DataFrame:
+    """Fees with ``place`` and ``position``: the order of their bucket (of each of ``within``), by place and then by ``order``."""
+    words = F.concat_ws(" ", *[text(c) for c in ("fee_family", "fee_item", "product_or_channel", "fee_basis")])
+    placed = fees.withColumn("place", fee_place(F.col(bucket), words))
+    return placed.withColumn("position", F.row_number().over(W.partitionBy(*within, bucket).orderBy(F.coalesce("place", F.lit(0)), order)))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkvane.functions import text
 from sparkvane.operators import similar
-from sparkvane.plans import quality
+from sparkvane.plans import classify, lints, quality
 from sparkvane.plans.registry import query, table
 
 #: What is added to a document's text, by its number: nothing, a duty, a formal phrase, a passive one.
@@ -78,3 +78,86 @@ def document_token_pairs(spark, sf):
     """Documents of a source whose whole texts share half of their words."""
     d = table(spark, sf, "documents").select("doc_id", "source", text.tokens("text").alias("t"))
     return similar.token_pairs(d, ["source"], "doc_id", "t", at_least=0.5).select("source", "a", "b", "shared")
+
+
+#: Titles, addresses and kinds of sources, for documents to choose from by their number.
+_TITLES = ("Login sayfası", "Konser sponsorluk haberi", "Esnaf için konser", "Yeni kampanya", "Mutabakat imzalandı", "SoftPOS lansman", "Tebliğ yayımlandı", "Yeşil kredi tahvil", "Endeks açıklandı", "En iyi ödülü", "Sade bir başlık", "Bir duyuru")
+_PATHS = ("/x", "/bireysel-bankacilik/krediler/x", "/kurumsal-iletisim/x")
+_SOURCES = ("liste", "Basın odası", "Haberler")
+
+
+def _development_sql() -> str:
+    pick = lambda values, by: f"list_extract([{', '.join(repr(v) for v in values)}], CAST({by} % {len(values)} AS INT) + 1)"
+    f = lambda c, p: f"regexp_matches({c}, '{p}', 'i')"
+    s = {k: f("blob", p) for k, p in classify.PATTERNS.items()}
+    press = "(contains(lower(src), 'basın') OR contains(lower(src), 'press'))"
+    s["static"] = f"({f('meta', classify.STATIC)} AND NOT (contains(p, '/kurumsal-iletisim/') OR {press})) OR ({f('p', classify.STATIC_PATH)} AND NOT {s['campaign']} AND NOT {s['product']})"
+    s["social"] = f"{f('blob', classify.SOCIAL)} AND NOT {f('blob', classify.SMALL_BUSINESS)} AND NOT ({s['award']} OR {s['report']} OR {s['green']})"
+    s["press"] = f"{press} OR contains(lower(src), 'haber')"
+    s["news"] = "contains(lower(blob), 'duyuru') OR contains(lower(blob), 'haber')"
+    case = lambda i, last: "CASE " + " ".join(f"WHEN {s[r[0]]} THEN {r[i]!r}" for r in classify.KINDS) + f" ELSE {last!r} END"
+    return f"""WITH d AS (SELECT doc_id, {pick(_TITLES, 'doc_id')} AS title, {pick(_PATHS, '(doc_id // 12)')} AS p, {pick(_SOURCES, '(doc_id // 36)')} AS src, text[1:5000] AS body FROM documents),
+      b AS (SELECT *, title || chr(10) || coalesce(body, '') || chr(10) || 'https://a.org' || p || chr(10) || src AS blob, title || chr(10) || 'https://a.org' || p || chr(10) || src AS meta FROM d)
+      SELECT doc_id, {case(1, False)} AS is_actual_development, {case(2, classify.UNCLEAR[0])} AS development_candidate_type, {case(3, classify.UNCLEAR[1])} AS actual_development_reason FROM b"""
+
+
+@query("development_reasons", _development_sql())
+def development_reasons(spark, sf):
+    """The whole classifier over documents, with titles, addresses and sources that set off each of its rules."""
+    pick = lambda values, by: F.element_at(F.array(*map(F.lit, values)), (by % len(values)).cast("int") + 1)
+    k = F.col("doc_id")
+    d = table(spark, sf, "documents").select("doc_id", "text", pick(_TITLES, k).alias("title"), F.concat(F.lit("https://a.org"), pick(_PATHS, F.floor(k / 12))).alias("url"), pick(_SOURCES, F.floor(k / 36)).alias("source_type"))
+    return d.select("doc_id", classify.development("title", "text", "url", "source_type").alias("k")).select("doc_id", "k.*")
+
+
+#: Families and items of fees with their bucket and place.
+_FEES = (
+    ("Kart", "Yıllık ücret", "Kartlar", 0), ("Kart", "Aidatsız kart yıllık ücret", "Kartlar", 1), ("Kart", "Banka kartı aidatsız", "Kartlar", 2), ("Kart", "Nakit avans", "Kartlar", 3), ("Kart", "Diğer", "Kartlar", 4),
+    ("EFT", "Mobil", "Yurt içi transfer", 0), ("Havale", "İnternet", "Yurt içi transfer", 1), ("Havale", "Şube", "Yurt içi transfer", 2), ("SWIFT", "0-10 bin", "Yurt dışı / SWIFT", 2), ("SWIFT", "Gelen 0-10 bin", "Yurt dışı / SWIFT", 9),
+    ("SWIFT", "Visa Direct", "Yurt dışı / SWIFT", 0), ("SWIFT", "x", "Yurt dışı / SWIFT", 6), ("Paket", "Kota", "Paket / Kredi", 2), ("Kredi", "Çek", "Paket / Kredi", 4), ("POS", "Peşin kampanya", "POS", 0), ("POS", "Azami", "POS", 1), ("POS", "3 taksit", "POS", 2),
+)
+
+
+@query(
+    "pricing_order",
+    f"""WITH v(i, b, place) AS (VALUES {', '.join(f"({i}, '{b}', {p})" for i, (_, _, b, p) in enumerate(_FEES))})
+        SELECT p_partkey AS fee_id, b AS bucket, place, row_number() OVER (PARTITION BY p_brand, b ORDER BY place, p_partkey) AS position FROM part JOIN v ON i = p_partkey % {len(_FEES)}""",
+)
+def pricing_order(spark, sf):
+    """Parts as fees of their brand, each bucket in the order of its table."""
+    pick = lambda i: F.element_at(F.array(*[F.lit(x[i]) for x in _FEES]), (F.col("p_partkey") % len(_FEES)).cast("int") + 1)
+    p = table(spark, sf, "part").select("p_brand", F.col("p_partkey").alias("fee_id"), pick(0).alias("fee_family"), pick(1).alias("fee_item"), F.lit("").alias("product_or_channel"), F.lit(None).cast("string").alias("fee_basis"))
+    bucket = classify.fee_bucket("fee_family", F.concat_ws(" ", "fee_family", "fee_item"))
+    return classify.fees_in_order(p.withColumn("bucket", bucket), "bucket", "fee_id", "p_brand").select("fee_id", "bucket", "place", "position")
+
+
+_DUPLICATE_IDS = "SELECT s_suppkey // 2 FROM supplier GROUP BY 1 HAVING count(*) > 1"
+
+
+@query(
+    "registry_lint_full",
+    f"""WITH r AS (SELECT CAST(s_suppkey // 2 AS VARCHAR) AS source_id, CASE WHEN s_suppkey % 9 = 0 THEN '' ELSE n_name END AS institution_name, s_suppkey AS k, s_suppkey // 2 IN ({_DUPLICATE_IDS}) AS dup,
+           k3 AS u, count(*) OVER (PARTITION BY k3) AS urls FROM (SELECT *, s_suppkey // 3 AS k3 FROM supplier JOIN nation ON s_nationkey = n_nationkey)),
+         f AS (SELECT *, k % 2 = 0 AS active, k % 4 < 2 AS mvp, k % 3 = 0 AS eligible, CASE k % 4 WHEN 0 THEN 'static_scrape' WHEN 1 THEN 'manual' WHEN 2 THEN 'browser_required' ELSE 'api' END AS method,
+           CASE k % 5 WHEN 0 THEN 'blocked_source_watch' WHEN 1 THEN 'production_weekly' ELSE '' END AS mode, k % 7 = 0 AS off, k % 3 <> 1 AS capable FROM r)
+       SELECT source_id, institution_name, i.t AS issue_type, i.s AS severity FROM (SELECT source_id, institution_name, unnest([x FOR x IN [
+         CASE WHEN dup THEN {{'t': 'duplicate_source_id', 's': 'error'}} END, CASE WHEN urls > 1 THEN {{'t': 'duplicate_canonical_url', 's': 'warning'}} END,
+         CASE WHEN institution_name = '' THEN {{'t': 'invalid_institution_alias', 's': 'error'}} END,
+         CASE WHEN active AND NOT capable AND method IN ('static_scrape', 'browser_required') THEN {{'t': 'active_missing_collector_capability', 's': 'warning'}} END,
+         CASE WHEN mvp AND off THEN {{'t': 'mvp_active_weekly_disabled', 's': 'error'}} END, CASE WHEN eligible AND NOT mvp THEN {{'t': 'eligible_without_mvp', 's': 'error'}} END,
+         CASE WHEN active AND method = 'browser_required' AND mode <> 'production_weekly' THEN {{'t': 'browser_source_skipped_from_static_collection', 's': 'warning'}} END,
+         CASE WHEN active AND method = 'manual' THEN {{'t': 'manual_source_skipped_from_automation', 's': 'warning'}} END,
+         CASE WHEN mode = 'blocked_source_watch' AND NOT off THEN {{'t': 'blocked_source_enters_weekly', 's': 'error'}} END] IF x IS NOT NULL]) AS i FROM f)""",
+)
+def registry_lint_full(spark, sf):
+    """The library's own rules over suppliers as a registry with repeated ids and addresses."""
+    k = F.col("s_suppkey")
+    yes = lambda c: F.when(c, "yes").otherwise("")
+    pick = lambda values, by: F.element_at(F.array(*map(F.lit, values)), (by % len(values)).cast("int") + 1)
+    s = table(spark, sf, "supplier").join(F.broadcast(table(spark, sf, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).select(
+        F.floor(k / 2).cast("string").alias("source_id"), F.lit("i").alias("institution_id"), F.when(k % 9 == 0, "").otherwise(F.col("n_name")).alias("institution_name"),
+        F.concat(F.lit("https://a.org/"), F.floor(k / 3).cast("string"), F.when(k % 2 == 0, "/").otherwise("")).alias("url"), yes(k % 2 == 0).alias("active"), yes(k % 4 < 2).alias("mvp_active"), yes(k % 3 == 0).alias("claude_eligible"),
+        pick(("static_scrape", "manual", "browser_required", "api"), k).alias("collection_method"), pick(("blocked_source_watch", "production_weekly", "", "", ""), k).alias("monitoring_mode"),
+        F.when(k % 7 == 0, "False").otherwise("").alias("weekly_collection_enabled"), F.when(k % 3 != 1, "html").otherwise("").alias("collector_capability"),
+    )
+    return lints.registry(s)

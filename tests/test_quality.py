@@ -59,3 +59,30 @@ def test_synthesis(spark):
     assert got["e"].extracted_facts_json == '["z"]' and a.needs_language_review is False
     every = quality.synthesised(df, spark.createDataFrame([], "cluster_id string, response string"), singletons=True, force=True)
     assert every.count() == 5
+
+
+def test_reasons_of_developments(spark):
+    from pyspark.sql import functions as F
+
+    from sparkvane.plans import classify
+
+    cases = [
+        (("Login sayfası", "", "https://a.org/x", "liste"), (False, "Statik Ürün Sayfası")),
+        (("Login sayfası kampanya", "", "https://a.org/x", "Basın"), (True, "Kampanya")),
+        (("Yeni kredi", "", "https://a.org/bireysel-bankacilik/krediler/x", ""), (False, "Statik Ürün Sayfası")),
+        (("Konser", "", "https://a.org/x", ""), (False, "Sosyal Sorumluluk / PR")),
+        (("Esnaf konseri", "yeni bir metin", "https://a.org/x", ""), (False, "Belirsiz")),
+        (("Yeşil tahvil", "", "https://a.org/x", ""), (True, "Ürün / Özellik Gelişmesi")),
+        (("Sade", "x" * 5001 + "kampanya", "https://a.org/x", "Haberler"), (True, "Basın Bülteni")),
+        (("Sade", "", "https://a.org/duyuru", ""), (True, "Haber")),
+        ((None, None, None, None), (False, "Belirsiz")),
+    ]
+    df = spark.createDataFrame([c for c, _ in cases], "t string, b string, u string, s string")
+    got = [r.k for r in df.select(classify.development("t", "b", "u", "s").alias("k")).collect()]
+    assert [(k.is_actual_development, k.development_candidate_type) for k in got] == [w for _, w in cases]
+    why = {(a, n): r for _, a, n, r in classify.KINDS if n != "Ürün / Özellik Gelişmesi"}
+    assert all(k.actual_development_reason == why.get((k.is_actual_development, k.development_candidate_type), k.actual_development_reason) for k in got)
+    assert got[5].actual_development_reason.startswith("Sürdürülebilir finansman") and got[-1].actual_development_reason.startswith("Yeni kampanya, ürün")
+    places = [("Kartlar", "paracard aidatsız", 2), ("POS", "x", 3), ("Paket / Kredi", "SWIFT paketi", 2), ("Yurt dışı / SWIFT", "aynı gün", 2), ("Başka", "x", None)]
+    rows = spark.createDataFrame(places, "b string, t string, p int")
+    assert all(r.p == r.g for r in rows.withColumn("g", classify.fee_place(F.col("b"), F.col("t"))).collect())

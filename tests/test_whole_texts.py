@@ -34,7 +34,7 @@ def test_titles_of_any_length_are_compared(spark, tmp_path):
 
 def test_candidates_beyond_ten_stay(spark, tmp_path):
     links = "".join(f'<a href="/haberler/yeni-kart-duyurusu-{i}">Yeni kart duyurusu {i} Mayıs 2026</a>' for i in range(1, 31))
-    sf = stored(spark, tmp_path, "pages", [(1, "https://x.com/a", f"<html><body><main>{links}</main></body></html>")], "page_id long, url string, html string")
+    sf = stored(spark, tmp_path, "pages", [(1, "https://y.com/a", f"<html><body><main>{links}</main></body></html>")], "page_id long, url string, html string")
     assert catalog.QUERIES["scored_candidates"](spark, sf).count() == 30
 
 
