@@ -23,6 +23,8 @@ CHUNK = 4_000_000
 STEP = 4_000_000
 #: Bits of a parity bitmap.
 BITS = 2048
+#: Bins of letters and of pairs of letters.
+LETTERS, COUPLES = 32, 256
 
 
 def dealt(rows: DataFrame, block: str, size: str, weight: str, shortest: float, chunk: int | None = None) -> DataFrame:
@@ -97,5 +99,15 @@ def sums(mark: np.ndarray, code: np.ndarray, low: np.ndarray, n: np.ndarray) ->
     return np.concatenate(out)
 
 
+def letters(titles: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Counts, for each title, of its letters and of its pairs of adjoining letters, in ``LETTERS`` and ``COUPLES`` bins."""
+    one, two = np.zeros((len(titles), LETTERS), np.int32), np.zeros((len(titles), COUPLES), np.int32)
+    for i, t in enumerate(titles):
+        c = np.frombuffer(t.as_py().encode("utf-32-le"), np.uint32)
+        one[i] = np.bincount(c % LETTERS, minlength=LETTERS)
+        two[i] = np.bincount((c[:-1] * np.uint32(0x9E3779B1) + c[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(24), minlength=COUPLES)
+    return one, two
+
+
 def grouped(rows: DataFrame, block: str, run: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
     return rows.groupBy(block, "left", "right").applyInArrow(run, schema)

@@ -63,3 +63,29 @@ def test_clusters_in_rounds_equal_the_sequential_pass(spark, small, seed):
             used.update(like)
             want |= {(b, i, j) for j in like}
     assert got == want and len(want) > 20
+
+
+def test_titles_in_chunks_lose_no_pair(spark, small):
+    """Titles with edits of all kinds in many chunks, beside strangers; the same title on several days."""
+    import datetime
+
+    r = random.Random(9)
+    rows = []
+    for n in [3, 9, 14, 30, 60, 120, 260]:
+        base = "".join(r.choice("abcçdeğ fghxyz") for _ in range(n - 1)) + "z"
+        for edits in (0, 0, 1, 2, max(1, n // 14), max(1, n // 10)):
+            t = list(base)
+            for _ in range(edits):
+                at = r.randrange(len(t) + 1)
+                t[at : at + r.randint(0, 1)] = r.choice(["", "q", "xy"])
+            rows.append((len(rows), r.choice(["a", "a", "b"]), "".join(t), r.choice([None, datetime.date(2026, 1, 1), datetime.date(2026, 6, 1)])))
+    d = spark.createDataFrame(rows, "id long, block string, t string, d date")
+    first = {}
+    for i, b, t, day in rows:
+        if t:
+            first.setdefault((b, t, day), i)
+    near = lambda x, y: x is None or y is None or abs((x - y).days) <= 60
+    want = {(i, j) for (b, t, x), i in first.items() for (c, u, y), j in first.items() if i < j and b == c and near(x, y) and similar.ratio(t, u) >= 0.92}
+    want |= {(first[b, t, x], i) for i, b, t, x in rows if t and first[b, t, x] != i}
+    got = [(x["a"], x["b"]) for x in similar.fuzzy_pairs(d, "block", "id", "t", "d").collect()]
+    assert set(got) == want and len(got) == len(want) > 10
