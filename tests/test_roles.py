@@ -67,3 +67,9 @@ def test_lookups_layers_and_title_scores(spark):
     assert sorted((r["bucket"], r["n"], r["titles"]) for r in got) == [("cards", 2, "T1; T2"), ("tokens", 1, "T1")]
     t = spark.createDataFrame([("New Card", "new card", ["card", "bank"]), ("a", "", [])], "e string, c string, k array<string>")
     assert [r["score"] for r in similar.title_match(t, "e", "c", "k").collect()] == [0.825, 0.0]
+
+
+def test_roles_of_a_small_file_run_in_many_tasks(spark, sf):
+    from sparkvane.plans import catalog
+
+    assert catalog.QUERIES["content_roles"](spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
