@@ -69,7 +69,8 @@ def test_lookups_layers_and_title_scores(spark):
     assert [r["score"] for r in similar.title_match(t, "e", "c", "k").collect()] == [0.825, 0.0]
 
 
-def test_roles_of_a_small_file_run_in_many_tasks(spark, sf):
+@pytest.mark.parametrize("name", ["content_roles", "network_signals"])
+def test_rules_on_a_small_file_run_in_many_tasks(spark, sf, name):
     from sparkvane.plans import catalog
 
-    assert catalog.QUERIES["content_roles"](spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert catalog.QUERIES[name](spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
