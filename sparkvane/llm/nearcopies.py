@@ -9,8 +9,9 @@ search by radius reaches. So the fingerprints' links (3 bits, by BK-trees) give
 first pairs, each verified, and tie most copies cheaply. The rest are found without loss: in any one
 order of all shingles, linked sets share one of their first n - ceil(0.8 n) + 1, so documents
 meet on those alone, and sizes and places rule out most before texts are compared. The order puts
-shingles that are common in a sample of documents last, so shared lines seldom make documents
-meet; which ones they are changes the work, never the result.
+common shingles last, by powers of two, so shared lines seldom make documents meet: first those that are common in
+a sample of documents, then, in rounds, those on which ``CROWD`` or more sets still meet in the whole
+corpus, as a sample of constant size misses ever larger ones. Which they are changes the work, never the result.
 
 Before texts move, pairs are held against parity bitmaps of about a bit a shingle: each shingle flips
 one bit, so two bitmaps differ in no more bits than the sets have shingles apart, which at this
@@ -39,8 +40,12 @@ SHINGLE = 5
 SEED = 42
 #: Documents sampled for common shingles, the least count there, and the most that are kept.
 SAMPLE, LEAST, MOST = 2_000, 3, 200_000
-#: Cells that the ids of candidate pairs are hashed to.
+#: Sets that may meet on one shingle before it is put later, and the rounds in which that is done.
+CROWD, ROUNDS = 32, 2
+#: Cells that ids are hashed to where texts are asked for.
 CELLS = 1 << 20
+#: Common shingles, sorted, and how late each comes.
+Often = tuple[np.ndarray, np.ndarray]
 
 
 def hashes(raw: bytes) -> np.ndarray:
@@ -53,15 +58,26 @@ def shingles(raw: bytes) -> np.ndarray:
     return np.unique(hashes(raw).view(np.int64))
 
 
-def prefix(found: np.ndarray, common_ones: np.ndarray) -> np.ndarray:
+def prefix(found: np.ndarray, often: Often) -> np.ndarray:
     """The first shingles of a set, in the order that puts common ones last."""
-    n = len(found)
-    late = np.isin(found, common_ones, assume_unique=True)
-    return np.concatenate([found[~late], found[late]])[: n - (4 * n + 4) // 5 + 1] if n else found
+    n, (ones, levels) = len(found), often
+    if not n:
+        return found
+    level = np.zeros(n, np.int8)
+    if len(ones):
+        at = np.minimum(np.searchsorted(ones, found), len(ones) - 1)
+        level = np.where(ones[at] == found, levels[at], level)
+    return found[np.argsort(level, kind="stable")][: n - (4 * n + 4) // 5 + 1]
 
 
-def common_shingles(docs: DataFrame) -> np.ndarray:
-    """Shingles of several documents of a sample of constant size."""
+def ranked(counts: dict[int, float]) -> Often:
+    """Shingles with the power of two of their counts, one at least."""
+    ones = np.array(sorted(counts), np.int64)
+    return ones, np.array([max(1, int(np.log2(counts[h]))) for h in ones.tolist()], np.int8)
+
+
+def common_shingles(docs: DataFrame) -> dict[int, float]:
+    """Shingles of several documents of a sample of constant size, with the number of documents that this makes likely."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,15 +85,15 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
                 for raw in common.bytes_of(part):
                     yield pa.RecordBatch.from_arrays([pa.array(shingles(raw))], names=["h"])
 
-    sample = docs.select("text").sample(min(1.0, SAMPLE / max(docs.count(), 1)), seed=SEED)
+    share = min(1.0, SAMPLE / max(docs.count(), 1))
+    sample = docs.select("text").sample(share, seed=SEED)
     each = sample.mapInArrow(common.tidy(run), "h long")
     often = each.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST).orderBy(F.desc("n"), "h").limit(MOST)
-    return np.sort(np.array([r["h"] for r in often.select("h").collect()], np.int64))
+    return {r["h"]: r["n"] / share for r in often.collect()}
 
 
-def prefixes(docs: DataFrame) -> DataFrame:
+def prefixes(docs: DataFrame, often: Often) -> DataFrame:
     """(doc_id, fp, n, digest, bits, keys): fingerprint; size, digest, parity bitmap and first shingles of each set."""
-    often = common_shingles(docs)
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("digest", pa.binary()), ("bits", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,6 +114,42 @@ def prefixes(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(common.tidy(run), "doc_id long, fp long, n int, digest binary, bits binary, keys array<long>")
 
 
+def uncrowded(docs: DataFrame, nodes: DataFrame, counts: dict[int, float]) -> DataFrame:
+    """The sets (rep, digest, keys, ...) with first shingles on which few others meet, as far as they have such.
+
+    A round counts the sets on each first shingle, puts the crowded ones later and takes the first shingles of
+    the sets that held one anew. A set that held none keeps its own: the new order has the same ones first.
+    """
+    for _ in range(ROUNDS):
+        held = nodes.select(F.explode("keys").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= CROWD)
+        found = {r["h"]: r["n"] for r in held.orderBy(F.desc("n"), "h").limit(MOST).collect()}
+        fresh = [h for h in found if h not in counts]
+        fresh = fresh[: 2 * MOST - len(counts)]  # what is broadcast stays bounded
+        if not fresh:
+            break
+        counts = counts | {h: found[h] for h in fresh}
+        crowd, often = np.array(sorted(fresh), np.int64), ranked(counts)
+
+        def run(batches: Iterator[pa.RecordBatch], crowd: np.ndarray = crowd) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys = batch.column(1)
+                flat = keys.flatten().to_numpy(zero_copy_only=False)
+                ends = np.concatenate([[0], np.cumsum(np.isin(flat, crowd))])
+                at = keys.offsets.to_numpy() - keys.offsets[0].as_py()
+                yield batch.select([0]).filter(pa.array(ends[at[1:]] > ends[at[:-1]]))
+
+        cells = nodes.select("rep", "keys").mapInArrow(common.tidy(run), "rep long").select(_cell("rep")).distinct()
+        texts = docs.join(F.broadcast(cells), _cell("doc_id") == F.col("cell"), "left_semi")
+        anew = prefixes(texts, often).groupBy("digest").agg(F.any_value("keys").alias("anew"))
+        nodes = common.materialise(nodes.join(anew, "digest", "left").withColumn("keys", F.coalesce("anew", "keys")).drop("anew"), "nodes")
+    return nodes
+
+
+def _cell(doc_id: str) -> Column:
+    """The cell that an id is hashed to: at most CELLS of them are broadcast, however many ids there are."""
+    return F.pmod(F.xxhash64(doc_id), F.lit(CELLS)).alias("cell")
+
+
 def parity(found: np.ndarray) -> bytes:
     """A bitmap of at least a bit a shingle, and 256; each shingle flips the bit of its lowest digits."""
     size = max(256, 1 << max(len(found) - 1, 0).bit_length())
@@ -146,10 +198,9 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
                     keep.append(9 * len(np.intersect1d(s, t, assume_unique=True)) >= 4 * (len(s) + len(t)))
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    # texts move only where an id falls in a cell that some pair's id falls in: at most CELLS cells are broadcast
-    cell = F.pmod(F.xxhash64("doc_id"), F.lit(CELLS)).alias("cell")
-    cells = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).select(cell).distinct()
-    texts = docs.select("doc_id", "text", cell).join(F.broadcast(cells), "cell", "left_semi").select("doc_id", "text")
+    # texts move only where an id falls in a cell that some pair's id falls in
+    cells = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).select(_cell("doc_id")).distinct()
+    texts = docs.select("doc_id", "text", _cell("doc_id")).join(F.broadcast(cells), "cell", "left_semi").select("doc_id", "text")
     one = pairs.join(texts.withColumnRenamed("doc_id", "a"), "a")
     both = one.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), "b")
     return common.materialise(both.select("a", "b", "text", "other").mapInArrow(common.tidy(run), "a long, b long").distinct(), "links")
@@ -172,9 +223,10 @@ def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id and component_id (the smallest doc_id that links lead to) of every row with a doc_id."""
-    sets = common.materialise(prefixes(docs), "prefixes")
+    counts = common_shingles(docs)
+    sets = common.materialise(prefixes(docs, ranked(counts)), "prefixes")
     nodes = sets.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits"), F.any_value("keys").alias("keys"))
-    nodes = common.materialise(nodes.drop("digest"), "nodes")
+    nodes = uncrowded(docs, common.materialise(nodes, "nodes"), counts).drop("digest")
     links = verified(docs, nodes, fingerprint_pairs(nodes))
     found = components.components(links)
 

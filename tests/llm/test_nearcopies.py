@@ -51,6 +51,26 @@ def test_groups_equal_brute_force(docs_of, sample, copies, monkeypatch, least):
     assert kept < {r["doc_id"] for r in simhash.deduplicate(docs_of(texts), size=5).collect()}
 
 
+def test_a_line_that_the_sample_missed_makes_few_documents_meet(docs_of, copies, monkeypatch):
+    monkeypatch.setattr(nearcopies, "LEAST", 10**6)  # the sample finds no common shingles
+    monkeypatch.setattr(nearcopies, "CROWD", 8, raising=False)
+    line = " ".join(f"often{i}" for i in range(20))
+    texts = [line + " " + " ".join(f"w{i}x{j}" for j in range(200)) for i in range(60)]
+    met, write = [], nearcopies.common.materialise
+
+    def spy(df, name, *rest):
+        out = write(df, name, *rest)
+        if name == "rest":
+            sizes = [r["count"] for r in out.groupBy("h").count().collect()]
+            met.append(sum(n * (n - 1) // 2 for n in sizes))
+        return out
+
+    monkeypatch.setattr(nearcopies.common, "materialise", spy)
+    got = {r["doc_id"]: r["component_id"] for r in nearcopies.groups(docs_of(texts + copies)).collect()}
+    assert [got[i] for i in range(len(got))] == brute_groups(texts + copies)
+    assert met[0] < 60 * 59 // 2  # fewer than the pairs on one shingle of the line
+
+
 def test_odd_rows(spark, docs_of):
     d = spark.createDataFrame([(5, "a b c d e f"), (5, "x y"), (3, "A b c d e f"), (9, "x  y"), (None, "x y"), (7, None), (8, ""), (12, "z")], "doc_id long, text string")
     assert sorted((r["doc_id"], r["component_id"]) for r in nearcopies.groups(d).collect()) == [(3, 3), (5, 3), (7, 7), (8, 7), (9, 3), (12, 12)]
