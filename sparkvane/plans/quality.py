@@ -43,8 +43,11 @@ def language_report(rows: DataFrame, worst: int = 10) -> DataFrame:
     """
     t = text("text")
     shown = rows.where(clean("text") != "").select("file", "id", F.substring(text("title"), 1, 160).alias("title"), t.alias("text"))
-    counts = {"formal_suffixes": F.regexp_count("text", F.lit("(?iuU)" + FORMAL_SUFFIX)), "obligations": F.regexp_count("text", F.lit("(?iuU)" + OBLIGATION))}
-    scored = once(shown.select("file", "id", "title", lint.full("text").alias("lint"), *(c.alias(n) for n, c in counts.items()), F.array(*[occurrences("text", p) for p in REPORTED]).alias("phrases")))
+    counted = {"formal_suffixes": FORMAL_SUFFIX, "obligations": OBLIGATION}
+    shown = once(shown.select("file", "id", "title", *(c.alias("_" + n) for n, c in lint.readings("text").items())))
+    t = {n: F.col("_" + n) for n in ("text", "folded", "plain")}
+    counts = {n: lint.found(t, p) for n, p in counted.items()}
+    scored = once(shown.select("file", "id", "title", lint.full(t).alias("lint"), *(c.alias(n) for n, c in counts.items()), F.array(*[occurrences(t["folded"], p, folded=True) for p in REPORTED]).alias("phrases")))
     flags = [F.count("*").alias("rows_scanned"), F.count_if("lint.needs_review").alias("needs_review"), F.count_if("lint.needs_rewrite").alias("needs_rewrite"), *(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in counts)]
     sums = scored.agg(*flags, *(F.coalesce(F.sum(F.col("phrases")[i]), F.lit(0)).alias(f"phrase_{i}") for i in range(len(REPORTED))))
     long = sums.unpivot([], [F.col(c).cast("long").alias(c) for c in sums.columns], "name", "value")

@@ -230,3 +230,19 @@ def test_feed(spark):
     approved = queue.select("recent_item_id", "summary_id")
     once = feed.publish(approved.limit(0).withColumn("development_id", F.lit("")), approved, "x", "now")
     assert once.count() == 1 and feed.publish(once, approved, "x", "later").count() == 1
+
+
+def test_guarded_patterns_count_as_the_patterns_alone(spark):
+    from pyspark.sql import functions as F
+
+    words = ["yapmaktadır", "YAPMAKTADIR", "yapmaktadir", "YAPMAKTADİR", "maktadır", "maktadırlar", "gereklidir", "GEREKLİDİR", "gere\u212al\u0131dir", "bulunmaktadır", "\u017funulmaktadır", "açısından", "AÇISINDAN", "müştdilde", "ifade edilmektedir", "olmalıdır"]
+    d = spark.createDataFrame([(" ".join(words[i:j]),) for i in range(len(words)) for j in (i + 1, len(words))] + [("",), (None,)], "t string")
+    patterns = [p for p, _, _ in lint.PATTERNS] + [rf"\b{f}\b" for f in lint.FILLERS]
+    alone = [F.regexp_count(F.coalesce("t", F.lit("")), F.lit("(?iuU)" + p)) for p in patterns]
+    got = d.select(F.array(*[lint.found(lint.readings("t"), p) for p in patterns]).alias("a"), F.array(*alone).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in got) and all(any(r["b"][i] for r in got) for i in range(4))
+
+
+def test_the_lint_folds_a_text_once(spark):
+    plan = spark.createDataFrame([("a",)], "t string").select(lint.full("t").alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("lower(") <= 2
