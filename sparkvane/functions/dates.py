@@ -29,20 +29,17 @@ _ENGLISH = "|".join(f"{m[:3]}(?:{m[3:]})?" if len(m) > 3 else m for m in ENGLISH
 _SEP = r"\s*[-–]\s*"
 
 
+def _number(names: dict[str, int], name: Column) -> Column:
+    """The number of a month's name, null if it is none; the name, often a pattern over a long text, is computed once."""
+    return F.element_at(F.create_map(*(F.lit(x) for n, i in names.items() for x in (n, str(i)))), name)
+
+
 def _month(name: Column) -> Column:
-    n = F.lower(name)
-    out = F.lit(None).cast("string")
-    for i, pair in reversed(list(enumerate(MONTHS, 1))):
-        out = F.when(n.isin(*pair), F.lit(str(i))).otherwise(out)
-    return out
+    return _number({n: i for i, pair in enumerate(MONTHS, 1) for n in pair}, F.lower(name))
 
 
 def _english_month(name: Column) -> Column:
-    n = F.substring(F.lower(name), 1, 3)
-    out = F.lit(None).cast("string")
-    for i, m in enumerate(ENGLISH, 1):
-        out = F.when(n == m[:3], F.lit(str(i))).otherwise(out)
-    return out
+    return _number({m[:3]: i for i, m in enumerate(ENGLISH, 1)}, F.substring(F.lower(name), 1, 3))
 
 
 def date_of(year: Column, month: Column, day: Column) -> Column:

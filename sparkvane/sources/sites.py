@@ -15,10 +15,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkvane.functions import dates, urls
-from sparkvane.functions.text import matches, squeeze, text, title_from_slug
-from sparkvane.operators.rows import once
+from sparkvane.functions.text import matches, matches_plain, plain, plain_pattern, squeeze, text, title_from_slug
+from sparkvane.operators.rows import once, spread
 from sparkvane.plans import roles
+from sparkvane.plans.cascade import bound
 from sparkvane.sources import html, selectors
+from sparkvane.sources.tables import staged
 
 #: Programs that rules name; the texts of the second table's elements are needed.
 SCOPES = {"main": "main", "content": ".content", "press result": "#pressReleaseResultContent", "reports": ".content-reports", "detail link": ".content-box--press-bulletin a.content-box__detail-link[href]"}
@@ -192,12 +194,22 @@ def rule_table(spark: SparkSession, rules: tuple[Rule, ...] = RULES) -> DataFram
     return spark.createDataFrame([(*(getattr(r, n) for n in names), i) for i, r in enumerate(rules)], schema)
 
 
-def _has(c: Column, pattern: str) -> Column:
-    """Whether the rule's pattern is found, without case; an empty pattern is found nowhere."""
-    p = F.col(f"rule_{pattern}")
+def _found(c: Column, p: Column) -> Column:
+    """Whether a pattern that is a column is found, without case; an empty pattern is found nowhere."""
     return (p != "") & F.coalesce(F.rlike(c, F.concat(F.lit("(?iuU)"), F.when(p == "", "$^").otherwise(p))), F.lit(False))
 
 
+def _has(c: Column, pattern: str) -> Column:
+    """Whether the rule's pattern is found."""
+    return _found(c, F.col(f"rule_{pattern}"))
+
+
+def _in_blob(pattern: str) -> Column:
+    """Whether the rule's pattern is found in the blob, by its plain reading where it has one."""
+    p, read = F.col(f"rule_{pattern}"), F.col(f"plain_{pattern}")
+    return (p != "") & F.when(read.isNull(), _has(F.col("blob"), pattern)).otherwise(F.coalesce(F.rlike("plain_blob", read), F.lit(False)))
+
+
 def _relevant(title: Column, url: Column, body: Column) -> Column:
     """The gate of small-business relevance on the path, the title and the first 700 characters around it."""
     blob = squeeze(F.concat_ws(" ", F.translate(urls.path(url), "-", " "), title, F.substring(body, 1, 700)))
@@ -206,13 +218,17 @@ def _relevant(title: Column, url: Column, body: Column) -> Column:
 
 def worth_publishing(kind: Column, title: Column, blob: Column) -> Column:
     """Whether a publisher's article concerns payments of businesses; blob: its title, context and path."""
+    return bound({"title": title, "blob": blob, "read": plain(blob)}, lambda b: _worth(kind, **b))
+
+
+def _worth(kind: Column, title: Column, blob: Column, read: Column) -> Column:
     raised = matches(title, _RAISES) & ~matches(title, _RAISED_FOR)
     external = kind == "external"
-    common = ~(matches(blob, PUBLISHER_NOISE) & ~matches(blob, _NOISE_BUT)) & ~(matches(blob, _CONSUMER) & ~matches(blob, _BUSINESS))
+    common = ~(matches_plain(read, PUBLISHER_NOISE) & ~matches_plain(read, _NOISE_BUT)) & ~(matches_plain(read, _CONSUMER) & ~matches_plain(read, _BUSINESS))
     return (
-        F.when(~matches(blob, PUBLISHER_RELEVANT), False)
-        .when(external & (~matches(blob, PUBLISHER_STRONG) | raised), False)
-        .when(kind == "partners", ~matches(blob, _LISTED) & matches(blob, _PARTNER))
+        F.when(~matches_plain(read, PUBLISHER_RELEVANT), False)
+        .when(external & (~matches_plain(read, PUBLISHER_STRONG) | raised), False)
+        .when(kind == "partners", ~matches_plain(read, _LISTED) & matches_plain(read, _PARTNER))
         .when((kind == "council") & F.lower(blob).contains("european payments council"), True)
         .otherwise(common)
     )
@@ -236,19 +252,23 @@ def _english_title(c: Column) -> Column:
 
 
 def ruled(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """page_id and the first rule of each page (page_id, url, source_id) that has one."""
-    by_host = (F.col("rule_host") != "") & _has(urls.netloc("url"), "host") & _has(urls.path("url"), "page")
-    by_source = F.array_contains(F.split("rule_sources", r"\|"), F.col("source_id")) & (F.col("rule_sources") != "")
-    joined = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("source_id").cast("string"), F.lit("")).alias("source_id")).join(F.broadcast(rules), by_host | by_source)
-    best = joined.groupBy("page_id").agg(F.min("rule_order").alias("rule_order"))
-    return best.join(F.broadcast(rules), "rule_order")
+    """The pages (page_id, url, source_id, ...) that have a rule, with the order of the first they have.
+
+    The rules go along as one row, so a page is judged where it is read and nothing is joined by page.
+    """
+    asked = rules.agg(F.array_sort(F.collect_list(F.struct("rule_order", "rule_host", "rule_page", F.split("rule_sources", r"\|").alias("sources")))).alias("_rules"))
+    known = pages.withColumns({"_host": urls.netloc("url"), "_path": urls.path("url"), "_source": F.coalesce(F.col("source_id").cast("string"), F.lit(""))})
+    by_host = lambda r: (r["rule_host"] != "") & _found(F.col("_host"), r["rule_host"]) & _found(F.col("_path"), r["rule_page"])
+    first = F.get(F.filter("_rules", lambda r: by_host(r) | ((F.col("_source") != "") & F.array_contains(r["sources"], F.col("_source")))), F.lit(0))["rule_order"]
+    return once(known.crossJoin(F.broadcast(asked)).withColumn("rule_order", first).drop("_rules", "_host", "_path", "_source")).where(F.col("page_id").isNotNull() & F.col("rule_order").isNotNull())
 
 
 def adapted(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """page_id, url, title, score, reason, date: the items of pages (page_id, url, html, source_id) by the rules of their sites."""
     rules = rules if rules is not None else rule_table(pages.sparkSession)
-    found = selectors.anchors(pages, SCOPES | CARDS, frozenset(CARDS))
-    rows = found.join(ruled(pages, rules), "page_id")
+    found = selectors.anchors(ruled(pages, rules), SCOPES | CARDS, frozenset(CARDS), also=("rule_order",))
+    read = rules.withColumns({f"plain_{c}": plain_pattern(F.col(f"rule_{c}")) for c in ("positive", "negative", "unless", "more", "yet_more")})
+    rows = found.join(F.broadcast(read), "rule_order")
     split = lambda c: F.split(c, r"\|")
     around = F.transform("cards", lambda c: c["name"])
     # the first of the rule's scopes that the page has; an empty name is the whole page
@@ -291,7 +311,9 @@ def adapted(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     joined = lambda names: squeeze(F.concat_ws(" ", *[F.when(F.array_contains(split(names), n), c) for n, c in places.items()]))
     rows = once(rows.withColumn("blob", joined("rule_blob")))
     spoken = F.when(F.col("rule_date") == "card", F.col("around")).when(F.col("rule_date") == "title|path", F.concat_ws(" ", "dated_title", F.translate(path, "-", " "))).otherwise(F.concat_ws(" ", "dated_title", "blob"))
-    rows = once(rows.withColumn("written", first_date(spoken)).withColumn("pictured", F.array_join("images", " ")))
+    # a date is looked for where the rule asks for one
+    asked = F.col("rule_date").isin("blob", "card", "title|path") | F.col("rule_or_dated")
+    rows = once(rows.withColumn("written", F.when(asked, first_date(spoken)).otherwise("")).withColumn("pictured", F.array_join("images", " ")).withColumn("plain_blob", plain("blob")))
     six, month = r"([0-3]\d)([01]\d)(2[0-9])", r"/(20\d{2})/([01]\d)/"
     assets = F.col("pictured")
     asset = F.when(F.regexp_extract(assets, six, 1) != "", dates.date_of(F.concat(F.lit("20"), F.regexp_extract(assets, six, 3)), F.regexp_extract(assets, six, 2), F.regexp_extract(assets, six, 1))).otherwise(dates.date_of(F.regexp_extract(assets, month, 1), F.regexp_extract(assets, month, 2), F.lit("1")))
@@ -300,12 +322,12 @@ def adapted(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     rows = once(rows.withColumn("local_date", local))
     day = F.when(how == "assets", asset).when(how == "english", F.coalesce(dates.english("context"), dates.dated_slug("link"))).otherwise(dates.turkish("local_date"))
     rows = once(rows.withColumn("date", day))
-    wanted_word = (F.col("rule_positive") == "") | _has(F.col("blob"), "positive") | (F.col("rule_or_dated") & (F.col("written") != ""))
-    excused = F.when(F.col("rule_unless_on") == "title", _has(F.col("title"), "unless")).when(F.col("rule_unless_on") == "title|path", _has(F.concat_ws(" ", "title", F.translate(path, "-", " ")), "unless")).otherwise(_has(F.col("blob"), "unless"))
-    unwanted = (_has(F.col("blob"), "negative") | (F.col("rule_negative_link") & html.negative_link(F.col("title"), F.col("link")))) & ~excused
+    wanted_word = (F.col("rule_positive") == "") | _in_blob("positive") | (F.col("rule_or_dated") & (F.col("written") != ""))
+    excused = F.when(F.col("rule_unless_on") == "title", _has(F.col("title"), "unless")).when(F.col("rule_unless_on") == "title|path", _has(F.concat_ws(" ", "title", F.translate(path, "-", " ")), "unless")).otherwise(_in_blob("unless"))
+    unwanted = (_in_blob("negative") | (F.col("rule_negative_link") & html.negative_link(F.col("title"), F.col("link")))) & ~excused
     gated = F.col("rule_gate") & ~_has(path, "gate_not_on") & ~_relevant(F.col("title"), F.col("link"), F.coalesce("card.text", F.lit("")))
     rows = rows.where(wanted_word & ~unwanted & ~gated & (F.length("title") >= F.col("rule_shortest")))
-    points = F.col("rule_score") + F.when(F.col("date").isNotNull(), F.col("rule_dated")).otherwise(0) + F.when(_has(F.col("blob"), "more"), F.col("rule_more_points")).otherwise(0) + F.when(_has(F.col("blob"), "yet_more") | _has(path, "yet_more"), F.col("rule_yet_more_points")).otherwise(0)
+    points = F.col("rule_score") + F.when(F.col("date").isNotNull(), F.col("rule_dated")).otherwise(0) + F.when(_in_blob("more"), F.col("rule_more_points")).otherwise(0) + F.when(_in_blob("yet_more") | _has(path, "yet_more"), F.col("rule_yet_more_points")).otherwise(0)
     points = points + F.when(F.substring_index("rule_name", " ", 1) == "visa_relevant", html.link_score(F.col("title"), F.col("link"))["score"]).otherwise(0)
     rows = once(rows.withColumn("score", points))
 
@@ -334,11 +356,16 @@ def adapted(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
 
 
 def items(pages: DataFrame, k: int = 50) -> DataFrame:
-    """The items of stored pages: by the rules of their sites, else the general candidates."""
-    own = adapted(pages)
-    general = html.candidates(html.links(pages), k).join(own.select("page_id").distinct(), "page_id", "left_anti")
+    """The items of stored pages: by the rules of their sites, else the general candidates.
+
+    The rules' items are written first, so that only the pages without any are parsed for general candidates.
+    """
+    own = staged(adapted(spread(pages)), "site-items")
+    rest = pages.join(own.select(F.col("page_id").alias("_own")).distinct(), F.col("page_id").cast("long") == F.col("_own"), "left_anti")
+    general = html.candidates(html.links(spread(rest)), k)
     # the pages of two sources list campaigns and downloads only
-    kept = general.join(F.broadcast(pages.where(F.col("source_id").isin("REG-011", "REG-012")).select(F.col("page_id").cast("long").alias("page_id"), F.lit(True).alias("_listed"))), "page_id", "left")
+    listed = rest.where(F.col("source_id").isin("REG-011", "REG-012")).select(F.col("page_id").cast("long").alias("page_id"), F.lit(True).alias("_listed")).distinct()
+    kept = general.join(listed, "page_id", "left")
     kept = kept.where(F.col("_listed").isNull() | matches(urls.path("url"), r"/kampanyalar/detay/\d+|/medium/file/.+/download/?$"))
     return own.unionByName(kept.select(*own.columns))
 
