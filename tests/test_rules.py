@@ -246,3 +246,24 @@ def test_guarded_patterns_count_as_the_patterns_alone(spark):
 def test_the_lint_folds_a_text_once(spark):
     plan = spark.createDataFrame([("a",)], "t string").select(lint.full("t").alias("x"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("lower(") <= 2
+
+
+def test_development_seeks_words_in_one_plain_reading(spark):
+    """Signals are what the patterns alone find, in any letters; a pattern runs over the text only where gaps ask for it."""
+    from pyspark.sql import functions as F
+
+    from sparkvane.functions.text import contains_plain, literal_words, plain
+
+    literal = [p for p in (*classify.PATTERNS.values(), classify.SOCIAL, classify.SMALL_BUSINESS) if p not in classify.ASKED]
+    words = sorted({w for p in literal for w in p.strip("()").split("|")})
+    turns = (str, str.upper, str.title, lambda w: w.replace("i", "İ").replace("s", "ſ").replace("k", "K"), lambda w: w.replace("i", "ı"), lambda w: w[1:])
+    d = spark.createDataFrame([(f"x\n{f(w)}y",) for w in words for f in turns] + [("",)], "t string")
+    found, alone = F.array(*[contains_plain(plain("t"), literal_words(p)) for p in literal]), F.array(*[F.rlike("t", F.lit("(?iuU)" + p)) for p in literal])
+    assert all(literal_words(p) for p in literal) and d.where(~found.eqNullSafe(alone)).count() == 0
+    assert literal_words(classify.GREEN_FINANCE) == [] and literal_words(r"\bpos\b") == [] and literal_words("(softpos|pos)") == ["pos"]
+    rows = spark.createDataFrame([(1, "YİL", "YEŞİL bir KREDİ"), (2, "x", "yeşil\nkredi"), (3, "x", "sürdürülebilir yeni swap"), (4, "konser", "yeşil tahvil"), (5, "konser", "x"), (6, None, None), (7, "x", "Kampanya")], "i int, t string, b string")
+    got = {r.i: r.k.development_candidate_type for r in rows.select("i", classify.development("t", "b", F.lit("https://a.org/x").alias("u"), F.lit("liste")).alias("k")).collect()}
+    green, social, none = classify.KINDS[6][2], classify.KINDS[1][2], classify.UNCLEAR[0]
+    assert got == {1: green, 2: none, 3: green, 4: green, 5: social, 6: none, 7: "Kampanya"}
+    plan = rows.select(classify.development("t", "b", "t", "b").alias("k"))._jdf.queryExecution().analyzed().toString()
+    assert plan.upper().count("RLIKE") <= 4
