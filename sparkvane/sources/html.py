@@ -22,6 +22,8 @@ from sparkvane.plans.cascade import all_reasons, first_row, holds
 _SKIP = {"script", "style", "noscript", "svg", "template"}
 _FURNITURE = {"nav", "header", "footer", "aside", "form"}
 _BREAK = {"p", "div", "li", "br", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "ul", "ol", "table", "main", "title"}
+#: So many pages are parsed before their rows are handed on.
+PAGES_AT_ONCE = 64
 _VOID = {"br", "img", "input", "meta", "link", "hr", "area", "base", "col", "embed", "source", "track", "wbr"}
 
 
@@ -41,6 +43,10 @@ class _Page(HTMLParser):
         self._anchor: list | None = None
         self._json: list[str] | None = None
 
+    def updatepos(self, i, j):
+        """Lines are not counted: no position is asked for."""
+        return j
+
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
         if tag == "meta":
@@ -127,11 +133,18 @@ def clean_text(html: str | None, shortest: int = 1) -> tuple[str, str]:
     return _flat(page.title), "\n".join(seen)
 
 
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of ``PAGES_AT_ONCE`` pages: of a batch, which may hold 10,000 pages, so many at once become Python texts and rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PAGES_AT_ONCE):
+            yield batch.slice(at, PAGES_AT_ONCE)
+
+
 def clean_pages(pages: DataFrame, shortest: int = 1) -> DataFrame:
     """page_id, title, body of stored pages (page_id, html)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             done = [clean_text(h, shortest) for h in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _ in done], pa.string()), pa.array([b for _, b in done], pa.string())], names=["page_id", "title", "body"])
 
@@ -145,7 +158,7 @@ def links(pages: DataFrame) -> DataFrame:
     """Anchors of stored pages (page_id, url, html) with text, the heading above them and whether they stand in a menu."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             out: list[tuple] = []
             for page_id, url, html in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 for i, (href, words, title, heading, furniture) in enumerate(parse(html).links):

@@ -162,3 +162,38 @@ def test_duplicate_owners_and_alias_join(spark):
     right = spark.createDataFrame([("Qnb Finansbank", 1), ("ing", 2)], "who string, v int")
     left = spark.createDataFrame([("QNB",), ("ING",), ("x",), (None,)], "n string")
     assert sorted(((x.n, x.v) for x in institutions.alias_join(left, right, "n", "who").collect()), key=repr) == sorted([("QNB", 1), ("ING", 2), ("x", None), (None, None)], key=repr)
+
+
+def test_pages_of_a_batch_are_parsed_in_slices(spark):
+    """However many pages an Arrow batch holds, few at once become Python texts and rows; none is lost."""
+    import pyarrow as pa
+
+    from sparkvane.sources import html, selectors
+
+    class Asked:
+        """Takes the function that would run over the batches."""
+
+        def __init__(self, df):
+            self.df = df
+
+        def select(self, *columns):
+            return Asked(self.df.select(*columns))
+
+        def __getattr__(self, name):
+            return getattr(self.df, name)
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    n = 1000
+    pages = Asked(spark.createDataFrame([], "page_id long, url string, html string, source_id string"))
+    ids, url, text = pa.array(range(n), pa.int64()), pa.array(["https://a.org/"] * n), pa.array([f'<p><a href="/{i}">t{i}</a>' for i in range(n - 1)] + [None])
+    wide = pa.RecordBatch.from_arrays([ids, url, pa.nulls(n, pa.string()), text], names=["page_id", "base", "source_id", "html"])
+    for run, batch, kept in (
+        (html.links(pages), wide.select(["page_id", "base", "html"]), n - 1),
+        (html.clean_pages(pages), wide.select(["page_id", "html"]), n),
+        (selectors.anchors(pages, {"p": "p"}), wide, n - 1),
+    ):
+        out = list(run(iter([batch])))
+        assert [i for b in out for i in b.column(0).to_pylist()] == list(range(kept))
+        assert max(b.num_rows for b in out) <= html.PAGES_AT_ONCE
