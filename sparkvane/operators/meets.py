@@ -23,8 +23,10 @@ CHUNK = 4_000_000
 STEP = 4_000_000
 #: Bits of a parity bitmap.
 BITS = 2048
-#: Bins of letters and of pairs of letters.
-LETTERS, COUPLES = 32, 256
+#: Bins of letters, and words of 64 bits that hold their counts at most.
+LETTERS, WORDS = 32, 8
+#: Rows whose bitmaps are built in one step, by their bits together.
+CELLS = 1 << 23
 
 
 def dealt(rows: DataFrame, block: str, size: str, weight: str, shortest: float, chunk: int | None = None) -> DataFrame:
@@ -99,14 +101,86 @@ def sums(mark: np.ndarray, code: np.ndarray, low: np.ndarray, n: np.ndarray) ->
     return np.concatenate(out)
 
 
-def letters(titles: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Counts, for each title, of its letters and of its pairs of adjoining letters, in ``LETTERS`` and ``COUPLES`` bins."""
-    one, two = np.zeros((len(titles), LETTERS), np.int32), np.zeros((len(titles), COUPLES), np.int32)
-    for i, t in enumerate(titles):
-        c = np.frombuffer(t.as_py().encode("utf-32-le"), np.uint32)
-        one[i] = np.bincount(c % LETTERS, minlength=LETTERS)
-        two[i] = np.bincount((c[:-1] * np.uint32(0x9E3779B1) + c[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(24), minlength=COUPLES)
-    return one, two
+def characters(titles: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(characters of all titles, one after the other, offsets)."""
+    texts = titles.to_pylist()
+    return np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), np.append(0, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts))))
+
+
+def letters(codes: np.ndarray, ends: np.ndarray, rows: int = 2_000) -> np.ndarray:
+    """Counts, for each title, of its letters in ``LETTERS`` bins."""
+    out = np.zeros((len(ends) - 1, LETTERS), np.int32)
+    for a in range(0, len(out), rows):
+        e = ends[a : a + rows + 1]
+        cell = np.repeat(np.arange(len(e) - 1) * LETTERS, np.diff(e)) + codes[e[0] : e[-1]] % LETTERS
+        out[a : a + rows] = np.bincount(cell, minlength=(len(e) - 1) * LETTERS).reshape(-1, LETTERS)
+    return out
+
+
+def levels(counts: np.ndarray) -> np.ndarray:
+    """Bits of each row, a word of 64 to a row of the result: whether a count reaches a level, for the levels that part the rows most.
+    Two rows differ in no more bits than their counts do in sum."""
+    bins = [np.unique(c, return_counts=True) for c in counts.T]
+    share = [1 - np.cumsum(k)[:-1] / len(counts) for _, k in bins]
+    split = sorted(((p * (1 - p), b, v) for b, ((at, _), ps) in enumerate(zip(bins, share, strict=True)) for p, v in zip(ps, at[1:], strict=True)), reverse=True)
+    chosen = [x for x in split[: 64 * WORDS] if x[0] > 0.02] or split[:1]
+    bits = np.zeros((len(counts), -(-max(len(chosen), 1) // 64) * 64), bool)
+    for k, (_, b, v) in enumerate(chosen):
+        bits[:, k] = counts[:, b] >= v
+    return np.ascontiguousarray(np.packbits(bits, axis=1).view(np.uint64).T)
+
+
+def grams(codes: np.ndarray, n: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys of the runs of ``q`` characters of texts of ``n`` characters that follow each other, how many each text has): two texts share no
+    fewer keys than they share runs, each as often as both have it."""
+    h = np.zeros(max(len(codes) - q + 1, 0), np.uint32)
+    for k in range(q if len(h) else 0):
+        h *= np.uint32(0x01000193)
+        h += codes[k : len(h) + k]
+    held = np.maximum(n - q + 1, 0)
+    low = np.cumsum(n) - n
+    each = np.sort((np.repeat(np.arange(len(n), dtype=np.uint64), held) << np.uint64(32)) | h[expand(low, held)])
+    first = starts(each)
+    keys = each.astype(np.uint32)
+    keys += np.uint32(0x9E3779B1) * (np.arange(len(each)) - np.repeat(first, np.diff(first, append=len(each)))).astype(np.uint32)
+    keys ^= keys >> np.uint32(15)
+    keys *= np.uint32(0x85EBCA6B)
+    keys ^= keys >> np.uint32(13)
+    return keys, held
+
+
+def starts(values: np.ndarray) -> np.ndarray:
+    """Where each value of a sorted array is first."""
+    return np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.empty(0, np.int64)
+
+
+def anchors(codes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """In how many runs, but one, each of the texts can match another in ``difflib``: from 200 characters on, a run but the first one holds a
+    character that is not a popular one (one in a hundred and one more)."""
+    each = np.sort((np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(32)) | codes)
+    first = starts(each)
+    count, row = np.diff(first, append=len(each)), (each[first] >> np.uint64(32)).astype(np.int64)
+    rare = np.bincount(row, np.where(count > n[row] // 100 + 1, 0, count), minlength=len(n)).astype(np.int64)
+    return np.where(n < 200, n, rare)
+
+
+def presence(keys: np.ndarray, low: np.ndarray, n: np.ndarray, bits: int) -> np.ndarray:
+    """A bitmap, of ``bits`` (a power of two), of the ``n`` keys from each place of ``low`` on: two differ in no more bits than the keys do."""
+    out = np.empty((len(low), bits // 64), np.uint64)
+    rows = max(1, CELLS // bits)
+    for a in range(0, len(low), rows):
+        k = n[a : a + rows]
+        held = np.zeros(len(k) * bits, bool)
+        held[np.repeat(np.arange(len(k)) * bits, k) + (keys[expand(low[a : a + rows], k)] & np.uint32(bits - 1))] = True
+        out[a : a + rows] = np.packbits(held.reshape(-1, bits), axis=1).view(np.uint64)
+    return out
+
+
+def apart(bitmaps: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits the bitmaps of each pair of rows differ, a bounded number of words at a time."""
+    rows = max(1, STEP // 16 // bitmaps.shape[1])
+    parts = [np.bitwise_count(bitmaps[x[a : a + rows]] ^ bitmaps[y[a : a + rows]]).sum(1, dtype=np.int64) for a in range(0, len(x), rows)]
+    return np.concatenate(parts) if parts else np.empty(0, np.int64)
 
 
 def grouped(rows: DataFrame, block: str, run: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
